@@ -1,0 +1 @@
+"""Entity linking over large text collections as lazy Spark DataFrames."""
