@@ -3,6 +3,7 @@ numpy hashing of words and shingles, and connected components."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -32,7 +33,17 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    free_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's collector finds their plans unused; without this they pile up on the
+    executors' disks over an operator's many steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import components, mix, shingle_sets, small_batches, write_table
 
 WORDS = 16  # of 64 bits, in a signature
+WIDE = 128  # the same, in the signature that is looked at before whole sets are
 LEAF = 16
 FANOUT = 8
 FREQUENT = 1 << 17
@@ -55,10 +56,10 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return got.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     """A bitmap with one bit of each shingle set."""
-    bit = (hashes >> np.uint64(20)) % np.uint64(64 * WORDS)
-    flags = np.zeros(64 * WORDS, np.uint8)
+    bit = (hashes >> np.uint64(20)) % np.uint64(64 * words)
+    flags = np.zeros(64 * words, np.uint8)
     flags[bit.astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
@@ -108,6 +109,13 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(-1, dtype=np.int64)
 
 
+def _allowed(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Do sizes and signatures allow two sets to be linked? Each bit that only one signature has stands for a
+    shingle that only one set has."""
+    most = (n + m - _popcount(x ^ y)) // 2
+    return (most * (100 + percent) >= percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
 class Tree:
     """A tree over rows sorted by size and signature. levels[0] are the leaves' parents: for each level the
     nodes' OR and AND bitmaps, smallest and largest size, and component (or -1 where there are several)."""
@@ -149,10 +157,7 @@ class Tree:
         out_l, out_r = [], []
         for at in range(0, len(left), 200_000):
             x, y = left[at: at + 200_000], right[at: at + 200_000]
-            total = self.n[x] + self.n[y]
-            # Each bit in one signature only stands for a shingle in one set only.
-            most = (total - _popcount(self.bits[x] ^ self.bits[y])) // 2
-            good = (most * (100 + percent) >= percent * total) & (100 * np.minimum(self.n[x], self.n[y]) >= percent * np.maximum(self.n[x], self.n[y]))
+            good = _allowed(self.n[x], self.n[y], self.bits[x], self.bits[y], percent)
             out_l.append(x[good])
             out_r.append(y[good])
         return np.concatenate(out_l) if out_l else left, np.concatenate(out_r) if out_r else right
@@ -205,6 +210,24 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(cols).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long").distinct()
 
 
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures allow to be linked. A row's prefix and set stay behind."""
+    light = reps.select("id", "n", "bits")
+    got = pairs.join(light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a") \
+        .join(light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(len(b), -1) for i in (4, 5))
+            good = _allowed(na, nb, x, y, percent)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good))], names=["a", "b"])
+
+    return got.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike enough, compared in full."""
     pairs = write_table(pairs, "pairs")
@@ -213,10 +236,14 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in shingle_sets(b.column(1), words)], pa.list_(pa.int64()))], names=["id", "set"])
+            sets = list(shingle_sets(b.column(1), words))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([signature(s, WIDE).tobytes() for s in sets], pa.binary())], names=["id", "set", "n", "bits"])
 
     texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
-    sets = write_table(texts.mapInArrow(run, "id long, set array<bigint>"), "sets")
+    sets = write_table(texts.mapInArrow(run, "id long, set array<bigint>, n long, bits binary"), "sets")
+    # Wide signatures settle nearly all pairs that are not links; sets travel for the others only.
+    pairs = write_table(_possible(pairs, sets, percent), "pairs")
     got = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return write_table(got.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("s")).filter(F.col("i") * 100 >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
@@ -240,7 +267,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
     keys = write_table(keys.join(met, "key"), "keys")
     centre = keys.groupBy("key", size.alias("size")).agg(F.min("id").alias("centre"))
     star = keys.withColumn("size", size).join(centre, ["key", "size"]).filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(star, docs, words, percent)
+    links = verified(_possible(star, reps, percent), docs, words, percent)
     comp = components(links)
     # What is left: blocks of several components. The largest component of a block is dealt out over parts, and
     # the block's other classes go to every part.

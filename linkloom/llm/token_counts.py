@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import small_batches, worker_state
 
 #: The characters with Unicode's White_Space property.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PRE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
