@@ -74,7 +74,7 @@ _LOWER[65:91] += 32
 _M64 = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
-BLOCK = 4 << 20  # bytes of text handled at once
+BLOCK = 1 << 20  # bytes of text handled at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, BLOCK + 1)
         for i, m in enumerate((_STEP, _BACK)):
             p = np.full(size, m, np.uint64)
             p[0] = 1
@@ -173,6 +173,7 @@ def shingle_hashes(words: np.ndarray, woffs: np.ndarray, k: int) -> tuple[np.nda
 
 def shingle_sets(col: pa.Array, k: int):
     """For each row in turn: the sorted distinct shingle hashes of its text."""
+    _STATES.clear()  # what other operators keep in this worker
     buf, offs = bytes_of(col)
     for _, _, b, o in blocks(buf, offs):
         starts, ends, wo = word_spans(b, o)

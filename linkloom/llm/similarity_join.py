@@ -29,7 +29,7 @@ BROADCAST_IDS = 500_000
 
 
 def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles met in at least three texts of some 4 MB stretch, the FREQUENT ones with most such texts: hashes
+    """Shingles met in at least three texts of some 2 MB stretch, the FREQUENT ones with most such texts: hashes
     in ascending order of frequency. It shapes the order of shingles and so the work, never the result."""
     def run(batches):
         held: list[np.ndarray] = []
@@ -45,7 +45,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
             for s in shingle_sets(b.column(0), words):
                 held.append(s)
                 size += len(s)
-            if size > 700_000:
+            if size > 300_000:
                 yield from out()
                 size = 0
         if held:
@@ -155,8 +155,8 @@ class Tree:
         ok = (left < right) & (self.comp[left] != self.comp[right])
         left, right = left[ok], right[ok]
         out_l, out_r = [], []
-        for at in range(0, len(left), 200_000):
-            x, y = left[at: at + 200_000], right[at: at + 200_000]
+        for at in range(0, len(left), 40_000):
+            x, y = left[at: at + 40_000], right[at: at + 40_000]
             good = _allowed(self.n[x], self.n[y], self.bits[x], self.bits[y], percent)
             out_l.append(x[good])
             out_r.append(y[good])
@@ -254,7 +254,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
     of Jaccard likeness of at least `percent` hundredths between sets of `words`-word shingles. A text with
     fewer words is one shingle, a null or empty text has none and is its own component, as is a row with a null
     doc_id. Rows that repeat an id are expected to repeat its text."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = write_table(classes(docs, words, percent), "classes")
     named = sets.filter("doc_id is not null and n > 0")
