@@ -30,36 +30,52 @@ class WordIds:
         self.tok.no_padding()
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.cache: dict[bytes, bytes] = {}
-        self.most = cache_entries
+        self.before: dict[bytes, bytes] = {}
+        self.most = cache_entries // 2
 
     def learn(self, missing: set[bytes]) -> None:
-        words = list(missing)
-        for at in range(0, len(words), 4096):
-            part = words[at: at + 4096]
-            got = self.encode([w.decode() for w in part], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            if len(self.cache) > self.most:
-                self.cache.clear()
-            self.learn(set(words).difference(self.cache))
-            return b"".join(map(self.cache.__getitem__, words))
-
-    def prepare(self, texts: list[bytes]) -> None:
-        """Encode what is missing of several texts at once."""
+        """Put words in the cache. It has two generations: when the young one is full it becomes the old one, from
+        which a word that is met again comes back, so frequent words stay and words met once go."""
         if len(self.cache) > self.most:
-            self.cache.clear()
-        has, missing = self.cache, set()
-        for t in texts:
-            missing.update(w for w in set(t.split()) if w not in has)
-        self.learn(missing)
-
-
-def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, cache_entries: int = 500_000) -> DataFrame:
+            self.before, self.cache = self.cache, {}
+        old = self.before.get
+        new = []
+        for w in missing:
+            got = old(w)
+            if got is None:
+                new.append(w)
+            else:
+                self.cache[w] = got
+        for at in range(0, len(new), 4096):
+            part = new[at: at + 4096]
+            ids = self.encode([w.decode() for w in part], add_special_tokens=False)
+            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, ids))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Letters A-Z are lowered first, as the tokenizer does, unless a special string may
+        stand in the text."""
+        out: list = [None] * len(texts)
+        late, missing = [], set()
+        get = self.cache.__getitem__
+        for i, t in enumerate(texts):
+            words = (t if b"<|" in t else t.lower()).split()
+            try:
+                out[i] = b"".join(map(get, words))
+            except KeyError:
+                missing.update(set(words).difference(self.cache))
+                late.append((i, words))
+        if late:
+            full = len(self.cache) > self.most
+            if full:
+                missing = {w for _, words in late for w in words}
+            self.learn(missing)
+            get = self.cache.__getitem__
+            for i, words in late:
+                out[i] = b"".join(map(get, words))
+        return out
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, cache_entries: int = 400_000) -> DataFrame:
     """The pieces of each document's ids (a null text is empty) with `end_id` after them: (doc_id, piece, start,
     length, ids_crc32). Only documents longer than `size` are cut; repeated rows give pieces each."""
     small_batches(docs.sparkSession)
@@ -70,9 +86,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, cac
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             texts = [t or b"" for t in b.column(1).to_pylist()]
-            state.prepare(texts)
-            for d, t in zip(b.column(0).to_pylist(), texts):
-                ids = state.ids(t) + end
+            for d, ids in zip(b.column(0).to_pylist(), state.ids(texts)):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at: at + 4 * size]
                     for col, v in zip(out, (d, k, at // 4, len(part) // 4, zlib.crc32(part))):
