@@ -343,12 +343,12 @@ def l4_chunks(t):
     return L.chunks(L.labels(_part_candidates(t)), 20).select("text_idx", "chunk", F.size("labels").alias("n_labels"))
 
 
-LINE = "li AS (SELECT l_orderkey AS text_idx, CAST(l_linenumber AS BIGINT) AS link_ord, l_returnflag AS text, CAST(l_linenumber % 3 AS INT) AS b, CAST(l_linenumber % 3 + 4 AS INT) AS e, l_discount * 10 AS score FROM lineitem)"
+LINE = "li AS (SELECT l_orderkey AS text_idx, CAST(l_linenumber AS BIGINT) * 1000000000000 + CAST(l_partkey AS BIGINT) * 100000 + l_suppkey AS link_ord, l_returnflag AS text, CAST(l_linenumber % 3 AS INT) AS b, CAST(l_linenumber % 3 + 4 AS INT) AS e, l_discount * 10 AS score FROM lineitem)"
 
 
 def _lines(t) -> DataFrame:
     b = (F.col("l_linenumber") % 3).cast("int")
-    return t("lineitem").select(F.col("l_orderkey").alias("text_idx"), F.col("l_linenumber").cast("long").alias("link_ord"), F.col("l_returnflag").alias("text"), F.col("l_linestatus").alias("label"),
+    return t("lineitem").select(F.col("l_orderkey").alias("text_idx"), (F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey").cast("long") * 100000 + F.col("l_suppkey")).alias("link_ord"), F.col("l_returnflag").alias("text"), F.col("l_linestatus").alias("label"),
                                 b.alias("start"), (b + 4).alias("end"), (F.col("l_discount") * 10).alias("score"))
 
 
