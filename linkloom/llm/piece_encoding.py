@@ -44,7 +44,8 @@ class Pieces:
         # Pieces laid out for the search.
         self.patterns = Patterns(sorted(self.ids))
         self.longest = int(self.patterns.lengths.max())
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.numbered = [[self.ids[t]] for t in self.patterns.texts]
+        self.apart: dict[int, bool] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """BPE merges: the best-scored neighbours whose union is a piece, leftmost first among equals."""
@@ -59,14 +60,13 @@ class Pieces:
             symbols[where: where + 2] = [symbols[where] + symbols[where + 1]]
         return symbols
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Do the merges leave left and right as they are when they stand side by side?"""
-        key = (left, right)
-        got = self.apart.get(key)
-        if got is None:
-            if len(self.apart) > 500_000:
-                self.apart.clear()
-            got = self.apart[key] = self.merge(list(left + right)) == [left, right]
+    def compatible(self, key: int) -> bool:
+        """Do the merges leave two pieces as they are when they stand side by side? The key holds both numbers;
+        those past the pieces are single characters."""
+        if len(self.apart) > 500_000:
+            self.apart.clear()
+        left, right = (self.patterns.texts[x] if x < len(self.patterns.texts) else chr(x - len(self.patterns.texts)) for x in (key >> 32, key & 0xFFFFFFFF))
+        got = self.apart[key] = self.merge(list(left + right)) == [left, right]
         return got
 
 
@@ -162,27 +162,31 @@ class Encoder:
         begin = 0
         edges = edges.tolist()
         bound = bound.tolist()
-        names, compatible = p.patterns.texts, p.compatible
+        # Pieces go by their numbers here, characters without a piece by numbers after those.
+        longs, size, apart, compatible = lengths.tolist(), len(lengths), p.apart, p.compatible
         for w in words:
-            last: list = [""]  # the last piece of the encoding of each beginning of the word
+            last = [-1]  # the last piece of the encoding of each beginning of the word
             for i in range(1, len(w) + 1):
-                place, best = begin + i, None
-                b1 = bound[place + 1] if place + 1 < len(bound) else len(edges)
-                for e in range(bound[place], b1):
-                    piece = names[edges[e]]
-                    j = i - len(piece)
-                    if j < 0:
-                        continue
-                    if j == 0 or compatible(last[j], piece):
-                        best = piece
-                        break
-                last.append(best if best is not None else w[i - 1])
+                best = size + ord(w[i - 1])
+                for e in edges[bound[begin + i]: bound[begin + i + 1]]:
+                    j = i - longs[e]
+                    if j:
+                        key = last[j] << 32 | e
+                        ok = apart.get(key)
+                        if not (compatible(key) if ok is None else ok):
+                            continue
+                    best = e
+                    break
+                last.append(best)
             ids, i = [], len(w)
             while i:
-                piece = last[i]
-                got = p.ids.get(piece)
-                ids.append([got] if got is not None else [p.byte[b] for b in piece.encode("utf-8", "replace")])
-                i -= len(piece)
+                e = last[i]
+                if e < size:
+                    ids.append(p.numbered[e])
+                    i -= longs[e]
+                else:
+                    ids.append([p.byte[b] for b in w[i - 1].encode("utf-8", "replace")])
+                    i -= 1
             self.cache[w] = np.array([x for part in reversed(ids) for x in part], "<i4").tobytes()
             begin += len(w) + 1
 
