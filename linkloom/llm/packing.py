@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, worker_state, write_table
 
 
+#: ASCII marks at a word's end: with no letter or digit after them they are one pre-token.
+TRAILING = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
+
 class WordIds:
     """Token ids of ASCII-white-space-separated words, as bytes of unsigned 32-bit little-endian numbers. Right
     for tokenizers that drop white space and whose patterns never cross it."""
@@ -32,6 +36,9 @@ class WordIds:
         self.cache: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.most = cache_entries // 2
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a pre-token
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def learn(self, missing: set[bytes]) -> None:
         """Put words in the cache. It has two generations: when the young one is full it becomes the old one, from
@@ -46,10 +53,41 @@ class WordIds:
                 new.append(w)
             else:
                 self.cache[w] = got
-        for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
-            ids = self.encode([w.decode() for w in part], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, ids))
+        plain, counts, other = [], [], []
+        for w in new:
+            t = w.decode()
+            core = t.rstrip(TRAILING)
+            if core.isalpha():
+                plain.append(t)
+                counts.append(1 if len(core) == len(t) else 2)
+            else:
+                other.append(t)
+        for at in range(0, len(plain), 1 << 14):
+            other += self._joined(plain[at: at + (1 << 14)], np.array(counts[at: at + (1 << 14)]))
+        for at in range(0, len(other), 4096):
+            part = other[at: at + 4096]
+            ids = self.encode(part, add_special_tokens=False)
+            self.cache.update((w.encode(), np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, ids))
+
+    def _joined(self, words: list[str], counts: np.ndarray, run: int = 64) -> list[str]:
+        """Encode words in runs with blanks between, which is cheaper than one by one, and put them in the cache;
+        counts has each word's pre-tokens, letters and then marks. No word has fewer, so a run with as many
+        ends of pre-tokens as expected has each word's in its place. Words of other runs are returned."""
+        left = []
+        starts = range(0, len(words), run)
+        for at, e in zip(starts, self.encode([" ".join(words[i: i + run]) for i in starts], add_special_tokens=False)):
+            part = words[at: at + run]
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(counts[at: at + run])
+            if len(ends) != last[-1]:
+                left += part
+                continue
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(part, (4 * ends[last - 1]).tolist()):
+                self.cache[w.encode()] = raw[begin:end]
+                begin = end
+        return left
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Letters A-Z are lowered first, as the tokenizer does, unless a special string may
