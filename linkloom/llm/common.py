@@ -3,6 +3,7 @@ numpy hashing of words and shingles, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -75,6 +76,7 @@ _M64 = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 BLOCK = 1 << 20  # bytes of text handled at once
+RUN = 1 << 16  # bytes whose words are hashed at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,7 +97,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, BLOCK + 1)
+        size = max(n, RUN + 1)
         for i, m in enumerate((_STEP, _BACK)):
             p = np.full(size, m, np.uint64)
             p[0] = 1
@@ -144,12 +146,19 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word with A-Z in lower case, by differences of one running sum."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    p, q = _power_tables(len(buf) + 1)
-    run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[buf]] * p[:-1], out=run[1:])
-    return mix((run[ends] - run[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        # Runs of words of about RUN bytes: the 64-bit numbers of a very long text are never in memory at once.
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + RUN, "right")))
+        at = starts[i]
+        part, s, e = buf[at: ends[j - 1]], starts[i:j] - at, ends[i:j] - at
+        p, q = _power_tables(len(part) + 1)
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[_LOWER[part]] * p[:-1], out=run[1:])
+        out[i:j] = mix((run[e] - run[s]) * q[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def shingle_hashes(words: np.ndarray, woffs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +182,6 @@ def shingle_hashes(words: np.ndarray, woffs: np.ndarray, k: int) -> tuple[np.nda
 
 def shingle_sets(col: pa.Array, k: int):
     """For each row in turn: the sorted distinct shingle hashes of its text."""
-    _STATES.clear()  # what other operators keep in this worker
     buf, offs = bytes_of(col)
     for _, _, b, o in blocks(buf, offs):
         starts, ends, wo = word_spans(b, o)
@@ -186,7 +194,7 @@ def worker_state(key: str, make):
     """An object of this Python worker, made once."""
     cache = _STATES
     if key not in cache:
-        cache.clear()
+        empty_worker()
         cache[key] = make()
     return cache[key]
 
@@ -194,6 +202,18 @@ def worker_state(key: str, make):
 _STATES: dict = {}
 
 
+def empty_worker() -> None:
+    """Drop what other operators keep in this Python worker, and give freed memory back to the machine: workers
+    live on through an application, and C's and Arrow's allocators hold on to what earlier tasks took."""
+    _STATES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not GNU's C library
+        pass
+
+
 # --- connected components ---------------------------------------------------------------------
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, shingle_sets, small_batches, write_table
+from .common import components, empty_worker, mix, shingle_sets, small_batches, write_table
 
 WORDS = 16  # of 64 bits, in a signature
 WIDE = 128  # the same, in the signature that is looked at before whole sets are
@@ -32,6 +32,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles met in at least three texts of some 2 MB stretch, the FREQUENT ones with most such texts: hashes
     in ascending order of frequency. It shapes the order of shingles and so the work, never the result."""
     def run(batches):
+        empty_worker()
         held: list[np.ndarray] = []
         size = 0
 
@@ -87,6 +88,7 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((often[order], order))
 
     def run(batches):
+        empty_worker()
         known, rank = shared.value
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
@@ -174,6 +176,7 @@ def tree_pairs(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarra
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs within the blocks (key, part) of rows (key, part, id, n, bits, comp)."""
     def run(batches):
+        empty_worker()
         held: list[pa.RecordBatch] = []
 
         def out(t: pa.Table):
@@ -217,6 +220,7 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         .join(light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
 
     def run(batches):
+        empty_worker()
         for b in batches:
             if not len(b):
                 continue
@@ -235,6 +239,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     ids = F.broadcast(ids) if pairs.count() <= BROADCAST_IDS // 2 else ids
 
     def run(batches):
+        empty_worker()
         for b in batches:
             sets = list(shingle_sets(b.column(1), words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()),
