@@ -25,6 +25,9 @@ SPACE = "▁"
 WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
+DEEP = 200  # characters up to which a word is relaxed from its end; longer ones place by place, without deep calls
+
+
 class Pieces:
     """The vocabulary of a model file and the merges it implies."""
 
@@ -79,7 +82,7 @@ def suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
         nxt = np.zeros(n, np.int64)
         nxt[:-step or None] = rank[step:] + 1
         key = rank * (int(nxt.max()) + 1) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys in any order
         k = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
@@ -156,7 +159,7 @@ class Encoder:
         at, which = occurrences(codes, order, p.patterns)
         lengths = p.patterns.lengths
         ends = at + lengths[which]
-        by = np.lexsort((-lengths[which], ends))  # edges by the place where they end, longest first
+        by = np.argsort(ends * (p.longest + 1) - lengths[which])  # edges by the place where they end, longest first
         ends, edges = ends[by], which[by]
         bound = np.searchsorted(ends, np.arange(len(codes) + 1), "left")
         begin = 0
@@ -164,23 +167,33 @@ class Encoder:
         bound = bound.tolist()
         # Pieces go by their numbers here, characters without a piece by numbers after those.
         longs, size, apart, compatible = lengths.tolist(), len(lengths), p.apart, p.compatible
+
+        def relax(i: int) -> int:
+            """The last piece of the encoding of the word's first i characters. Edges that end there are tried, and
+            the places where they begin are relaxed when they are asked for: most never are."""
+            best = last[i]
+            if best >= 0:
+                return best
+            best = size + ord(w[i - 1])
+            for e in edges[bound[begin + i]: bound[begin + i + 1]]:
+                j = i - longs[e]
+                if j:
+                    key = relax(j) << 32 | e
+                    ok = apart.get(key)
+                    if not (compatible(key) if ok is None else ok):
+                        continue
+                best = e
+                break
+            last[i] = best
+            return best
+
         for w in words:
-            last = [-1]  # the last piece of the encoding of each beginning of the word
-            for i in range(1, len(w) + 1):
-                best = size + ord(w[i - 1])
-                for e in edges[bound[begin + i]: bound[begin + i + 1]]:
-                    j = i - longs[e]
-                    if j:
-                        key = last[j] << 32 | e
-                        ok = apart.get(key)
-                        if not (compatible(key) if ok is None else ok):
-                            continue
-                    best = e
-                    break
-                last.append(best)
+            last = [-1] * (len(w) + 1)
+            for i in range(1 if len(w) > DEEP else len(w), len(w) + 1):
+                relax(i)
             ids, i = [], len(w)
             while i:
-                e = last[i]
+                e = relax(i)
                 if e < size:
                     ids.append(p.numbered[e])
                     i -= longs[e]
