@@ -180,7 +180,7 @@ def kb_surface_forms(t):
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS entity_id, CASE WHEN p_partkey BETWEEN 1 AND 500 THEN 'm2' END AS embedding_model_id FROM part")
 def kb_update_embeddings(t):
-    v = t("embeddings").select((F.col("vec_id") + 1).cast("string").alias("entity_id"), "embedding").filter(F.col("entity_id").cast("long") <= 500)
+    v = t("embeddings").select((F.col("vec_id") + 1).cast("string").alias("entity_id"), "embedding")
     return kb.update_embeddings(kb._complete(part_kb(t)), v, "m2").select("entity_id", "embedding_model_id")
 
 
