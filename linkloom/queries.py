@@ -426,6 +426,22 @@ def l0_candidate_scores(t):
         .filter(F.col("entity_id") == F.concat(F.lit("T:"), "w")).select("text_idx", "start_pos", "entity_id", "p")
 
 
+# The same of all mentions, each link's label found by either pass: a candidate of that label, else one whose label lies within it.
+@query(f"""WITH {KB},
+cand AS (SELECT m.text_idx, m.mention_idx AS occ, kb.entity_id, kb.label FROM m JOIN kb ON lower(m.text) = kb.label OR lower(m.text) = kb.alias),
+p AS (SELECT text_idx, mention_idx, b, lower(text) AS want FROM m),
+same AS (SELECT p.text_idx, p.mention_idx, min(c.entity_id) AS entity_id FROM p JOIN cand c ON c.text_idx = p.text_idx AND c.label = p.want GROUP BY ALL),
+part AS (SELECT p.text_idx, p.mention_idx, arg_min(c.entity_id, c.occ * 10000 + length(c.entity_id)) AS entity_id FROM p JOIN cand c ON c.text_idx = p.text_idx AND contains(p.want, c.label) GROUP BY ALL)
+SELECT p.text_idx, p.b AS start_pos, coalesce(same.entity_id, part.entity_id) AS entity_id, CAST((p.mention_idx % 5) / 5.0 AS DOUBLE) AS p
+FROM p LEFT JOIN same USING (text_idx, mention_idx) LEFT JOIN part USING (text_idx, mention_idx) WHERE coalesce(same.entity_id, part.entity_id) IS NOT NULL""")
+def l0_candidate_scores_all(t):
+    m = cut(_mentions(t))
+    k = cut(corpus_kb(m))
+    c = C.candidates(m, kb.Chain([kb.Layer("terms", "dict", records=k)]), 30, 0)
+    li = m.select("text_idx", "start", "end", F.create_map(F.lower("text"), F.col("mention_idx") % 5 / 5.0).alias("class_probs"))
+    return A.candidate_scores(li, c).select("text_idx", F.col("start").alias("start_pos"), F.explode("scores").alias("entity_id", "p"))
+
+
 # --- plan language ----------------------------------------------------------------------------
 
 def _talks(t) -> DataFrame:
