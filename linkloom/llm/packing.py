@@ -3,11 +3,13 @@
 Pieces are packed by best-fit decreasing in groups of bounded size. Dual feasible functions give each group a
 lower bound on its bin count. A group that meets its bound is done; groups with a gap put the contents of
 their unfilled bins together, exchange them by a new grouping, and are packed again. A round's exchange stands
-only if it saves bins. Only lengths travel between rounds, in written tables; nothing is collected."""
+only if it saves bins. At last the emptiest bins of all groups are exchanged, towards the bound of all pieces.
+Only lengths travel between rounds, in written tables; only counts by length and load are collected."""
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -163,9 +165,11 @@ def bin_bound(lengths: np.ndarray, size: int) -> int:
     """A lower bound on the bins that pieces need, the best over two families of dual feasible functions: the
     threshold functions (long pieces count as a whole bin, short ones as nothing) and the rounding functions
     w -> floor((k+1) w / size) / k."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    return count_bound(np.bincount(lengths, minlength=size + 1).astype(np.int64), size) if len(lengths) else 0
+
+
+def count_bound(count: np.ndarray, size: int) -> int:
+    """bin_bound of `count` pieces of each length from 0 to size."""
     w = np.arange(size + 1)
     total = int((count * w).sum())
     best = -(-total // size)
@@ -201,16 +205,47 @@ def _pack_groups(rows: DataFrame, size: int, level: int) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "g").groupBy("g").applyInPandas(run, schema)
 
 
+def _merge_lightest(parts: list[DataFrame], size: int, bound: int, level: int, group: int) -> list[DataFrame]:
+    """Exchange the emptiest bins of all groups, about `group` pieces of them at once, as long as that saves bins
+    and there are more than `bound`. The bins of one load are its tokens divided by it."""
+    turn = 0
+    while True:
+        rows = reduce(DataFrame.unionByName, parts)
+        loads = sorted(tuple(r) for r in rows.groupBy("load").agg(F.count("*"), F.sum("length")).collect())
+        if sum(tokens // load for load, _, tokens in loads) <= bound:
+            return parts
+        top = m = 0
+        share = 1
+        for load, n, _ in loads:
+            if load >= size or m >= group:
+                break
+            top, share, m = load, max(1, -(-n // (group - m))), m + n
+        mine = (F.col("load") < top) | (F.col("load") == top) & (F.pmod(F.xxhash64("sequence_id"), F.lit(share)) == 0)
+        opened = rows.filter(mine).withColumn("g", F.lit(turn).cast("long"))
+        was = opened.agg(F.countDistinct("sequence_id")).first()[0]
+        if was < 2:
+            return parts
+        again = write_table(_pack_groups(opened, size, level), "packed")
+        if again.first()["bins"] >= was:
+            return parts
+        parts = [p.filter(~mine) for p in parts] + [again]
+        turn += 1
+
+
 def pack(cut: DataFrame, size: int, group: int = 40_000, rounds: int = 2) -> DataFrame:
     """`cut` (as pieces() gives it) with sequence_id and offset; any sequence holds at most `size` tokens without
-    gaps. group bounds the pieces packed in one task; rounds, the exchanges. Whole pieces of `size` tokens are
+    gaps. group bounds the pieces packed in one task; rounds, the exchanges between groups with a gap. After those
+    the emptiest bins of all groups are exchanged, towards the bound of all pieces. Whole pieces of `size` tokens are
     sequences as they are. Nulls in doc_id and repeated rows are packed like others; an empty table gives an
     empty result."""
     spark = cut.sparkSession
     full = cut.filter(F.col("length") >= size).select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.filter(F.col("length") < size)
-    done, level = [full], 0
-    n = rest.count()
+    done, level = [], 0
+    count = np.zeros(size + 1, np.int64)
+    for length, k in rest.groupBy("length").count().collect():
+        count[length] = k
+    n = int(count.sum())
     todo = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(-(-n // group) or 1)))
     packed = write_table(_pack_groups(todo, size, level), "packed")
     final = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -224,10 +259,10 @@ def pack(cut: DataFrame, size: int, group: int = 40_000, rounds: int = 2) -> Dat
         again = write_table(_pack_groups(todo, size, level), "packed")
         if again.agg(F.countDistinct("sequence_id")).first()[0] >= was:
             break
-        done.append(packed.filter(~open_).select(final))
+        done.append(packed.filter(~open_))
         packed = again
-    out = packed.select(final)
-    for d in done:
+    out = full.select(final)
+    for d in _merge_lightest([packed, *done], size, count_bound(count, size), rounds + 1, group):
         out = out.unionByName(d.select(final))
     return out
 
