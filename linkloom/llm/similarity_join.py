@@ -2,12 +2,15 @@
 
 Every text becomes its set of shingle hashes. Texts of equal sets are one class from the start. Classes are
 blocked by prefix: under one order of all shingles (frequent ones last, else by hash) two sets that are alike
-enough share one of their first |x| - ceil(t |x|) + 1 shingles, so no link is lost. Links are found in two
-rounds. First every class is compared with one centre of each of its blocks, which joins groups of near copies
-without their pairs. Then, in blocks that still hold several components, a signature tree finds what is left:
-its nodes hold OR- and AND-combined bitmaps of their sets and ranges of sizes, and a traversal of pairs of nodes
-prunes those whose largest possible overlap is too small, or that are in one component already. Surviving pairs
-are compared exactly."""
+enough share one of their first |x| - ceil(t |x|) + 1 shingles, so no link is lost. A pair need only be found in
+the block of the first shingle that both have: there the places of that shingle in both bound their overlap, and
+of blocks with the same classes one is enough, the first. Links are found in two rounds. First every class is
+compared with one centre of each of its blocks, which joins groups of near copies without their pairs. Then, in
+blocks that still hold several components, a signature tree finds what is left: its nodes hold OR- and
+AND-combined bitmaps of their sets and ranges of sizes, and a traversal of pairs of nodes prunes those whose
+largest possible overlap is too small, or that are in one component already. Pairs never leave a task: a block
+gives the groups of its classes that the surviving pairs connect, and a second task compares a group's whole
+sets and gives links that span it, fewer than it has classes."""
 
 from __future__ import annotations
 
@@ -18,12 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import components, empty_worker, mix, shingle_sets, small_batches, write_table
 
-WORDS = 16  # of 64 bits, in a signature
-WIDE = 128  # the same, in the signature that is looked at before whole sets are
+WORDS = 16  # of 64 bits, in the signatures of a tree's nodes
+WIDE = 64  # the same, in a class's signature
 LEAF = 16
 FANOUT = 8
 FREQUENT = 1 << 17
 BLOCK_ROWS = 512
+STARS = 6  # rounds of further centres in blocks with more than BLOCK_ROWS classes outside their largest component
 #: Ids up to this number are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -57,7 +61,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return got.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
-def signature(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+def signature(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
     """A bitmap with one bit of each shingle set."""
     bit = (hashes >> np.uint64(20)) % np.uint64(64 * words)
     flags = np.zeros(64 * words, np.uint8)
@@ -80,6 +84,11 @@ def prefix(hashes: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int
     return hashes[:take]
 
 
+def _set_key(s: np.ndarray) -> tuple[int, int, int]:
+    """The size of a set and a 128-bit digest of it, as numbers with a sign."""
+    return (len(s), int(np.bitwise_xor.reduce(s)) - (1 << 63), int(mix(s).sum(dtype=np.uint64)) - (1 << 63)) if len(s) else (0, 0, 0)
+
+
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Texts (doc_id, text) to (doc_id, n, k1, k2, prefix, bits): the size and a 128-bit digest of each set, and
     for sets that can be like a different one, their prefix and signature."""
@@ -93,11 +102,10 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for b in batches:
             cols: list[list] = [[] for _ in range(5)]
             for s in shingle_sets(b.column(1), words):
-                n = len(s)
-                k1, k2 = (int(np.bitwise_xor.reduce(s)), int(mix(s).sum(dtype=np.uint64))) if n else (0, 0)
+                n, k1, k2 = _set_key(s)
                 alone = 100 * n < percent * (n + 1)
                 p, bits = (None, None) if alone else (prefix(s, known, rank, percent).view(np.int64), signature(s).tobytes())
-                for col, v in zip(cols, (n, k1 - (1 << 63), k2 - (1 << 63), p, bits)):
+                for col, v in zip(cols, (n, k1, k2, p, bits)):
                     col.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n", "k1", "k2", "prefix", "bits"])
@@ -120,18 +128,20 @@ def _allowed(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent
 
 class Tree:
     """A tree over rows sorted by size and signature. levels[0] are the leaves' parents: for each level the
-    nodes' OR and AND bitmaps, smallest and largest size, and component (or -1 where there are several)."""
+    nodes' OR and AND bitmaps, smallest and largest size, and component (or -1 where there are several). tail is
+    the number of shingles from the block's own on, in the common order."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray):
-        self.n, self.bits, self.comp = n, bits, comp
+    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, tail: np.ndarray):
+        self.n, self.bits, self.comp, self.tail = n, bits, comp, tail
         self.levels = []
-        cur = (bits, bits, n, n, comp)
+        fold = np.bitwise_or.reduce(bits.reshape(len(n), -1, WORDS), axis=1)
+        cur = (fold, fold, n, n, comp, tail)
         step = LEAF
         while True:
             starts = np.arange(0, len(cur[2]), step)
             low, high = np.minimum.reduceat(cur[4], starts), np.maximum.reduceat(cur[4], starts)
             cur = (np.bitwise_or.reduceat(cur[0], starts), np.bitwise_and.reduceat(cur[1], starts), np.minimum.reduceat(cur[2], starts),
-                   np.maximum.reduceat(cur[3], starts), np.where(low == high, low, -1))
+                   np.maximum.reduceat(cur[3], starts), np.where(low == high, low, -1), np.maximum.reduceat(cur[5], starts))
             self.levels.append(cur)
             if len(starts) == 1:
                 break
@@ -141,11 +151,12 @@ class Tree:
         """Pairs of rows, of different components, that the bounds allow to be linked."""
         left, right = np.zeros(1, np.int64), np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            o, a, lo, hi, c = self.levels[depth]
+            o, a, lo, hi, c, t = self.levels[depth]
             same = (c[left] >= 0) & (c[left] == c[right])
             small, large = np.minimum(hi[left], hi[right]), np.maximum(lo[left], lo[right])
             fits = 100 * small >= percent * large
             most = np.minimum(hi[left] - _popcount(a[left] & ~o[right]), hi[right] - _popcount(a[right] & ~o[left]))
+            most = np.minimum(most, np.minimum(t[left], t[right]))
             need = percent * (lo[left] + lo[right])  # overlap * (100 + percent) >= percent * (|x| + |y|)
             keep = ~same & fits & (most * (100 + percent) >= need)
             left, right = left[keep], right[keep]
@@ -155,66 +166,150 @@ class Tree:
             ok = (l < n) & (r < n) & (l <= r)
             left, right = l[ok], r[ok]
         ok = (left < right) & (self.comp[left] != self.comp[right])
+        ok &= np.minimum(self.tail[left], self.tail[right]) * (100 + percent) >= percent * (self.n[left] + self.n[right])
         left, right = left[ok], right[ok]
-        out_l, out_r = [], []
-        for at in range(0, len(left), 40_000):
-            x, y = left[at: at + 40_000], right[at: at + 40_000]
+        out_l, out_r = [left[:0]], [left[:0]]
+        for at in range(0, len(left), 10_000):
+            x, y = left[at: at + 10_000], right[at: at + 10_000]
             good = _allowed(self.n[x], self.n[y], self.bits[x], self.bits[y], percent)
             out_l.append(x[good])
             out_r.append(y[good])
-        return np.concatenate(out_l) if out_l else left, np.concatenate(out_r) if out_r else right
+        return np.concatenate(out_l), np.concatenate(out_r)
 
 
-def tree_pairs(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (smaller id first) among the rows of one block."""
+def tree_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, percent: int, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (row numbers) among the rows of one block."""
     order = np.lexsort((bits[:, 1], bits[:, 0], n))
-    x, y = Tree(n[order], bits[order], comp[order]).candidates(percent)
-    x, y = ids[order][x], ids[order][y]
-    return np.minimum(x, y), np.maximum(x, y)
+    x, y = Tree(n[order], bits[order], comp[order], (n if tail is None else tail)[order]).candidates(percent)
+    return order[x], order[y]
+
+
+def connected(m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of m rows: the smallest row number that each reaches over the pairs (x, y)."""
+    label = np.arange(m)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def spanning_links(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (row numbers) between rows of different components, only such as join what earlier ones don't:
+    fewer than there are rows. Each row is compared in full with all that are not yet joined to it."""
+    n = np.array([len(s) for s in sets], np.int64)
+    at = np.concatenate([[0], np.cumsum(n)[:-1]])
+    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    mine = np.zeros(len(values), bool)
+    label = np.unique(comp, return_inverse=True)[1]
+    out = []
+    for i in range(len(sets)):
+        near = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        near[:i] = False
+        if not near.any():
+            continue
+        own = inverse[at[i]: at[i] + n[i]]
+        mine[own] = True
+        both = np.add.reduceat(mine[inverse], at, dtype=np.int64)
+        mine[own] = False
+        for j in np.flatnonzero(near & (100 * both >= percent * (n + n[i] - both))).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def _whole_groups(batches, n_keys: int):
+    """Tables of whole groups, of batches sorted by their first `n_keys` columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)]
+        differs = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in cols]))
+        tail = int(differs[-1]) + 1 if len(differs) else 0
+        if tail:
+            held.append(b.slice(0, tail))
+        if held and (tail or last != tuple(c[0] for c in cols)):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        held.append(b.slice(tail))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _edges_of(t: pa.Table, n_keys: int) -> np.ndarray:
+    """Where the groups of a sorted table begin, and its end."""
+    cols = [t.column(k).to_numpy() for k in range(n_keys)]
+    return np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1, [len(t)]])
+
+
+def _survivors(rows: DataFrame, percent: int) -> DataFrame:
+    """(g, id, comp): the groups of classes that candidate pairs connect within the blocks (key, part) of rows
+    (key, part, id, comp, n, tail, bits). Of groups with the same classes one is given."""
+    def run(batches):
+        empty_worker()
+        for t in _whole_groups(batches, 2):
+            edge = _edges_of(t, 2)
+            key, part, ids, comp, n, tail = (t.column(c).to_numpy() for c in ("key", "part", "id", "comp", "n", "tail"))
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(t), -1)
+            got: list[list] = [[], [], []]
+            for i, j in zip(edge[:-1], edge[1:]):
+                if j - i < 2:
+                    continue
+                x, y = tree_pairs(n[i:j], bits[i:j], comp[i:j], percent, tail[i:j])
+                if not len(x):
+                    continue
+                label = connected(j - i, x, y)
+                met = np.unique(np.concatenate([x, y]))
+                # The group's number: of its block and its first class.
+                g = mix(key[i:j][met].view(np.uint64) ^ mix((part[i:j][met] << 20 | label[met]).astype(np.uint64))).view(np.int64)
+                for col, v in zip(got, (g, ids[i:j][met], comp[i:j][met])):
+                    col.append(v)
+            if got[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in got], names=["g", "id", "comp"])
 
+    cols = ["key", "part", "id", "comp", "n", "tail", "bits"]
+    rows = rows.select(cols).repartition("key", "part").sortWithinPartitions("key", "part")
+    got = write_table(rows.mapInArrow(run, "g long, id long, comp long"), "groups")
+    one = got.groupBy("g").agg(*_digest("id")).groupBy("c", "x1", "x2").agg(F.min("g").alias("g")).select("g")
+    return got.join(one, "g", "left_semi")
 
-def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs within the blocks (key, part) of rows (key, part, id, n, bits, comp)."""
+
+def _digest(col: str) -> list:
+    """The number of ids of a group and a digest of which they are."""
+    return [F.count("*").alias("c"), F.bit_xor(F.xxhash64(col)).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), col)).alias("x2")]
+
+
+def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span what the groups (g, id, comp) hold, by whole sets. A task has the sets of one group
+    at a time, of at most BLOCK_ROWS classes."""
     def run(batches):
         empty_worker()
-        held: list[pa.RecordBatch] = []
-
-        def out(t: pa.Table):
-            key, part = t.column("key").to_numpy(), t.column("part").to_numpy()
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-            edge = np.concatenate([[0], cut, [len(key)]])
-            ids, n, comp = (t.column(c).to_numpy() for c in ("id", "n", "comp"))
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
-            got = [tree_pairs(ids[i:j], n[i:j], bits[i:j], comp[i:j], percent) for i, j in zip(edge[:-1], edge[1:]) if j - i > 1]
-            a, b = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        last = None
-        for b in batches:
-            if not len(b):
-                continue
-            key, part = b.column(0).to_numpy(), b.column(1).to_numpy()
-            # Rows come sorted: all before the batch's last block are whole blocks.
-            tail = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if (key[0], part[0]) != (key[-1], part[-1]) else 0
-            if tail or (last is not None and last != (key[0], part[0])):
-                if tail:
-                    held.append(b.slice(0, tail))
-                if held:
-                    yield from out(pa.Table.from_batches(held))
-                held = [b.slice(tail)]
-            else:
-                held.append(b)
-            last = (key[-1], part[-1])
-        if held:
-            yield from out(pa.Table.from_batches(held))
-
-    cols = ["key", "part", "id", "n", "bits", "comp"]
-    return rows.select(cols).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long").distinct()
+        for t in _whole_groups(batches, 1):
+            edge = _edges_of(t, 1)
+            ids, comp = (t.column(c).to_numpy() for c in ("id", "comp"))
+            lists = t.column("set").combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            out = []
+            for i, j in zip(edge[:-1], edge[1:]):
+                if j - i > 1:
+                    out += [(ids[i + a], ids[i + b]) for a, b in spanning_links([flat[at[k]: at[k + 1]] for k in range(i, j)], comp[i:j], percent)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = groups.join(sets.select("id", "set"), "id").select("g", "id", "comp", "set")
+    return write_table(rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and signatures allow to be linked. A row's prefix and set stay behind."""
+    """The pairs (a, b) that sizes and signatures allow to be linked. A row's prefix stays behind."""
     light = reps.select("id", "n", "bits")
     got = pairs.join(light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a") \
         .join(light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
@@ -232,64 +327,120 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return got.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough, compared in full."""
-    pairs = write_table(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = F.broadcast(ids) if pairs.count() <= BROADCAST_IDS // 2 else ids
+def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, set): the sets of the classes `ids` (id), made again from a text of each."""
+    want = write_table(reps.select("id", "doc", "k1", "k2", "n").join(ids.distinct(), "id", "left_semi"), "wanted")
+    doc = want.select("doc").distinct()
+    doc = F.broadcast(doc) if want.count() <= BROADCAST_IDS else doc
 
     def run(batches):
         empty_worker()
         for b in batches:
-            sets = list(shingle_sets(b.column(1), words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([signature(s, WIDE).tobytes() for s in sets], pa.binary())], names=["id", "set", "n", "bits"])
-
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
-    sets = write_table(texts.mapInArrow(run, "id long, set array<bigint>, n long, bits binary"), "sets")
-    # Wide signatures settle nearly all pairs that are not links; sets travel for the others only.
-    pairs = write_table(_possible(pairs, sets, percent), "pairs")
+            sets = list(shingle_sets(b.column(0), words))
+            key = [_set_key(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in key], pa.int64()) for i in range(3)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["n", "k1", "k2", "set"])
+
+    texts = docs.join(doc, docs["doc_id"] == doc["doc"], "left_semi").select("text")
+    # An id may stand for several texts: the set's own key tells which class it is.
+    got = texts.mapInArrow(run, "n long, k1 long, k2 long, set array<bigint>").join(want.select("id", "n", "k1", "k2"), ["n", "k1", "k2"])
+    return write_table(got.dropDuplicates(["id"]).select("id", "set"), "sets")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are alike enough, compared in full."""
+    pairs = write_table(_possible(pairs, reps, percent), "pairs")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), reps, docs, words)
     got = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return write_table(got.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("s")).filter(F.col("i") * 100 >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
 
+def _blocks(reps: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, tail): the classes that have a shingle in their prefixes. tail counts a class's shingles from the
+    key on. A block stays if it can be the first that a linked pair shares: the smaller set of such a pair has at
+    least 2t / (1 + t) of its shingles from there on. Of blocks of the same classes the one of the first key stays,
+    where the classes' tails are longest."""
+    rows = reps.filter("prefix is not null").select("id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "id", "n", (F.col("n") - F.col("pos")).alias("tail"))
+    first = (F.col("tail") * (100 + percent) >= 2 * percent * F.col("n"))
+    per = rows.groupBy("key").agg(*_digest("id"), F.max(first).alias("first"), F.sum("tail").alias("tails")).filter("c > 1 and first")
+    one = per.groupBy("c", "x1", "x2").agg(F.max_by("key", F.struct("tails", "key")).alias("key")).select("key")
+    return write_table(rows.join(one, "key", "left_semi"), "blocks")
+
+
+def _several(keys: DataFrame, comp: DataFrame) -> DataFrame:
+    """keys with `comp`, each class's component, of the blocks that hold several; with c (the block's classes), most
+    (those of its largest component) and main (that component)."""
+    keys = keys.join(comp.select("id", "component_id"), "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
+    per = keys.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(
+        F.sum("k").alias("c"), F.max("k").alias("most"), F.max_by("comp", F.struct("k", F.col("comp"))).alias("main"), F.count("*").alias("n_comps")).filter("n_comps > 1").drop("n_comps")
+    return keys.join(per, "key")
+
+
+def _band(percent: int, shift: float = 0.0):
+    """The band of a size: sizes that allow a link are in one band or in neighbouring ones."""
+    width = 1.001 * max(float(np.log(100 / percent)), 1e-6)
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(width) + F.lit(shift)).cast("long")
+
+
+def _stars(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each class and the centre of its block and band of sizes, of different components. The first
+    centre is the class with the longest tail for its size, the one with least text of its own; later ones go by
+    hash, in bands that begin elsewhere."""
+    rows = rows.withColumn("band", _band(percent, turn * 0.5))
+    order = F.struct((-F.col("tail") / F.col("n")).alias("o"), "id") if not turn else F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id")
+    centre = rows.groupBy("key", "band").agg(F.min_by(F.struct("id", "comp"), order).alias("c")).select("key", "band", F.col("c.id").alias("centre"), F.col("c.comp").alias("other"))
+    return rows.join(centre, ["key", "band"]).filter("comp <> other").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+
+
+def _parts(rows: DataFrame, percent: int) -> DataFrame:
+    """Blocks in parts of about BLOCK_ROWS classes such that every pair of classes of different components whose sizes
+    allow a link meets in one: rows (of _several) with `part`. A larger block's main component is dealt out, and
+    its other classes, where they are at most BLOCK_ROWS, go to every part: at most as many copies again. Only what
+    _stars leaves of blocks with more others is dealt by pairs of chunks, within bands of sizes."""
+    parts = F.ceil(F.col("c") / BLOCK_ROWS).cast("int")
+    few = (F.col("c") - F.col("most")) <= BLOCK_ROWS
+    chunk = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("chunk", chunk)
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    band = _band(percent)
+    of_pair = F.transform(every, lambda j: F.least(j, F.col("chunk")) * F.col("parts") + F.greatest(j, F.col("chunk")))
+    # A band meets itself and the next: each class goes to its own band's parts and to those of the band below.
+    banded = F.flatten(F.transform(F.array(band, band - 1), lambda s: F.transform(of_pair, lambda p: p.cast("long") + F.lit(1 << 40) * (s + 2))))
+    simple = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(F.col("comp") == F.col("main"), F.array("chunk")).otherwise(every)
+    where = F.when((F.col("parts") == 1) | few, F.transform(simple, lambda p: p.cast("long"))).otherwise(banded)
+    return rows.select("key", "id", "comp", "n", "tail", F.explode(where).alias("part"))
+
+
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of `docs`: (doc_id, n_shingles, component_id), the smallest doc_id reachable by links
     of Jaccard likeness of at least `percent` hundredths between sets of `words`-word shingles. A text with
     fewer words is one shingle, a null or empty text has none and is its own component, as is a row with a null
-    doc_id. Rows that repeat an id are expected to repeat its text."""
+    doc_id. Rows that repeat an id are answered each by its own text; an empty table gives an empty result. Other
+    columns are not read."""
     small_batches(docs.sparkSession, 250)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = write_table(classes(docs, words, percent), "classes")
+    sets = write_table(classes(docs, words, percent).withColumn("row", F.monotonically_increasing_id()), "classes")
     named = sets.filter("doc_id is not null and n > 0")
-    reps = named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    reps = write_table(reps, "reps")
-    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("long")
-    # A class has a key once; a key with one class can link nothing.
-    keys = reps.filter("prefix is not null").select(F.explode("prefix").alias("key"), "id", "n")
-    met = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    keys = write_table(keys.join(met, "key"), "keys")
-    centre = keys.groupBy("key", size.alias("size")).agg(F.min("id").alias("centre"))
-    star = keys.withColumn("size", size).join(centre, ["key", "size"]).filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(_possible(star, reps, percent), docs, words, percent)
+    reps = write_table(named.groupBy("k1", "k2", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "reps")
+    keys = _blocks(reps, percent)
+    links = verified(_stars(keys.withColumn("comp", F.col("id")), percent, 0), reps, docs, words, percent)
     comp = components(links)
-    # What is left: blocks of several components. The largest component of a block is dealt out over parts, and
-    # the block's other classes go to every part.
-    keys = keys.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).select("key", "id", "n", "comp")
-    per = keys.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
-        F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", F.col("comp"))).alias("main"), F.count("*").alias("k")).filter("k > 1")
-    parts = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    few = (F.col("m") - F.col("most")) <= BLOCK_ROWS
-    chunk = F.pmod(F.xxhash64("id"), parts).cast("int")
-    rows = keys.join(per, "key").withColumn("parts", parts).withColumn("chunk", chunk)
-    # A block of very many components: every pair of chunks meets in one part.
-    pairs_of = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("chunk")) * F.col("parts") + F.greatest(j, F.col("chunk")))
-    where = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(few & (F.col("comp") == F.col("main")), F.array("chunk")) \
-        .when(few, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(pairs_of)
-    rows = rows.select("key", "id", "n", "comp", F.explode(where).alias("part")).join(reps.select("id", "bits"), "id")
-    more = verified(_block_pairs(rows, percent), docs, words, percent)
+    rows = write_table(_several(keys, comp), "several")
+    for turn in range(1, STARS):
+        wide = rows.filter(F.col("c") - F.col("most") > BLOCK_ROWS)
+        if wide.isEmpty():
+            break
+        more = verified(_stars(wide, percent, turn), reps, docs, words, percent)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        comp = components(links)
+        rows = write_table(_several(keys, comp), "several")
+    groups = write_table(_survivors(_parts(rows, percent).join(reps.select("id", "bits"), "id"), percent), "groups")
+    more = _group_links(groups, _sets(groups.select("id"), reps, docs, words), percent)
     comp = components(links.union(more)) if not more.isEmpty() else comp
-    final = reps.select("k1", "k2", "n", "id").join(comp, "id", "left").select("k1", "k2", "n", F.coalesce("component_id", "id").alias("c"))
+    of_class = reps.select("k1", "k2", "n", "id", "doc").join(comp, "id", "left").withColumn("of", F.coalesce("component_id", "id"))
+    least = of_class.groupBy("of").agg(F.min("doc").alias("c"))
+    final = of_class.select("k1", "k2", "n", "of").join(least, "of").select("k1", "k2", "n", "c")
     return sets.select("doc_id", "n", "k1", "k2").join(final, ["k1", "k2", "n"], "left") \
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))

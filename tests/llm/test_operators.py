@@ -274,6 +274,41 @@ def test_similarity(spark, odd, none, words, percent, monkeypatch):
     assert again == got
 
 
+@pytest.mark.parametrize("rows_at_once", [512, 8])
+def test_large_blocks_of_near_copies(spark, monkeypatch, rows_at_once):
+    """Groups whose members are alike along chains, all in the same blocks: links that no centre has."""
+    rng = random.Random(16)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for _ in range(60):
+            text, at = list(base), rng.randrange(0, 100)
+            for k in range(rng.randrange(0, 14)):
+                text[(at + k) % 100] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows) * 7 % 1000, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(similarity_join, "BLOCK_ROWS", rows_at_once)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similarity_join.similarity_components(df, 3, 90).collect()}
+    assert got == brute(rows, 3, 90) and len({c for _, c in got.values()}) > 10
+
+
+def test_an_id_of_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    df = spark.createDataFrame([(5, a), (5, b), (3, a), (7, b), (5, a), (9, "c")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in similarity_join.similarity_components(df, 3, 90).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (5, 5), (7, 5), (9, 9)]
+
+
+def test_spanning_links_join_what_all_links_join():
+    rng = np.random.default_rng(17)
+    base = np.unique(rng.integers(0, 1 << 60, 50).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) > 0.08], rng.integers(0, 1 << 60, 3).astype(np.uint64)])) for _ in range(60)]
+    links = similarity_join.spanning_links(sets, np.arange(60), 80)
+    like = [(i, j) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    of = lambda pairs: similarity_join.connected(60, *np.array(pairs, np.int64).reshape(-1, 2).T).tolist()
+    assert len(links) < 60 < len(like) and of(links) == of(like)
+
+
 def test_similarity_of_odd_rows(spark, odd, none):
     got = similarity_join.similarity_components(odd, 3, 90).collect()
     comp = {r["doc_id"]: r["component_id"] for r in got}
@@ -286,8 +321,8 @@ def test_tree_loses_nothing():
     sets = [np.unique(rng.integers(0, 1 << 60, 60).astype(np.uint64)) for _ in range(40)]
     sets += [np.unique(np.concatenate([s[rng.random(len(s)) > 0.03], rng.integers(0, 1 << 60, 2).astype(np.uint64)])) for s in sets for _ in range(2)]
     n, ids = np.array([len(s) for s in sets]), np.arange(len(sets))
-    a, b = similarity_join.tree_pairs(ids, n, np.stack([similarity_join.signature(s) for s in sets]), ids, 80)
-    got = set(zip(a.tolist(), b.tolist()))
+    a, b = similarity_join.tree_pairs(n, np.stack([similarity_join.signature(s) for s in sets]), ids, 80)
+    got = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
     for i in ids:
         for j in ids[i + 1:]:
             k = len(np.intersect1d(sets[i], sets[j]))
