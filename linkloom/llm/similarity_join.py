@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import components, empty_worker, mix, shingle_sets, small_batches, write_table
 
-WORDS = 16  # of 64 bits, in the signatures of a tree's nodes
-WIDE = 64  # the same, in a class's signature
+BINS = 512  # in a class's signature; a tree's nodes have a bit for each
 LEAF = 16
 FANOUT = 8
 FREQUENT = 1 << 17
@@ -61,12 +60,9 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return got.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
-def signature(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
-    """A bitmap with one bit of each shingle set."""
-    bit = (hashes >> np.uint64(20)) % np.uint64(64 * words)
-    flags = np.zeros(64 * words, np.uint8)
-    flags[bit.astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").view(np.uint64)
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each bin (255 and more are one)."""
+    return np.minimum(np.bincount((hashes >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
 
 
 def prefix(hashes: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -90,7 +86,7 @@ def _set_key(s: np.ndarray) -> tuple[int, int, int]:
 
 
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Texts (doc_id, text) to (doc_id, n, k1, k2, prefix, bits): the size and a 128-bit digest of each set, and
+    """Texts (doc_id, text) to (doc_id, n, k1, k2, prefix, signature): size and a 128-bit digest of each set, and
     for sets that can be like a different one, their prefix and signature."""
     often = frequent_shingles(docs, words)
     order = np.argsort(often)
@@ -104,13 +100,13 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for s in shingle_sets(b.column(1), words):
                 n, k1, k2 = _set_key(s)
                 alone = 100 * n < percent * (n + 1)
-                p, bits = (None, None) if alone else (prefix(s, known, rank, percent).view(np.int64), signature(s).tobytes())
-                for col, v in zip(cols, (n, k1, k2, p, bits)):
+                p, counts = (None, None) if alone else (prefix(s, known, rank, percent).view(np.int64), signature(s).tobytes())
+                for col, v in zip(cols, (n, k1, k2, p, counts)):
                     col.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n", "k1", "k2", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n", "k1", "k2", "prefix", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, signature binary")
 
 
 # --- the signature tree -----------------------------------------------------------------------
@@ -119,23 +115,31 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(-1, dtype=np.int64)
 
 
+def _bitmaps(signatures: np.ndarray) -> np.ndarray:
+    """Which bins are met, as 64-bit words."""
+    return np.packbits(signatures > 0, axis=1, bitorder="little").view(np.uint64)
+
+
 def _allowed(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Do sizes and signatures allow two sets to be linked? Each bit that only one signature has stands for a
-    shingle that only one set has."""
-    most = (n + m - _popcount(x ^ y)) // 2
+    """Do sizes and signatures allow two sets to be linked? What a bin has more in one signature than in the other
+    are shingles that only one set has."""
+    most = (n + m - (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)) // 2
     return (most * (100 + percent) >= percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
 class Tree:
     """A tree over rows sorted by size and signature. levels[0] are the leaves' parents: for each level the
     nodes' OR and AND bitmaps, smallest and largest size, and component (or -1 where there are several). tail is
     the number of shingles from the block's own on, in the common order."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray, tail: np.ndarray):
-        self.n, self.bits, self.comp, self.tail = n, bits, comp, tail
-        self.levels = []
-        fold = np.bitwise_or.reduce(bits.reshape(len(n), -1, WORDS), axis=1)
-        cur = (fold, fold, n, n, comp, tail)
+    def __init__(self, n: np.ndarray, signatures: np.ndarray, bits: np.ndarray, comp: np.ndarray, tail: np.ndarray):
+        self.n, self.signatures, self.comp, self.tail = n, signatures, comp, tail
+        self.bits, self.levels = bits, []
+        cur = (bits, bits, n, n, comp, tail)
         step = LEAF
         while True:
             starts = np.arange(0, len(cur[2]), step)
@@ -171,16 +175,20 @@ class Tree:
         out_l, out_r = [left[:0]], [left[:0]]
         for at in range(0, len(left), 10_000):
             x, y = left[at: at + 10_000], right[at: at + 10_000]
-            good = _allowed(self.n[x], self.n[y], self.bits[x], self.bits[y], percent)
+            n = self.n[x] + self.n[y]
+            good = (n - _popcount(self.bits[x] ^ self.bits[y])) // 2 * (100 + percent) >= percent * n
+            x, y = x[good], y[good]
+            good = _allowed(self.n[x], self.n[y], self.signatures[x], self.signatures[y], percent)
             out_l.append(x[good])
             out_r.append(y[good])
         return np.concatenate(out_l), np.concatenate(out_r)
 
 
-def tree_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, percent: int, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(n: np.ndarray, signatures: np.ndarray, comp: np.ndarray, percent: int, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (row numbers) among the rows of one block."""
+    bits = _bitmaps(signatures)
     order = np.lexsort((bits[:, 1], bits[:, 0], n))
-    x, y = Tree(n[order], bits[order], comp[order], (n if tail is None else tail)[order]).candidates(percent)
+    x, y = Tree(n[order], signatures[order], bits[order], comp[order], (n if tail is None else tail)[order]).candidates(percent)
     return order[x], order[y]
 
 
@@ -252,18 +260,18 @@ def _edges_of(t: pa.Table, n_keys: int) -> np.ndarray:
 
 def _survivors(rows: DataFrame, percent: int) -> DataFrame:
     """(g, id, comp): the groups of classes that candidate pairs connect within the blocks (key, part) of rows
-    (key, part, id, comp, n, tail, bits). Of groups with the same classes one is given."""
+    (key, part, id, comp, n, tail, signature). Of groups with the same classes one is given."""
     def run(batches):
         empty_worker()
         for t in _whole_groups(batches, 2):
             edge = _edges_of(t, 2)
             key, part, ids, comp, n, tail = (t.column(c).to_numpy() for c in ("key", "part", "id", "comp", "n", "tail"))
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(t), -1)
+            signatures = _matrix(t.column("signature"))
             got: list[list] = [[], [], []]
             for i, j in zip(edge[:-1], edge[1:]):
                 if j - i < 2:
                     continue
-                x, y = tree_pairs(n[i:j], bits[i:j], comp[i:j], percent, tail[i:j])
+                x, y = tree_pairs(n[i:j], signatures[i:j], comp[i:j], percent, tail[i:j])
                 if not len(x):
                     continue
                 label = connected(j - i, x, y)
@@ -275,7 +283,7 @@ def _survivors(rows: DataFrame, percent: int) -> DataFrame:
             if got[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in got], names=["g", "id", "comp"])
 
-    cols = ["key", "part", "id", "comp", "n", "tail", "bits"]
+    cols = ["key", "part", "id", "comp", "n", "tail", "signature"]
     rows = rows.select(cols).repartition("key", "part").sortWithinPartitions("key", "part")
     got = write_table(rows.mapInArrow(run, "g long, id long, comp long"), "groups")
     one = got.groupBy("g").agg(*_digest("id")).groupBy("c", "x1", "x2").agg(F.min("g").alias("g")).select("g")
@@ -310,9 +318,9 @@ def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and signatures allow to be linked. A row's prefix stays behind."""
-    light = reps.select("id", "n", "bits")
-    got = pairs.join(light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a") \
-        .join(light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+    light = reps.select("id", "n", "signature")
+    got = pairs.join(light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("x")), "a") \
+        .join(light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("y")), "b")
 
     def run(batches):
         empty_worker()
@@ -320,7 +328,7 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             if not len(b):
                 continue
             na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(len(b), -1) for i in (4, 5))
+            x, y = _matrix(b.column(4)), _matrix(b.column(5))
             good = _allowed(na, nb, x, y, percent)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good))], names=["a", "b"])
 
@@ -421,7 +429,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = write_table(classes(docs, words, percent).withColumn("row", F.monotonically_increasing_id()), "classes")
     named = sets.filter("doc_id is not null and n > 0")
-    reps = write_table(named.groupBy("k1", "k2", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "reps")
+    reps = write_table(named.groupBy("k1", "k2", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature")), "reps")
     keys = _blocks(reps, percent)
     links = verified(_stars(keys.withColumn("comp", F.col("id")), percent, 0), reps, docs, words, percent)
     comp = components(links)
@@ -436,7 +444,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
         links = links.union(more)
         comp = components(links)
         rows = write_table(_several(keys, comp), "several")
-    groups = write_table(_survivors(_parts(rows, percent).join(reps.select("id", "bits"), "id"), percent), "groups")
+    groups = write_table(_survivors(_parts(rows, percent).join(reps.select("id", "signature"), "id"), percent), "groups")
     more = _group_links(groups, _sets(groups.select("id"), reps, docs, words), percent)
     comp = components(links.union(more)) if not more.isEmpty() else comp
     of_class = reps.select("k1", "k2", "n", "id", "doc").join(comp, "id", "left").withColumn("of", F.coalesce("component_id", "id"))
