@@ -6,6 +6,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 # --- Spark side -------------------------------------------------------------------------------
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: `spark.checkpoint.dir` of the session. Where that is unset (local
-    tests) a temporary folder is made once and set."""
+    """The folder all machines share: `spark.checkpoint.dir` of the session. Where that is unset a local session
+    (tests) gets a temporary folder, made once; on a cluster it is an error."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("linkloom.shared.dir", None)
     if not got:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         got = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("linkloom.shared.dir", got)
     return got.rstrip("/")
@@ -190,6 +193,12 @@ def shingle_sets(col: pa.Array, k: int):
             yield np.unique(sh[so[i]: so[i + 1]])
 
 
+def state_key(name: str) -> str:
+    """A key for worker_state that no other call gives: made on the driver, once for each model or broadcast. (An
+    address made in a worker may come back with another broadcast's values.)"""
+    return f"{name} {uuid.uuid4().hex}"
+
+
 def worker_state(key: str, make):
     """An object of this Python worker, made once."""
     cache = _STATES

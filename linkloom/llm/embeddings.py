@@ -150,8 +150,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, column: str = "
     rows = write_table(_classes(vectors, column), "vectors")
     good = rows.filter("key is not null and vec_id is not null")
     reps = write_table(_hashed(good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("vec").alias("vec")).select("id", "m", "vec")), "reps")
-    light = reps.select(F.explode("keys").alias("key"), "id")
-    met = light.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    light = reps.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
+    # Of buckets that hold the same vectors the first is enough: the first that any pair of them shares.
+    met = light.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("x2")).filter("c > 1") \
+        .groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key", "c")
     # Large buckets are split: rows are dealt to chunks, and each pair of chunks is compared in its own part.
     parts = F.ceil(F.col("c") / CHUNK).cast("int")
     dealt = light.join(met, "key").withColumn("parts", parts).withColumn("chunk", F.pmod(F.xxhash64("id"), parts).cast("int"))

@@ -102,24 +102,25 @@ def fingerprint(docs: DataFrame, k: int = 256, words: int = 5, text: str = "text
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
 
 
-def with_next(docs: DataFrame, run, schema: str, rows_per_bucket: int = 4000) -> DataFrame:
+def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     """Give each row together with the next one in ascending order of (doc_id, text), the first after the last.
     `run` gets iterators of batches (doc_id, text, bucket, own) in which rows are in order and a row with own
-    false only ends its bucket. Buckets are ranges of doc_id; the smallest row of each, one per bucket, is
-    copied to the end of the bucket before. A null doc_id comes first."""
+    false only ends its bucket. Buckets are ranges of doc_id, as many as the session has shuffle partitions at
+    most, cut by a sample of 30 ids a bucket; the smallest row of each, one per bucket, is copied to the end of
+    the bucket before. A null doc_id comes first; rows of one doc_id are in one bucket, by their texts."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
-    n_buckets = max(1, n // rows_per_bucket, min(partition_count(spark), n // 8))
-    cuts = docs.approxQuantile("doc_id", [i / n_buckets for i in range(1, n_buckets)], 0.2 / n_buckets) if n_buckets > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    marks = np.array(cuts, np.int64)
+    n_buckets = max(1, min(partition_count(spark), n // 8))
+    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"))
+    seen = np.sort(ids.sample(min(1.0, 30 * n_buckets / n), 11).toArrow().column("i").to_numpy()) if n_buckets > 1 else np.zeros(0, np.int64)
+    marks = np.unique(seen[np.arange(1, n_buckets) * len(seen) // n_buckets]) if len(seen) else seen
 
     @F.pandas_udf("long")
     def bucket(ids: pd.Series) -> pd.Series:  # how many cuts are at or below doc_id
-        return pd.Series(np.searchsorted(marks, ids.fillna(-(1 << 63)).to_numpy(np.int64), side="right"))
+        return pd.Series(np.searchsorted(marks, ids.to_numpy(np.int64), side="right"))
 
-    docs = docs.withColumn("bucket", bucket("doc_id") if cuts else F.lit(0).cast("long"))
+    docs = docs.withColumn("bucket", bucket(F.coalesce("doc_id", F.lit(-(1 << 63)))) if len(marks) else F.lit(0).cast("long"))
     # Smallest (doc_id, text) of each bucket: ids first, then the few texts that have them.
     low = docs.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("has_null"))
     lows = sorted((r["bucket"], None if r["has_null"] else r["low"]) for r in low.collect())

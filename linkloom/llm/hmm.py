@@ -6,8 +6,9 @@ Baum-Welch trains the states: every task adds up expected counts of its part of
 and only tables of states x classes reach the driver. A scaled forward recursion over the whole sequence, the
 end of text included, gives the exact likelihood of a text.
 
-Counts of words below the broadcast table stay distributed: they are joined to the texts' rare words only, none
-of which can be a hot key since every frequent word is in the table."""
+Counts of words below the broadcast table stay distributed: they are joined to the texts' rare words only. Every
+word that is frequent in training texts is in the table; one that is frequent in other texts alone is a key with
+many rows on the join's left side, which adaptive execution splits."""
 
 from __future__ import annotations
 
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_state, write_table
+from .common import small_batches, state_key, worker_state, write_table
 
 END = b"\n"  # the token after a text's words; no word has white space
 STATES = 6
 CLASSES = 8192  # frequent words that are classes of their own, the end included
 SHARED = 512  # classes of all other words
-TABLE = 65_536  # words whose counts are broadcast
+TABLE = 65_536  # words whose counts are broadcast, at most
 SEGMENT = 512  # tokens of a training sequence; scoring never cuts
 PAIRS = 384  # classes in the pair statistics that start the training
 
@@ -61,8 +62,8 @@ def shared_class(word: bytes) -> int:
 class Model:
     """What workers need: the broadcast counts and classes, totals, and the states' parameters."""
 
-    def __init__(self, top: list[tuple[bytes, int]], n: int, v: int, shared_n: np.ndarray, shared_v: np.ndarray):
-        self.n, self.v = n, v
+    def __init__(self, top: list[tuple[bytes, int]], n: int, v: int, least: int, shared_n: np.ndarray, shared_v: np.ndarray):
+        self.n, self.v, self.least = n, v, least
         self.words = [w for w, _ in top]
         self.counts = np.array([c for _, c in top], np.int64)
         self.shared_n, self.shared_v = shared_n, shared_v
@@ -72,30 +73,40 @@ class Model:
         return {w: i for i, w in enumerate(self.words)}
 
 
-def _frequent(counts: DataFrame) -> tuple[list[tuple[bytes, int]], int, int]:
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    rows = counts.orderBy(F.col("c").desc(), "word").limit(TABLE).collect()  # bounded by TABLE
-    return [(bytes(r["word"]), r["c"]) for r in rows], n, v
+def _frequent(counts: DataFrame) -> tuple[list[tuple[bytes, int]], int, int, int]:
+    """The frequent words (all that occur `least` times or more, TABLE of them at most) with their counts, all
+    tokens, distinct words, and `least`. A histogram of the counts' logarithms tells `least`, so that tasks send
+    no more than the words that are kept."""
+    per = counts.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 64).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.min("c").alias("low")).collect()  # 64 rows for each doubling
+    n, v = sum(r["n"] for r in per), sum(r["v"] for r in per)
+    least, room = (1 << 62), TABLE
+    for r in sorted(per, key=lambda r: -r["low"]):
+        room -= r["v"]
+        if room < 0:
+            break
+        least = r["low"]
+    rows = counts.filter(F.col("c") >= least).collect()  # TABLE rows at most
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0])), n, v, least
 
 
 def prepare(train: DataFrame) -> tuple[Model, DataFrame]:
     """Count the words of `train` (text binary): the model without states, and the counts as a written table."""
     counts = write_table(word_counts(train), "words")
-    top, n, v = _frequent(counts)
+    top, n, v, least = _frequent(counts)
     first = counts.sparkSession.createDataFrame([(bytearray(w),) for w, _ in top[:CLASSES]], "word binary")
     rest = counts.join(F.broadcast(first), "word", "left_anti")
     per = rest.groupBy((F.crc32(F.substring("word", -3, 3)) % SHARED).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     shared_n, shared_v = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
     for r in per:
         shared_n[r["k"]], shared_v[r["k"]] = r["n"], r["v"]
-    return Model(top, n, v, shared_n, shared_v), counts
+    return Model(top, n, v, least, shared_n, shared_v), counts
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
     """docs (key columns.., text binary last) as (key columns.., classes binary, n_tokens, n_known, base_score,
     inner_score, rare): base_score and inner_score (words within their shared classes) cover what the broadcast
     table knows, and rare holds the other words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), state_key("encode")
     keys = docs.schema.fields[:-1]
 
     def state():
@@ -110,7 +121,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
         return known, base, inner, cls
 
     def run(batches):
-        known, base, inner, cls = worker_state(f"encode {id(shared)}", state)
+        known, base, inner, cls = worker_state(name, state)
         get = known.get
         end = get(END, -1)
         for b in batches:
@@ -357,9 +368,7 @@ def score(docs: DataFrame, train: str = "train", rounds: int = 3) -> DataFrame:
         run, "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, inner_score double, states_score double")
     # Words below the broadcast table: one row per text and word, joined to their counts.
     rare = coded.select("row", F.explode("rare").alias("word"))
-    low = counts
-    if len(model.counts):
-        low = counts.filter(F.col("c") <= int(model.counts[-1]))
+    low = counts.filter(F.col("c") < model.least)
     sizes = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(zip(model.shared_n, model.shared_v))], "k int, sn long, sv long")
     met = rare.join(low, "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"), (F.crc32(F.substring("word", -3, 3)) % SHARED).cast("int").alias("k")) \
         .join(F.broadcast(sizes), "k")

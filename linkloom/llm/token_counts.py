@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import small_batches, worker_state
+from .common import small_batches, state_key, worker_state
 
 #: The characters with Unicode's White_Space property.
 WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -82,20 +82,17 @@ def frequent_table(docs: DataFrame, path: str, size: int, sample_docs: int, text
 
     n = docs.count()
     part = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    part = part.sample(min(1.0, sample_docs / n), 7).coalesce(8) if n else part
+    part = part.sample(min(1.0, sample_docs / n), 7) if n else part
 
-    def top(batches):
+    def count(batches):
         seen: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(PRE.findall(t))
-        best = seen.most_common(size)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([c for _, c in best], pa.int64())], names=["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
-    total: Counter = Counter()
-    for w, c in part.mapInArrow(top, "w string, n long").toLocalIterator():
-        total[w] += c
-    words = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    total = part.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
+    words = [r["w"] for r in total.orderBy(F.col("n").desc(), "w").limit(size).collect()]  # of the sample's words, `size` at most
     tok = Tokenizer.from_file(path)
     specials = {t.content for t in tok.get_added_tokens_decoder().values()}
     words = [w for w in words if not any(s in w for s in specials)]
@@ -113,12 +110,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", table
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("n_tokens") if "n_tokens" in docs.columns else docs
-    table = spark.sparkContext.broadcast(frequent_table(docs, tokenizer_path, table_size, sample_docs, text))
+    table, name = spark.sparkContext.broadcast(frequent_table(docs, tokenizer_path, table_size, sample_docs, text)), state_key("lengths")
     at = docs.columns.index(text)
     out = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]
 
     def run(batches):
-        state = worker_state(f"lengths {tokenizer_path} {table.id if hasattr(table, 'id') else id(table)}", lambda: Lengths(tokenizer_path, table.value, cache_entries))
+        state = worker_state(name, lambda: Lengths(tokenizer_path, table.value, cache_entries))
         for b in batches:
             n = state.counts([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in out), pa.array(n, pa.int64())], names=[*(b.schema.names[i] for i in out), "n_tokens"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import mix, small_batches, word_hashes, worker_state
+from .common import mix, small_batches, state_key, word_hashes, worker_state
 
 TABLE = 1 << 17
 DIM = 6
@@ -128,7 +128,7 @@ def margins(texts: list[bytes], model: dict, cache: dict, most: int = 400_000) -
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 3000, id_col: str = "doc_id", text: str = "text") -> dict:
     """Train on a bounded sample of labelled rows: at most `most` documents of each class, those whose ids have
-    the smallest hashes. A document labelled more than once is toxic if any label says so; null labels and
+    the smallest hashes, one text of each id. A document labelled more than once is toxic if any label says so; null labels and
     labels without a document teach nothing."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
     if not rows:
         return train([], np.zeros(0))
     chosen = F.broadcast(spark.createDataFrame(rows, "i long, y int"))
-    got = docs.join(chosen, F.col(id_col) == F.col("i")).select("i", "y", F.coalesce(F.col(text), F.lit("")).alias("t")).toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
+    got = docs.join(chosen, F.col(id_col) == F.col("i")).groupBy("i", "y").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("t")).toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
     return train([t.encode() for t in got.column("t").to_pylist()], got.column("y").to_numpy())
 
 
@@ -148,12 +148,12 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7, text: str = "tex
     names are replaced; repeated rows are each scored alike."""
     small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, state = docs.sparkSession.sparkContext.broadcast(model), state_key("toxicity")
     at = docs.columns.index(text)
     out = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]
 
     def run(batches):
-        cache = worker_state(f"toxicity {id(shared)}", dict)
+        cache = worker_state(state, dict)
         for b in batches:
             z = margins([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()], shared.value, cache)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
