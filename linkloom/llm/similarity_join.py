@@ -258,36 +258,59 @@ def _edges_of(t: pa.Table, n_keys: int) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1, [len(t)]])
 
 
-def _survivors(rows: DataFrame, percent: int) -> DataFrame:
-    """(g, id, comp): the groups of classes that candidate pairs connect within the blocks (key, part) of rows
-    (key, part, id, comp, n, tail, signature). Of groups with the same classes one is given."""
+def _pairs_within(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one group each, of groups that begin at `edge` (the last is the end)."""
+    size = np.diff(edge)
+    later = np.repeat(edge[1:], size) - np.arange(edge[-1]) - 1
+    x = np.repeat(np.arange(edge[-1]), later)
+    return x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+
+
+def _bounded(x: np.ndarray, y: np.ndarray, n: np.ndarray, comp: np.ndarray, tail: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows, of different components, that sizes and the places of the shared shingle allow."""
+    ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+    ok &= np.minimum(tail[x], tail[y]) * (100 + percent) >= percent * (n[x] + n[y])
+    return x[ok], y[ok]
+
+
+def _candidate_groups(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """(g, id, comp, n, tail): the groups of classes that candidate pairs connect within the blocks `by` of rows (by..,
+    id, comp, n, tail and maybe signature). Without signatures sizes and tails tell candidates; with them, a
+    signature tree, or one leaf of it in a small block. Of groups of the same classes that of the first shingle stays."""
+    signed = "signature" in rows.columns
+
     def run(batches):
         empty_worker()
-        for t in _whole_groups(batches, 2):
-            edge = _edges_of(t, 2)
-            key, part, ids, comp, n, tail = (t.column(c).to_numpy() for c in ("key", "part", "id", "comp", "n", "tail"))
-            signatures = _matrix(t.column("signature"))
-            got: list[list] = [[], [], []]
-            for i, j in zip(edge[:-1], edge[1:]):
-                if j - i < 2:
-                    continue
-                x, y = tree_pairs(n[i:j], signatures[i:j], comp[i:j], percent, tail[i:j])
-                if not len(x):
-                    continue
-                label = connected(j - i, x, y)
-                met = np.unique(np.concatenate([x, y]))
-                # The group's number: of its block and its first class.
-                g = mix(key[i:j][met].view(np.uint64) ^ mix((part[i:j][met] << 20 | label[met]).astype(np.uint64))).view(np.int64)
-                for col, v in zip(got, (g, ids[i:j][met], comp[i:j][met])):
-                    col.append(v)
-            if got[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in got], names=["g", "id", "comp"])
+        for t in _whole_groups(batches, len(by)):
+            edge = _edges_of(t, len(by))
+            ids, comp, n, tail = (t.column(c).to_numpy() for c in ("id", "comp", "n", "tail"))
+            x, y = np.zeros((2, 0), np.int64)
+            if signed:
+                signatures = _matrix(t.column("signature"))
+            if signed and (np.diff(edge) > LEAF).any():
+                for i, j in zip(edge[:-1], edge[1:]):
+                    p, q = tree_pairs(n[i:j], signatures[i:j], comp[i:j], percent, tail[i:j])
+                    x, y = np.concatenate([x, p + i]), np.concatenate([y, q + i])
+            else:
+                x, y = _bounded(*_pairs_within(edge), n, comp, tail, percent)
+                if signed:
+                    ok = _allowed(n[x], n[y], signatures[x], signatures[y], percent)
+                    x, y = x[ok], y[ok]
+            if not len(x):
+                continue
+            label = connected(len(t), x, y)
+            met = np.unique(np.concatenate([x, y]))
+            # A group's number: of its block and its first class.
+            g = ids[label[met]].view(np.uint64)
+            for k in by:
+                g = mix(g) ^ t.column(k).to_numpy()[met].view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (mix(g).view(np.int64), ids[met], comp[met], n[met], tail[met])], names=["g", "id", "comp", "n", "tail"])
 
-    cols = ["key", "part", "id", "comp", "n", "tail", "signature"]
-    rows = rows.select(cols).repartition("key", "part").sortWithinPartitions("key", "part")
-    got = write_table(rows.mapInArrow(run, "g long, id long, comp long"), "groups")
-    one = got.groupBy("g").agg(*_digest("id")).groupBy("c", "x1", "x2").agg(F.min("g").alias("g")).select("g")
-    return got.join(one, "g", "left_semi")
+    cols = [*by, "id", "comp", "n", "tail", *(["signature"] if signed else [])]
+    rows = rows.select(cols).repartition(*by).sortWithinPartitions(*by)
+    got = write_table(rows.mapInArrow(run, "g long, id long, comp long, n long, tail long"), "groups")
+    one = got.groupBy("g").agg(*_digest("id"), F.sum("tail").alias("tails")).groupBy("c", "x1", "x2").agg(F.max_by("g", F.struct("tails", "g")).alias("g")).select("g")
+    return write_table(got.join(one, "g", "left_semi"), "groups")
 
 
 def _digest(col: str) -> list:
@@ -444,7 +467,8 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
         links = links.union(more)
         comp = components(links)
         rows = write_table(_several(keys, comp), "several")
-    groups = write_table(_survivors(_parts(rows, percent).join(reps.select("id", "signature"), "id"), percent), "groups")
+    groups = _candidate_groups(_parts(rows, percent), ["key", "part"], percent)
+    groups = _candidate_groups(groups.join(reps.select("id", "signature"), "id"), ["g"], percent)
     more = _group_links(groups, _sets(groups.select("id"), reps, docs, words), percent)
     comp = components(links.union(more)) if not more.isEmpty() else comp
     of_class = reps.select("k1", "k2", "n", "id", "doc").join(comp, "id", "left").withColumn("of", F.coalesce("component_id", "id"))
