@@ -223,6 +223,63 @@ def empty_worker() -> None:
         pass
 
 
+class WordCache(dict):
+    """Words to ids, as bytes of 32-bit little-endian numbers. A word that isn't there comes from the older
+    generation, or gets a number from OPEN on in place of its ids, and is noted in `new`."""
+
+    OPEN = 1 << 31
+
+    def __init__(self, before: dict):
+        super().__init__()
+        self.before, self.new = before, []
+
+    def __missing__(self, word):
+        ids = self.before.get(word)
+        if ids is None:
+            ids = (self.OPEN + len(self.new)).to_bytes(4, "little")
+            self.new.append(word)
+        self[word] = ids
+        return ids
+
+    def filled(self, raw: bytes, got: list[bytes]) -> bytes:
+        """`raw` with the ids of new words, `got`, where their numbers stand."""
+        ids = np.frombuffer(raw, "<u4")
+        at = np.flatnonzero(ids >= self.OPEN)
+        parts, begin = [], 0
+        for j, k in zip((4 * at).tolist(), (ids[at] - np.uint32(self.OPEN)).tolist()):
+            parts += (raw[begin:j], got[k])
+            begin = j + 4
+        parts.append(raw[begin:])
+        return b"".join(parts)
+
+
+def ids_of_texts(texts, split, cache: WordCache, learn, most_new: int = 1 << 15) -> list[bytes]:
+    """The ids of texts (joined over the words that split() gives); learn() gets the list of new words and returns
+    their ids, which are kept, after every `most_new` of them."""
+    out: list[bytes] = []
+    late: list[int] = []
+    get, new = cache.__getitem__, cache.new
+
+    def settle() -> None:
+        got = learn(new)
+        cache.update(zip(new, got))
+        new.clear()
+        for i in late:
+            out[i] = cache.filled(out[i], got)
+        late.clear()
+
+    for t in texts:
+        n = len(new)
+        out.append(b"".join(map(get, split(t))))
+        if n or len(new) > n:  # it may also have words that are new since an earlier text
+            late.append(len(out) - 1)
+            if len(new) > most_new:
+                settle()
+    if late:
+        settle()
+    return out
+
+
 # --- connected components ---------------------------------------------------------------------
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

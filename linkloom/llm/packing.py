@@ -8,6 +8,7 @@ Only lengths travel between rounds, in written tables; only counts by length and
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import reduce
 
@@ -17,105 +18,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker_state, write_table
+from .common import WordCache, ids_of_texts, small_batches, worker_state, write_table
 
 
-#: ASCII marks at a word's end: with no letter or digit after them they are one pre-token.
-TRAILING = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-
+#: A character that is a token of its own between blanks, and is hardly ever in a text.
+BETWEEN = "\x01"
 
 class WordIds:
     """Token ids of ASCII-white-space-separated words, as bytes of unsigned 32-bit little-endian numbers. Right
-    for tokenizers that drop white space and whose patterns never cross it."""
+    for tokenizers that drop white space and whose patterns never cross it. Words are kept in two generations:
+    when the young one is full it becomes the old one, from which a word that is met again comes back, so
+    frequent words stay and words met once go."""
 
     def __init__(self, path: str, cache_entries: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        self.cache: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+        self.cache = WordCache({})
         self.most = cache_entries // 2
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a pre-token
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        between = self.tok.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
 
-    def learn(self, missing: set[bytes]) -> None:
-        """Put words in the cache. It has two generations: when the young one is full it becomes the old one, from
-        which a word that is met again comes back, so frequent words stay and words met once go."""
-        if len(self.cache) > self.most:
-            self.before, self.cache = self.cache, {}
-        old = self.before.get
-        new = []
-        for w in missing:
-            got = old(w)
-            if got is None:
-                new.append(w)
-            else:
-                self.cache[w] = got
-        plain, counts, other = [], [], []
-        for w in new:
-            t = w.decode()
-            core = t.rstrip(TRAILING)
-            if core.isalpha():
-                plain.append(t)
-                counts.append(1 if len(core) == len(t) else 2)
-            else:
-                other.append(t)
-        for at in range(0, len(plain), 1 << 14):
-            other += self._joined(plain[at: at + (1 << 14)], np.array(counts[at: at + (1 << 14)]))
-        for at in range(0, len(other), 4096):
-            part = other[at: at + 4096]
-            ids = self.encode(part, add_special_tokens=False)
-            self.cache.update((w.encode(), np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, ids))
-
-    def _joined(self, words: list[str], counts: np.ndarray, run: int = 64) -> list[str]:
-        """Encode words in runs with blanks between, which is cheaper than one by one, and put them in the cache;
-        counts has each word's pre-tokens, letters and then marks. No word has fewer, so a run with as many
-        ends of pre-tokens as expected has each word's in its place. Words of other runs are returned."""
-        left = []
+    def learn(self, words: list[bytes], run: int = 64) -> list[bytes]:
+        """The ids of words. Words are encoded in runs with BETWEEN between them, which is
+        cheaper than one by one; a run with more of it than that is encoded word by word."""
+        out: list[bytes] = []
         starts = range(0, len(words), run)
-        for at, e in zip(starts, self.encode([" ".join(words[i: i + run]) for i in starts], add_special_tokens=False)):
-            part = words[at: at + run]
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum(counts[at: at + run])
-            if len(ends) != last[-1]:
-                left += part
-                continue
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(part, (4 * ends[last - 1]).tolist()):
-                self.cache[w.encode()] = raw[begin:end]
-                begin = end
-        return left
+        for group in range(0, len(starts), 64):
+            part = [words[i: i + run] for i in starts[group: group + 64]]
+            for ws, e in zip(part, self.encode([f" {BETWEEN} ".join([w.decode() for w in ws]) for ws in part], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cut = np.flatnonzero(ids == self.between) if self.between is not None else ids[:0]
+                if len(cut) == len(ws) - 1 and not any(b"<|" in w for w in ws):
+                    raw = ids.tobytes()
+                    cut = (4 * cut).tolist()
+                    out += [raw[i:j] for i, j in zip([0, *[c + 4 for c in cut]], [*cut, len(raw)])]
+                else:
+                    out += [np.array(x.ids, "<u4").tobytes() for x in self.encode([w.decode() for w in ws], add_special_tokens=False)]
+        return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Letters A-Z are lowered first, as the tokenizer does, unless a special string may
         stand in the text."""
-        out: list = [None] * len(texts)
-        late, missing = [], set()
-        get = self.cache.__getitem__
-        for i, t in enumerate(texts):
-            words = (t if b"<|" in t else t.lower()).split()
-            try:
-                out[i] = b"".join(map(get, words))
-            except KeyError:
-                missing.update(set(words).difference(self.cache))
-                late.append((i, words))
-        if late:
-            full = len(self.cache) > self.most
-            if full:
-                missing = {w for _, words in late for w in words}
-            self.learn(missing)
-            get = self.cache.__getitem__
-            for i, words in late:
-                out[i] = b"".join(map(get, words))
-        return out
+        if len(self.cache) > self.most:
+            self.cache = WordCache(dict(self.cache))
+        return ids_of_texts(texts, lambda t: (t if b"<|" in t else t.lower()).split(), self.cache, self.learn)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, cache_entries: int = 400_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, cache_entries: int = 1_000_000) -> DataFrame:
     """The pieces of each document's ids (a null text is empty) with `end_id` after them: (doc_id, piece, start,
     length, ids_crc32). Only documents longer than `size` are cut; repeated rows give pieces each."""
     small_batches(docs.sparkSession)
