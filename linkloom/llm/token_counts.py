@@ -8,6 +8,7 @@ its pre-tokens' counts. Special strings inside texts count as the library's defa
 from __future__ import annotations
 
 import io
+import os
 import re
 from collections import Counter
 
@@ -23,10 +24,23 @@ WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x20
 PRE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
+class _Counts(dict):
+    """Pre-tokens to their counts, with what was asked for in vain: that is 0, and noted in `missing`."""
+
+    def __init__(self, first: dict):
+        super().__init__(first)
+        self.missing: list[str] = []
+
+    def __missing__(self, word):
+        self.missing.append(word)
+        return 0
+
+
 class Lengths:
     """Both tiers in one worker. cache_entries bounds the second."""
 
     def __init__(self, path: str, table: bytes, cache_entries: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -37,7 +51,7 @@ class Lengths:
         self.cut = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         t = pa.ipc.open_stream(io.BytesIO(table)).read_all()
         self.first = dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))
-        self.cache, self.most = dict(self.first), len(self.first) + cache_entries
+        self.cache, self.before, self.most = _Counts(self.first), {}, len(self.first) + cache_entries // 2
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text, and the number of special strings between them."""
@@ -47,32 +61,39 @@ class Lengths:
         return [p for x in parts for p in PRE.findall(x)], len(parts) - 1
 
     def counts(self, texts: list[str]) -> list[int]:
-        out, late, missing = [0] * len(texts), [], set()
-        get = self.cache.__getitem__
-        for i, t in enumerate(texts):
+        if len(self.cache) > self.most:  # two generations: what is met again comes back from the older one
+            self.before, self.cache = dict(self.cache), _Counts(self.first)
+        out, late = [], []
+        get, missing = self.cache.__getitem__, self.cache.missing
+        n_missing = 0
+        for t in texts:
             pre, n = self.pieces(t)
-            try:
-                out[i] = n + sum(map(get, pre))
-            except KeyError:
-                missing.update(set(pre).difference(self.cache))
-                late.append((i, pre, n))
-                if len(missing) > 200_000:
-                    self._settle(late, missing, out)
-                    get = self.cache.__getitem__
-        self._settle(late, missing, out)
+            out.append(n + sum(map(get, pre)))
+            if missing:
+                late.append((len(out) - 1, missing[:]))
+                n_missing += len(missing)
+                missing.clear()
+                if n_missing > 200_000:
+                    self._settle(late, out)
+                    n_missing = 0
+        self._settle(late, out)
         return out
 
-    def _settle(self, late: list, missing: set, out: list) -> None:
-        words = list(missing)
+    def _settle(self, late: list, out: list) -> None:
+        """Add the counts of pre-tokens that weren't in the cache."""
+        words = []
+        for w in set().union(*(ws for _, ws in late)):
+            n = self.before.get(w)
+            if n is None:
+                words.append(w)
+            else:
+                self.cache[w] = n
         for at in range(0, len(words), 4096):
             part = words[at: at + 4096]
             self.cache.update(zip(part, (len(e.ids) for e in self.encode(part, add_special_tokens=False))))
-        for i, pre, n in late:
-            out[i] = n + sum(map(self.cache.__getitem__, pre))
+        for i, ws in late:
+            out[i] += sum(map(self.cache.__getitem__, ws))
         late.clear()
-        missing.clear()
-        if len(self.cache) > self.most:
-            self.cache = dict(self.first)
 
 
 def frequent_table(docs: DataFrame, path: str, size: int, sample_docs: int, text: str = "text") -> bytes:
