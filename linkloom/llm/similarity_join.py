@@ -390,12 +390,15 @@ def _blocks(reps: DataFrame, percent: int) -> DataFrame:
     """(key, id, n, tail): the classes that have a shingle in their prefixes. tail counts a class's shingles from the
     key on. A block stays if it can be the first that a linked pair shares: the smaller set of such a pair has at
     least 2t / (1 + t) of its shingles from there on. Of blocks of the same classes the one of the first key stays,
-    where the classes' tails are longest."""
+    where the classes' tails are longest. Blocks of up to BLOCK_ROWS classes are then taken apart into groups that
+    sizes and tails connect, each with a key of its own."""
     rows = reps.filter("prefix is not null").select("id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "id", "n", (F.col("n") - F.col("pos")).alias("tail"))
     first = (F.col("tail") * (100 + percent) >= 2 * percent * F.col("n"))
     per = rows.groupBy("key").agg(*_digest("id"), F.max(first).alias("first"), F.sum("tail").alias("tails")).filter("c > 1 and first")
-    one = per.groupBy("c", "x1", "x2").agg(F.max_by("key", F.struct("tails", "key")).alias("key")).select("key")
-    return write_table(rows.join(one, "key", "left_semi"), "blocks")
+    one = per.groupBy("c", "x1", "x2").agg(F.max_by("key", F.struct("tails", "key")).alias("key")).select("key", "c")
+    rows = write_table(rows.join(one, "key"), "blocks")
+    small = _candidate_groups(rows.filter(F.col("c") <= BLOCK_ROWS).withColumn("comp", F.col("id")), ["key"], percent)
+    return small.select(F.col("g").alias("key"), "id", "n", "tail").unionByName(rows.filter(F.col("c") > BLOCK_ROWS).drop("c"))
 
 
 def _several(keys: DataFrame, comp: DataFrame) -> DataFrame:
