@@ -19,29 +19,31 @@ def _kept(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null texts and texts without a letter (`und`)."""
+    """Drop documents without a language: null texts and texts without a letter (`und`). Rows that repeat an id are
+    judged each by its text; an empty table stays empty."""
     model = language.train(docs)
     return _kept(language.identify(docs, model).filter(F.col("lang_pred") != language.UNKNOWN))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that score 0.7 or more, by a model of the labels of the documents that are here."""
+    """Drop documents that score 0.7 or more, by a model of the labels of the documents that are here. Rows that repeat
+    an id are judged each by its text; without labels nothing goes."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _kept(toxicity.score(docs, model, 0.7).filter("predicted = 0"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each group linked by a Jaccard likeness of 0.8 or more of
-    five-word shingles. A document without an id is kept; of rows that repeat an id, one stays."""
+    five-word shingles. A document without an id is kept. Of rows that repeat an id and a text one stays; an id of
+    several texts stays with all of them if it is the smallest of one's group."""
     comp = similarity_join.similarity_components(docs, words=5, percent=80)
     keep = comp.filter("doc_id = component_id").select("doc_id").distinct()
-    # Rows of one id repeat one text: any of them stands for all.
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(keep, "doc_id", "left_semi").withColumn("_text", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"])
     return _kept(named.unionByName(docs.filter("doc_id is null")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents that are left into sequences of at most 2048 tokens."""
+    """Pack all documents that are left into sequences of at most 2048 tokens; rows that repeat an id are packed each."""
     return packing.best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
 
