@@ -32,6 +32,15 @@ def ratio_possible(a: Column, b: Column, least: float) -> Column:
     return F.lit(2.0) * F.least(la, lb) >= F.lit(least) * (la + lb)
 
 
+def common_possible(a: Column, b: Column, least: float) -> Column:
+    """A bound from the characters alone: the distinct characters that only one string has can't be in a common
+    subsequence."""
+    x, y = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))
+    la, lb = F.length(a), F.length(b)
+    most = F.least(la - F.size(F.array_except(x, y)), lb - F.size(F.array_except(y, x)))
+    return F.lit(2.0) * most >= F.lit(least) * (la + lb)
+
+
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of the lower-cased alphanumeric words, each padded by two spaces before and one after."""
     words = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))

@@ -6,11 +6,14 @@ entities found and their order of relevance within a query, from 1 on."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..schema import keep_first, norm, top_k
+from ..session import cut
 from ..sources import kb
 
 LIMIT = 50
@@ -35,19 +38,20 @@ def exact(queries: DataFrame, records: DataFrame) -> DataFrame:
 
 def fuzzy(queries: DataFrame, records: DataFrame, min_similarity: float = 0.75, prefix_length: int = 1) -> DataFrame:
     """Labels that share the query's first characters and are similar enough; else the first such alias. An entity
-    whose label doesn't share them is passed over with its aliases. Blocked by the prefix and the length bound."""
-    ratio = S.indel_ratio
+    whose label doesn't share them is passed over with its aliases. Forms are blocked by the prefix and a band of
+    lengths; of each pair of distinct strings lengths and common characters bound the similarity before it is worked
+    out, once."""
     r = records.select("entity_id", "load_ord", F.lower("label").alias("lab"), "aliases").withColumn("p", F.substring("lab", 1, prefix_length))
-    pairs = queries.withColumn("p", F.substring("q", 1, prefix_length)).join(r, "p")
-    least = F.lit(min_similarity)
-    lab = pairs.filter(S.ratio_possible(F.col("q"), F.col("lab"), min_similarity)).withColumn("sim", ratio(F.col("q"), F.col("lab"))).filter(F.col("sim") >= least) \
-        .select("q", "entity_id", "load_ord", "sim")
-    al = pairs.select("q", "entity_id", "load_ord", "p", F.posexplode("aliases").alias("pos", "a")).withColumn("a", F.lower("a")) \
-        .filter((F.substring("a", 1, prefix_length) == F.col("p")) & S.ratio_possible(F.col("q"), F.col("a"), min_similarity)) \
-        .withColumn("sim", ratio(F.col("q"), F.col("a"))).filter(F.col("sim") >= least)
-    al = keep_first(al, ["q", "entity_id"], "pos").select("q", "entity_id", "load_ord", "sim")
-    both = lab.withColumn("alias", F.lit(0)).unionByName(al.withColumn("alias", F.lit(1)))
-    both = keep_first(both, ["q", "entity_id"], "alias")
+    alias = r.select("entity_id", "load_ord", "p", F.posexplode("aliases").alias("pos", "form")).withColumn("form", F.lower("form")).filter(F.substring("form", 1, prefix_length) == F.col("p"))
+    forms = r.select("entity_id", "load_ord", F.lit(-1).alias("pos"), F.col("lab").alias("form")).unionByName(alias.select("entity_id", "load_ord", "pos", "form"))
+    # The shorter string has at least t / (2 - t) of the longer one's length: its band is the same or a neighbour.
+    width = 1.001 * max(math.log((2 - min_similarity) / min_similarity), 0.05) if 0 < min_similarity else None
+    band = lambda c: F.floor(F.log(F.length(c) + 1e-9) / width) if width else F.lit(0)
+    p = lambda c: F.substring(c, 1, prefix_length)
+    texts = forms.select("form").distinct().select("form", p("form").alias("p"), F.explode(F.array(*[band(F.col("form")) + i for i in ((-1, 0, 1) if width else (0,))])).alias("band"))
+    pairs = queries.select("q", p("q").alias("p"), band(F.col("q")).alias("band")).join(texts, ["p", "band"]).filter(S.ratio_possible(F.col("q"), F.col("form"), min_similarity))
+    sims = pairs.filter(S.common_possible(F.col("q"), F.col("form"), min_similarity)).withColumn("sim", S.indel_ratio(F.col("q"), F.col("form"))).filter(F.col("sim") >= min_similarity)
+    both = keep_first(sims.select("q", "form", "sim").join(forms, "form"), ["q", "entity_id"], "pos")
     return _ranked(both, F.col("sim").desc(), "load_ord", "entity_id")
 
 
@@ -64,25 +68,39 @@ def key_value(queries: DataFrame, table: DataFrame, now: str | None = None) -> D
 
 def contains(queries: DataFrame, records: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Labels or aliases that hold the query anywhere, by popularity. Queries of three characters or more are
-    joined by one of their trigrams, so no pair is made that shares none; shorter ones by their first character."""
+    joined by that of their trigrams which the fewest forms have, shorter ones by all of their characters."""
     forms = kb.surface_forms(records)
-    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-    long = queries.filter(F.length("q") >= 3).withColumn("g", F.substring("q", 1, 3))
-    grams = forms.filter(F.length("key") >= 3).select("entity_id", "key", F.explode(gram(F.col("key"))).alias("g"))
-    chars = forms.select("entity_id", "key", F.explode(F.array_distinct(F.split("key", ""))).alias("g"))
-    short = queries.filter((F.length("q") < 3) & (F.length("q") > 0)).withColumn("g", F.substring("q", 1, 1))
-    hit = long.join(grams, "g").unionByName(short.join(chars, "g")).filter(F.col("key").contains(F.col("q"))).select("q", "entity_id").distinct()
+    gram = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(c, i, F.lit(k))))
+    grams = None
+    for k in (1, 2, 3):
+        part = forms.filter(F.length("key") >= k).select("entity_id", "key", F.explode(gram(F.col("key"), k)).alias("g"))
+        grams = part if grams is None else grams.unionByName(part)
+    size = F.least(F.length("q"), F.lit(3))
+    want = queries.filter(F.length("q") > 0).select("q", F.explode(F.when(size == 3, gram(F.col("q"), 3)).otherwise(F.array("q"))).alias("g"))
+    met = want.join(grams.groupBy("g").agg(F.count("*").alias("n")), "g", "left")  # a trigram that no form has ends a query
+    rare = met.groupBy("q").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    hit = rare.join(grams, "g").filter(F.col("key").contains(F.col("q"))).select("q", "entity_id").distinct()
     hit = hit.join(records.select("entity_id", "popularity"), "entity_id")
     return _ranked(top_k(hit, ["q"], limit, F.col("popularity").desc(), "entity_id"), F.col("popularity").desc(), "entity_id")
 
 
 def trigram(queries: DataFrame, records: DataFrame, min_similarity: float = 0.3, limit: int = LIMIT) -> DataFrame:
-    """Labels by trigram similarity: an inverted index of trigrams is joined and the shared ones counted."""
-    q = queries.withColumn("g", S.trigrams(F.col("q")))
-    r = records.select("entity_id", "popularity", S.trigrams(F.col("label")).alias("g"))
-    shared = q.select("q", F.size("g").alias("nq"), F.explode("g").alias("t")).join(r.select("entity_id", "popularity", F.size("g").alias("nr"), F.explode("g").alias("t")), "t") \
-        .groupBy("q", "entity_id", "popularity", "nq", "nr").agg(F.count("*").alias("c"))
-    sim = shared.withColumn("sim", F.col("c") / (F.col("nq") + F.col("nr") - F.col("c"))).filter(F.col("sim") >= min_similarity)
+    """Labels by trigram similarity. Of two sets of trigrams that are alike enough one of the rarest n - ceil(t n) + 1
+    of either is common to both (rarest first by their numbers among the labels), so only those are joined; pairs
+    of distinct strings whose sizes allow the similarity are then compared in full."""
+    r = records.select("entity_id", "popularity", F.lower("label").alias("lab"))
+    sides = {"q": queries.select("q"), "lab": r.select("lab").distinct()}
+    grams = {k: d.withColumn("g", S.trigrams(F.col(k))).filter(F.size("g") > 0) for k, d in sides.items()}
+    df = grams["lab"].select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    rows = {}
+    for k, d in grams.items():
+        t = d.select(k, "g", F.explode("g").alias("t")).join(df, "t", "left").groupBy(k).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
+        take = F.size("o") - F.ceil(F.size("o") * F.lit(float(min_similarity)) - 1e-9).cast("int") + 1
+        rows[k] = t.select(k, F.col("o.t").alias(f"g_{k}"), F.explode(F.slice(F.col("o.t"), 1, F.greatest(F.least(take, F.size("o")), F.lit(1)))).alias("t"))
+    nq, nr = F.size("g_q"), F.size("g_lab")
+    pairs = rows["q"].join(rows["lab"], "t").filter(F.least(nq, nr) >= F.greatest(nq, nr) * F.lit(float(min_similarity)) - 1e-9).drop("t").dropDuplicates(["q", "lab"])
+    both = F.size(F.array_intersect("g_q", "g_lab"))
+    sim = pairs.withColumn("sim", both / (nq + nr - both)).filter(F.col("sim") >= min_similarity).select("q", "lab", "sim").join(r, "lab")
     order = [F.col("sim").desc(), F.col("popularity").desc(), "entity_id"]
     return _ranked(top_k(sim, ["q"], limit, *order), *order)
 
@@ -118,12 +136,12 @@ def full_text(queries: DataFrame, records: DataFrame, max_distance: int = 0, pre
     return _ranked(top_k(per, ["q"], limit, *order), *order)
 
 
-def search_layer(queries: DataFrame, layer: kb.Layer, now: str | None = None) -> DataFrame:
-    """Hits of one layer: its search modes one after the other, each entity once."""
+def search_layer(queries: DataFrame, layer: kb.Layer, now: str | None = None, modes: list[str] | None = None) -> DataFrame:
+    """Hits of one layer: its search modes (or the given ones) one after the other, each entity once."""
     out, f = None, layer.fuzzy
-    for rank, mode in enumerate(layer.search_mode):
+    for rank, mode in enumerate(modes or layer.search_mode):
         if layer.kind == "redis":
-            part = key_value(queries, kb.key_values(layer.records, layer.ttl, now), now) if mode == "exact" else None
+            part = key_value(queries, layer.key_values(now), now) if mode == "exact" else None
         elif layer.kind == "elasticsearch":
             part = full_text(queries, layer.records, f.get("max_distance", 2) if mode == "fuzzy" else 0, f.get("prefix_length", 1))
         elif layer.kind == "postgres":
@@ -148,26 +166,42 @@ def search_chain(queries: DataFrame, layers: list[kb.Layer], now: str | None = N
 
 
 def cache_writes(queries: DataFrame, hits: DataFrame, layers: list[kb.Layer]) -> DataFrame:
-    """What answering writes back: (layer, q, entity_id, ord, ttl) for each writable layer above the one that
-    answered. Policy always writes all, miss those the layer had nothing for, hit those it had. A layer above the
-    answering one had nothing, so under `hit` nothing is written."""
+    """What answering writes back: (layer, q, entity_id, ord, ttl, layer_rank) for each writable layer of a priority
+    above that of the layer that answered (layer_rank). Policy always writes all, miss those that an exact search of
+    the layer doesn't find, hit those that it does (a layer may have them and not be asked in that mode)."""
     out = None
-    for rank, layer in enumerate(layers):
-        rows = hits.filter(F.col("layer_rank") > rank)
-        if not layer.write or layer.cache_policy not in ("always", "miss", "hit") or layer.kind == "postgres":
+    for layer in layers:
+        below = [r for r, x in enumerate(layers) if x.priority < layer.priority]
+        if not below or not layer.write or layer.cache_policy not in ("always", "miss", "hit") or layer.kind == "postgres":
             continue
+        rows = hits.filter(F.col("layer_rank").isin(below))
         if layer.cache_policy != "always":
-            own = search_layer(queries, layer).select("q").distinct()
+            own = search_layer(queries, layer, modes=["exact"]).select("q").distinct()
             rows = rows.join(own, "q", "left_anti" if layer.cache_policy == "miss" else "left_semi")
-        part = rows.select(F.lit(layer.name).alias("layer"), "q", "entity_id", "ord", F.lit(layer.ttl).alias("ttl"))
+        part = rows.select(F.lit(layer.name).alias("layer"), "q", "entity_id", "ord", F.lit(layer.ttl).alias("ttl"), "layer_rank")
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else hits.limit(0).select(F.lit("").alias("layer"), "q", "entity_id", "ord", F.lit(0).alias("ttl"))
+    return out if out is not None else hits.limit(0).select(F.lit("").alias("layer"), "q", "entity_id", "ord", F.lit(0).alias("ttl"), "layer_rank")
 
 
-def attach(mentions: DataFrame, hits: DataFrame, records: DataFrame) -> DataFrame:
-    """candidates (text_idx, mention_idx, ord, record columns): the hits of each mention's text."""
-    m = mentions.select("text_idx", "mention_idx", norm(F.col("text")).alias("q"))
-    return m.join(hits.select("q", "entity_id", "ord"), "q").join(records.drop("load_ord"), "entity_id").drop("q")
+def _layer_records(layers: list[kb.Layer]) -> DataFrame:
+    """The records of all layers with layer_rank and hit_layer."""
+    records = None
+    for rank, x in enumerate(layers):
+        part = x.found_records().withColumn("layer_rank", F.lit(rank)).withColumn("hit_layer", F.lit(x.name))
+        records = part if records is None else records.unionByName(part, allowMissingColumns=True)
+    return records
+
+
+def write_back(queries: DataFrame, hits: DataFrame, chain: kb.Chain, now: str | None = None) -> None:
+    """Let the layers receive what cache_writes says. Answers of one call are written after all of its searches, so
+    they serve the next call."""
+    layers = chain.usable()
+    takers = [x for x in layers if x.write and x.kind != "postgres" and any(y.priority < x.priority for y in layers)]
+    if not takers:
+        return
+    rows = cut(cache_writes(queries, hits, layers).join(_layer_records(layers).drop("hit_layer"), ["entity_id", "layer_rank"]).drop("layer_rank"))
+    for x in takers:
+        x.receive(rows.filter(F.col("layer") == x.name).drop("layer", "ttl"), now)
 
 
 def filter_by_popularity(candidates: DataFrame, min_popularity: int = 0) -> DataFrame:
@@ -192,32 +226,36 @@ def sort_by_popularity(candidates: DataFrame) -> DataFrame:
 METHODS = {"filter_by_popularity": filter_by_popularity, "deduplicate_candidates": deduplicate_candidates, "limit_candidates": limit_candidates, "sort_by_popularity": sort_by_popularity}
 
 
-def all_entities(texts: DataFrame, records: DataFrame) -> DataFrame:
-    """Without mentions, the whole knowledge base is every text's candidate list; neither limit nor popularity
-    counts. Meant for a base small enough to be repeated for each text: callers that score share one label table
-    instead."""
-    r = records.withColumn("_one", F.lit(1))
-    return texts.select("text_idx", F.lit(0).cast("long").alias("mention_idx"), F.lit(1).alias("_one")).join(r, "_one").drop("_one") \
-        .withColumn("ord", F.col("load_ord")).withColumn("cand_ord", F.col("load_ord")).drop("load_ord")
+def all_entities(records: DataFrame) -> DataFrame:
+    """Without mentions the whole knowledge base is every text's candidate list, whatever limit or popularity say. It is
+    given once, with a null text_idx: later steps share it."""
+    return records.select(F.lit(None).cast("long").alias("text_idx"), F.lit(0).cast("long").alias("mention_idx"), "*", F.col("load_ord").alias("ord"), F.col("load_ord").alias("cand_ord")).drop("load_ord")
 
 
-def candidates(mentions: DataFrame, chain: kb.Chain, max_candidates: int = 30, min_popularity: int = 0, steps: list[tuple[str, dict]] | None = None) -> DataFrame:
-    """The whole layer: search, then filter, dedup, limit, sort."""
+def candidates(mentions: DataFrame, chain: kb.Chain, max_candidates: int = 30, min_popularity: int = 0, steps: list[tuple[str, dict]] | None = None, cache: bool = False) -> DataFrame:
+    """The whole layer: search, then filter, dedup, limit, sort. With cache, answers are written back to the layers above."""
     layers = chain.usable()
-    hits = search_chain(queries_of(mentions), layers)
-    records = None
-    for rank, x in enumerate(layers):
-        part = x.records.withColumn("layer_rank", F.lit(rank)).withColumn("hit_layer", F.lit(x.name))
-        records = part if records is None else records.unionByName(part, allowMissingColumns=True)
+    queries = queries_of(mentions)
+    hits = search_chain(queries, layers)
+    records = _layer_records(layers)
+    if cache and any(x.write and any(y.priority < x.priority for y in layers) for x in layers):
+        hits = cut(hits)
+        write_back(queries, hits, chain)
     m = mentions.select("text_idx", "mention_idx", norm(F.col("text")).alias("q"))
     out = m.join(hits, "q").join(records.drop("load_ord"), ["entity_id", "layer_rank"]).drop("q", "layer_rank")
-    steps = steps or [("filter_by_popularity", {"min_popularity": min_popularity}), ("deduplicate_candidates", {}), ("limit_candidates", {"limit": max_candidates}), ("sort_by_popularity", {})]
-    for name, kw in steps:
+    for name, kw in steps or [("filter_by_popularity", {"min_popularity": min_popularity}), ("deduplicate_candidates", {}), ("limit_candidates", {"limit": max_candidates}), ("sort_by_popularity", {})]:
         out = METHODS[name](out, **kw)
     return out
 
 
-def group_by_structure(flat: DataFrame, sizes: list[int]) -> DataFrame:
-    """Flat results (item, from 0 on) dealt to groups of the given sizes: group_idx."""
-    ends = F.array(*[F.lit(sum(sizes[: i + 1])) for i in range(len(sizes))])
-    return flat.withColumn("group_idx", F.size(F.filter(ends, lambda e: e <= F.col("item"))))
+def flat_mentions(spark: SparkSession, texts: list[str], structure: list[list[str]] | None = None) -> DataFrame:
+    """A flat list of mention texts as mentions: all of one text, or dealt to texts as `structure` (lists as long as
+    each text's mentions) says; what it has no place for goes."""
+    if structure is None:
+        rows = [(0, i, t) for i, t in enumerate(texts)]
+    else:
+        rows, at = [], 0
+        for k, group in enumerate(structure):
+            rows += [(k, i, t) for i, t in enumerate(texts[at: at + len(group)])]
+            at += len(group)
+    return spark.createDataFrame(rows, "text_idx long, mention_idx long, text string")

@@ -10,11 +10,16 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import similarity as S
 from ..schema import LINKS, keep_first, norm, template
 
 
+#: Keys over which texts are dealt when each gets the same list of labels.
+SALTS = 64
+
+
 def labels(candidates: DataFrame, text: str = "{label}") -> DataFrame:
     """(text_idx, label_text, entity_id, label_ord): formatted labels of each text's candidates, each once whatever
     its case, the first one standing."""
@@ -24,6 +29,17 @@ def labels(candidates: DataFrame, text: str = "{label}") -> DataFrame:
     return first.withColumn("label_ord", F.row_number().over(order)).select("text_idx", "label_text", "entity_id", "label", "aliases", "popularity", "embedding", "embedding_model_id", "label_ord")
 
 
+def per_text(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates for a model that reads texts and labels together: those that all texts share are repeated for each, by
+    a join in which every text has one of SALTS keys and the shared list is there once for each key."""
+    if candidates.filter("text_idx is null").isEmpty():
+        return candidates
+    key = F.pmod(F.xxhash64("text_idx"), F.lit(SALTS))
+    shared = candidates.filter("text_idx is null").drop("text_idx").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = texts.select("text_idx", key.cast("int").alias("_k")).join(shared, "_k").drop("_k")
+    return candidates.filter("text_idx is not null").unionByName(each)
+
+
 def precomputed_eligible(candidates: DataFrame, model_id: str) -> DataFrame:
     """(text_idx, eligible): texts all of whose candidates have a vector of the model."""
     ok = F.col("embedding").isNotNull() & F.coalesce(F.col("embedding_model_id") == model_id, F.lit(False))
@@ -36,10 +52,9 @@ def label_matrix(label_rows: DataFrame) -> DataFrame:
     return label_rows.groupBy("text_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("label_ord", v.alias("v")))), lambda x: x["v"]).alias("matrix"))
 
 
-def missing_embeddings(candidates: DataFrame, model_id: str) -> DataFrame:
-    """Distinct entities whose vectors a cache write-back would add."""
-    ok = F.col("embedding").isNotNull() & F.coalesce(F.col("embedding_model_id") == model_id, F.lit(False))
-    return candidates.filter(~ok).select("entity_id", "label", "description", "aliases").dropDuplicates(["entity_id"])
+def missing_embeddings(candidates: DataFrame) -> DataFrame:
+    """Candidates without a vector, each entity once: those that a cache write-back would give one."""
+    return candidates.filter(F.col("embedding").isNull()).dropDuplicates(["entity_id"])
 
 
 def spans(mentions: DataFrame) -> DataFrame:
@@ -48,8 +63,9 @@ def spans(mentions: DataFrame) -> DataFrame:
 
 
 def _finish(pairs: DataFrame, threshold: float, multi_label: bool, flat: bool) -> DataFrame:
-    """Pairs (text_idx, text, start, end, label_text, label_ord, score) to links."""
-    key = ["text_idx", "start", "end"]
+    """Pairs (text_idx, text, start, end, label_text, label_ord, score, maybe the label's chunk) to links: the best
+    label of each span, in each chunk."""
+    key = ["text_idx", "start", "end", *(["chunk"] if "chunk" in pairs.columns else [])]
     probs = pairs.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("label_text", "score")))).alias("class_probs"))
     best = pairs.filter(F.col("score") >= threshold)
     if not multi_label:
@@ -60,14 +76,17 @@ def _finish(pairs: DataFrame, threshold: float, multi_label: bool, flat: bool) -
     return flat_spans(out) if flat else out
 
 
-def lexical(mentions: DataFrame, label_rows: DataFrame, threshold: float = 0.5, multi_label: bool = False, flat: bool = True) -> DataFrame:
-    """Score of a span for a label: the best edit similarity with its entity's label or aliases."""
+def lexical(mentions: DataFrame, label_rows: DataFrame, threshold: float = 0.5, multi_label: bool = False, flat: bool = True, max_labels: int | None = None) -> DataFrame:
+    """Score of a span for a label: the best edit similarity with its entity's label or aliases. With max_labels a
+    text's labels are scored in chunks of so many, each chunk by itself: a span may get a link from each."""
     m = mentions.select("text_idx", "text", "start", "end").withColumn("q", norm(F.col("text")))
     pairs = m.join(label_rows, "text_idx")
     names = pairs.select("q", F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"), "label", "entity_id")
     names = names.withColumn("n", F.lower("n")).select("q", "n", "entity_id").distinct().withColumn("s", S.indel_ratio(F.col("q"), F.col("n")))
     sim = names.groupBy("q", "entity_id").agg(F.max("s").alias("score"))
-    return _finish(pairs.join(sim, ["q", "entity_id"]).select("text_idx", "text", "start", "end", "label_text", "label_ord", "score"), threshold, multi_label, flat)
+    chunk = F.floor((F.col("label_ord") - 1) / max_labels) if max_labels else F.lit(0)
+    scored = pairs.join(sim, ["q", "entity_id"]).select("text_idx", "text", "start", "end", "label_text", "label_ord", "score", chunk.cast("long").alias("chunk"))
+    return _finish(scored, threshold, multi_label, flat)
 
 
 def bi_encoder(mentions: DataFrame, label_rows: DataFrame, threshold: float = 0.5, multi_label: bool = False, flat: bool = True) -> DataFrame:
@@ -99,10 +118,33 @@ def model(texts: DataFrame, label_rows: DataFrame, load: Callable[[], Callable[[
 
 def encode_labels(label_rows: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
     """label_rows with vectors made on the fly, each distinct label encoded once."""
-    vec = label_rows.select("label_text").distinct().withColumn("embedding", encode(F.col("label_text")))
+    vec = label_rows.select("label_text").distinct().withColumn("embedding", encode(F.col("label_text")).cast("array<float>"))
     return label_rows.drop("embedding").join(vec, "label_text")
 
 
+def bi_encoder_links(mentions: DataFrame, candidates: DataFrame, label_rows: DataFrame, model_id: str, encode: Callable[[Column], Column] | None, precomputed: bool = True, **settings) -> DataFrame:
+    """bi_encoder() with the candidates' own vectors for texts all of whose candidates have one of the model; other
+    texts' labels are encoded on the fly, or, without an encoder, give no links."""
+    ready = precomputed_eligible(candidates, model_id).filter("eligible").select("text_idx") if precomputed else candidates.select("text_idx").limit(0)
+    rows = label_rows.join(ready, "text_idx", "left_semi").select(label_rows.columns)
+    if encode is not None:
+        rows = rows.unionByName(encode_labels(label_rows.join(ready, "text_idx", "left_anti"), encode).select(label_rows.columns))
+    return bi_encoder(mentions, rows, **settings)
+
+
+def shared_links(texts: DataFrame, candidates: DataFrame, text: str = "{label}", threshold: float = 0.5) -> DataFrame:
+    """Links for candidates that all texts share (a null text_idx): one table of labels for all of them. Spans are
+    where a candidate's label or alias stands in the text, and score 1; of one span's the first candidate counts."""
+    from .mentions import gazetteer_mentions
+
+    c = candidates.withColumn("label_text", template(text, candidates.columns))
+    names = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
+    forms = keep_first(c.select("cand_ord", "label_text", F.explode(F.transform(names, lambda x: norm(x))).alias("key")), ["key"], "cand_ord")
+    found = gazetteer_mentions(texts, forms.select("key")).withColumn("key", F.lower("text"))
+    got = found.join(forms, "key").withColumn("score", F.lit(1.0)).filter(F.col("score") >= threshold)
+    return got.select("text_idx", (F.col("mention_idx") + 1).alias("link_ord"), "text", F.col("label_text").alias("label"), "start", "end", "score", F.create_map("label_text", "score").alias("class_probs"))
+
+
 def chunks(label_rows: DataFrame, max_labels: int | None = None) -> DataFrame:
     """(text_idx, chunk, labels): labels in order, max_labels to a chunk."""
     c = F.floor((F.col("label_ord") - 1) / max_labels) if max_labels else F.lit(0)
@@ -150,6 +192,9 @@ def rank(links: DataFrame, candidates: DataFrame, weights: list[tuple[str, float
     total = sum(w for _, w in weights)
     if not total:
         return links
+    for f, _ in weights:
+        if f in candidates.columns and not isinstance(candidates.schema[f].dataType, NumericType):
+            raise ValueError(f"rank field {f!r} is not a number")
     fields = [f for f, _ in weights if f != "gliner_score" and f in candidates.columns]
     forms = candidates.select("text_idx", F.col("label").alias("label"), F.lit(0).alias("k"), (-F.col("mention_idx")).alias("o1"), (-F.col("cand_ord")).alias("o2"), *[F.col(f).alias(f"_{f}") for f in fields])
     alias = candidates.select("text_idx", F.explode("aliases").alias("label"), F.lit(1).alias("k"), F.col("mention_idx").alias("o1"), F.col("cand_ord").alias("o2"), *[F.col(f).alias(f"_{f}") for f in fields])
@@ -160,7 +205,7 @@ def rank(links: DataFrame, candidates: DataFrame, weights: list[tuple[str, float
         if f == "gliner_score":
             s = s + F.lit(w) * F.col("score")
         elif f in fields:
-            s = s + F.lit(w) * F.coalesce(F.least(F.col(f"_{f}") / 1e6, F.lit(1.0)), F.lit(0.0))
+            s = s + F.lit(w) * F.least(F.coalesce(F.col(f"_{f}"), F.lit(0)) / 1e6, F.lit(1.0))
     got = got.withColumn("score", s / total)
     w = Window.partitionBy("text_idx").orderBy(F.col("score").desc(), "link_ord")
     return got.withColumn("link_ord", F.row_number().over(w).cast("long")).select(links.columns)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MENTIONS, keep_first, strip
 
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+_word_table: list[np.ndarray] = []
 
 
 def context_columns(df: DataFrame, left: int = 50, right: int = 50, text: str = "full_text") -> DataFrame:
@@ -37,30 +39,75 @@ def extract(texts: DataFrame, find: Callable[[str], Iterator[tuple[int, int, str
     return texts.select("text_idx", "text").mapInArrow(run, MENTIONS)
 
 
+def _is_word() -> np.ndarray:
+    """Of each code point: is it a letter or a digit?"""
+    if not _word_table:
+        table = np.zeros(0x110000, bool)
+        for m in regex.finditer(r"[\p{L}\p{N}]+", "".join(map(chr, range(0xD800))) + "\x00" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))):
+            table[m.start(): m.end()] = True
+        _word_table.append(table)
+    return _word_table[0]
+
+
+def _token_arrays(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Every run of letters and digits and every run of others in a column of texts: each token's row, its number in
+    the text (from 1 on), where it starts there (in code points), and its text. No token is touched one by one:
+    code points get a class from a table, and tokens are slices of the column's own bytes."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    begins = ends - np.diff(np.concatenate([[0], ends]))
+    word = _is_word()[points]
+    cut = np.concatenate([[True], word[1:] != word[:-1]]) if len(points) else np.zeros(0, bool)
+    cut[begins[begins < ends]] = True
+    at = np.flatnonzero(cut)
+    row = np.searchsorted(ends, at, "right")
+    first = np.searchsorted(at, begins)  # of each row: the number of tokens before it
+    width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    offsets = np.concatenate([[0], np.cumsum(width)])[np.concatenate([at, [len(points)]])]
+    data = "".join(texts.to_pylist()).encode()
+    tokens = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data))
+    return row, np.arange(len(at)) - first[row] + 1, at - begins[row], tokens
+
+
 def tokens(texts: DataFrame) -> DataFrame:
     """Every run of letters and digits and every run of others: (text_idx, pos, token, start)."""
     def run(batches):
-        pat = regex.compile(TOKEN)
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, m in enumerate(pat.finditer(t or "")):
-                    for col, v in zip(out, (i, k + 1, m[0], m.start())):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["text_idx", "pos", "token", "start"])
+            row, pos, start, token = _token_arrays(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(pos), token.cast(pa.string()), pa.array(start)], names=["text_idx", "pos", "token", "start"])
 
-    return texts.select("text_idx", "text").mapInArrow(run, "text_idx long, pos long, token string, start long")
+    return texts.select(F.col("text_idx").cast("long"), "text").mapInArrow(run, "text_idx long, pos long, token string, start long")
 
 
-def pattern_mentions(texts: DataFrame, pattern: str = r"\p{Lu}\p{L}{3,}", label: str | None = None, left: int = 50, right: int = 50) -> DataFrame:
-    """Tokens that match the pattern as a whole."""
-    def find(text: str):
-        cut, whole = regex.compile(TOKEN), regex.compile(pattern)
-        for m in cut.finditer(text):
-            if whole.fullmatch(m[0]):
-                yield m.start(), m.end(), label
+def _matching(tokens: pa.Array, pattern: str) -> np.ndarray:
+    """Which tokens match a pattern as a whole: by Arrow's engine, or one by one if it doesn't know the pattern."""
+    try:
+        return pc.match_substring_regex(tokens, rf"\A(?:{pattern})\z").to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:
+        whole = regex.compile(pattern)
+        return np.array([whole.fullmatch(t) is not None for t in tokens.to_pylist()], bool)
 
-    return extract(texts, find, left, right)
+
+def pattern_mentions(texts: DataFrame, pattern: str = r"\p{Lu}\p{L}{3,}", label: str | None = None, left: int = 50, right: int = 50) -> DataFrame:
+    """Tokens that match the pattern as a whole, with their contexts, without any shuffle."""
+    def run(batches):
+        for b in batches:
+            row, _, start, token = _token_arrays(b.column(1))
+            hit = np.flatnonzero(_matching(token, pattern))
+            row, start, token = row[hit], start[hit], token.take(pa.array(hit))
+            end = start + pc.utf8_length(token).to_numpy(zero_copy_only=False).astype(np.int64)
+            number = np.arange(len(row)) - np.searchsorted(row, row)
+            texts = b.column(1).to_pylist()
+            before, after = [], []
+            for i, s, e in zip(row.tolist(), start.tolist(), end.tolist()):
+                t = texts[i]
+                before.append(t[max(0, s - left): s].strip())
+                after.append(t[e: e + right].strip())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(number), token.cast(pa.string()), pa.array([label] * len(row), pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
+                                              pa.array(before, pa.string()), pa.array(after, pa.string())], names=MENTIONS.names)
+
+    return texts.select(F.col("text_idx").cast("long"), "text").mapInArrow(run, MENTIONS)
 
 
 def gazetteer_mentions(texts: DataFrame, surfaces: DataFrame, max_words: int = 4, left: int = 50, right: int = 50) -> DataFrame:
@@ -104,7 +151,9 @@ def deduplicate(mentions: DataFrame) -> DataFrame:
 
 
 def sort_by_position(mentions: DataFrame) -> DataFrame:
-    return mentions.orderBy("text_idx", "start", "mention_idx")
+    """mention_idx, the order of a text's mentions, follows the starts, ties as they were."""
+    w = Window.partitionBy("text_idx").orderBy("start", "mention_idx")
+    return mentions.withColumn("mention_idx", (F.row_number().over(w) - 1).cast("long"))
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -6,12 +6,13 @@ import datetime
 import json
 import re
 from dataclasses import dataclass, field
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType
 
 from ..functions import paths
+from ..schema import template
 from ..session import cut, prepare
 from ..sources import kb
 from . import processors  # noqa: F401  (registers the layers)
@@ -115,9 +116,7 @@ class Context:
         if v is None:
             return x.default
         if isinstance(v, DataFrame):
-            if x.fields and x.fields in v.columns:
-                v = v.select("text_idx", x.fields) if "text_idx" in v.columns and x.fields != "text_idx" else v.select(x.fields)
-            return paths.filter_frame(v, x.filter) if x.filter else v
+            return self._resolve_frame(v, x)
         if x.fields:
             v = paths.resolve(v, x.fields)
         if x.template and v is not None:
@@ -126,21 +125,44 @@ class Context:
             v = paths.reduce_values(v, x.reduce)
         return paths.filter_values(v, x.filter) if x.filter else v
 
+    @staticmethod
+    def _resolve_frame(v: DataFrame, x: Input) -> DataFrame:
+        """The same on the rows of a frame: a path or column becomes a column named after its last field beside
+        text_idx, a template the column `value`, reduce works within each row's list. A filter sees all columns."""
+        v = paths.filter_frame(v, x.filter) if x.filter else v
+        if not x.fields and not x.template:
+            return v
+        root = re.split(r"[.\[]", x.fields)[0] if x.fields else None
+        if root is not None and root not in v.columns:
+            return v
+        keep = ["text_idx"] if "text_idx" in v.columns and x.fields != "text_idx" else []
+        if x.fields:
+            c = paths.path_column(v.schema, x.fields)
+            name = re.split(r"[.\[]", re.sub(r"\[[^\]]*\]", "", x.fields))[-1]
+            if x.reduce != "all" and isinstance(v.select(c).schema[0].dataType, ArrayType):
+                c = paths.reduce_column(c, x.reduce)
+            v = v.select(*keep, c.alias(name))
+        if x.template:
+            v = v.select(*keep, template(x.template, v.columns, v.columns[-1]).alias("value"))
+        return v
+
     def save(self, folder: str) -> None:
         """DataFrames as Parquet and a manifest with the other values."""
-        manifest: dict = {"saved_at": datetime.datetime.now().isoformat(), "order": list(self._data), "metadata": self._meta, "values": {}, "frames": []}
+        meta = {k: {a: b for a, b in m.items() if not isinstance(b, DataFrame)} for k, m in self._meta.items()}
+        manifest: dict = {"saved_at": datetime.datetime.now().isoformat(), "order": list(self._data), "metadata": meta, "values": {}, "frames": []}
         for k, v in self._data.items():
             if isinstance(v, DataFrame):
                 v.write.mode("overwrite").parquet(f"{folder}/{k}")
                 manifest["frames"].append(k)
             else:
                 manifest["values"][k] = v
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        Path(folder, "manifest.json").write_text(json.dumps(manifest, default=str, ensure_ascii=False))
+        # The manifest goes where the frames go, by the same file system.
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(manifest, default=str, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Context:
-        m = json.loads(Path(folder, "manifest.json").read_text())
+        m = json.loads(spark.read.text(f"{folder}/manifest", wholetext=True).first()["value"])
         out = cls()
         for k in m["order"]:
             out.set(k, spark.read.parquet(f"{folder}/{k}") if k in m["frames"] else m["values"][k], m["metadata"].get(k))
@@ -163,12 +185,17 @@ class Executor:
                 raise RuntimeError(f"node {n.id!r}: {e}") from e
             p.schema = n.schema
             self.processors[n.id] = p
+        for chain in self._chains()[:1]:
+            for p in self.processors.values():
+                if hasattr(type(p), "chain") and p.chain is None:
+                    p.chain = chain
 
     def _chains(self):
-        return [p.chain for p in self.processors.values() if hasattr(p, "chain")]
+        """The knowledge bases of the L2 nodes."""
+        return [self.processors[n.id].chain for n in self.nodes if n.processor == "l2_chain"]
 
     def load_entities(self, source: Any = None, target_layers: list[str] | None = None, overwrite: bool = False, filepath: str | None = None, batch_size: int = 1000) -> dict[str, int]:
-        rows = kb.load_source(self.spark, source if source is not None else filepath).persist()
+        rows = cut(kb.load_source(self.spark, source if source is not None else filepath))
         out: dict[str, int] = {}
         for c in self._chains():
             out |= c.load(rows, target_layers, overwrite)
@@ -215,5 +242,6 @@ class Executor:
                     raise RuntimeError(f"node {n.id!r}: {e}") from e
                 if any(x.source.split("[")[0].split(".")[0] in (n.output, n.id) for m in self.nodes for x in m.inputs.values()):
                     out = cut(out)
-                ctx.set(n.output, out.select(*n.output_fields) if n.output_fields else out, {"node": n.id})
+                stats = {"stats": self.processors[i].stats(out)} if hasattr(self.processors[i], "stats") else {}
+                ctx.set(n.output, out.select(*n.output_fields) if n.output_fields else out, {"node": n.id} | stats)
         return ctx

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
@@ -11,9 +13,9 @@ from .operators import aggregate as A
 from .operators import candidates as C
 from .operators import links as L
 from .operators import mentions as M
-from .plans.builder import Factory
+from .plans.builder import ConfigBuilder, Factory
 from .schema import template
-from .session import cut, prepare
+from .session import cut, prepare, shared_folder
 from .sources import kb, stores
 
 QUERIES: dict = {}
@@ -49,19 +51,26 @@ LNK = KB + """,
 raw AS (SELECT text_idx, mention_idx AS link_ord, text, CASE WHEN mention_idx % 7 = 6 THEN 'none ' ELSE '' END || lower(text) AS label, CAST(b + mention_idx % 4 AS INT) AS b, CAST(e + mention_idx % 4 AS INT) AS e,
   round((mention_idx % 10) / 10.0, 6)::DOUBLE AS score FROM m WHERE mention_idx % 3 <> 0),
 idx AS (SELECT text_idx, b, e, min(link_ord) AS pos, arg_max(label, link_ord) AS label, arg_max(score, link_ord) AS score FROM raw GROUP BY text_idx, b, e)"""
-AGG = LNK + """,
+
+
+def agg_sql(tolerance: int = 2, kind: str = "") -> str:
+    """The whole of L0 in SQL. kind: what the label template puts after a label."""
+    return LNK.replace("lower(text) AS label, CAST(b +", f"lower(text) || '{kind}' AS label, CAST(b +") + f""",
 hit AS (SELECT m.text_idx, m.mention_idx, i.b AS lb, i.e AS le, i.label, i.score, row_number() OVER (PARTITION BY m.text_idx, m.mention_idx ORDER BY (m.b <> i.b OR m.e <> i.e), i.pos) AS k
-  FROM m JOIN idx i ON m.text_idx = i.text_idx AND abs(m.b - i.b) <= 2 AND abs(m.e - i.e) <= 2),
+  FROM m JOIN idx i ON m.text_idx = i.text_idx AND abs(m.b - i.b) <= {tolerance} AND abs(m.e - i.e) <= {tolerance}),
 cand AS (SELECT m.text_idx, m.mention_idx AS occ, kb.entity_id, kb.label, kb.alias FROM m JOIN kb ON lower(m.text) = kb.label OR lower(m.text) = kb.alias),
 names AS (SELECT text_idx, label AS key FROM cand UNION ALL SELECT text_idx, alias FROM cand),
 nc AS (SELECT m.text_idx, m.mention_idx, count(*) AS n FROM m JOIN names USING (text_idx) WHERE names.key = lower(m.text) GROUP BY ALL),
 agg AS (SELECT m.text_idx, m.mention_idx, m.text, coalesce(nc.n, 0) AS num_candidates, h.label IS NOT NULL AS is_linked, h.lb, h.le,
-  CASE WHEN h.label IS NOT NULL THEN coalesce((SELECT min(c.entity_id) FROM cand c WHERE c.text_idx = m.text_idx AND c.label = h.label),
+  CASE WHEN h.label IS NOT NULL THEN coalesce((SELECT min(c.entity_id) FROM cand c WHERE c.text_idx = m.text_idx AND c.label || '{kind}' = h.label),
     (SELECT arg_min(c.entity_id, c.occ * 10000 + length(c.entity_id)) FROM cand c WHERE c.text_idx = m.text_idx AND contains(h.label, c.label)), 'unknown') END AS entity_id,
   h.score AS confidence FROM m LEFT JOIN hit h ON m.text_idx = h.text_idx AND m.mention_idx = h.mention_idx AND h.k = 1 LEFT JOIN nc ON nc.text_idx = m.text_idx AND nc.mention_idx = m.mention_idx),
 staged AS (SELECT *, CASE WHEN is_linked THEN 'l3_linked' WHEN num_candidates > 0 THEN 'l2_found' ELSE 'l1_only' END AS stage FROM agg)"""
 
 
+AGG = agg_sql()
+
+
 def _texts(t) -> DataFrame:
     return t("documents").select(F.col("doc_id").alias("text_idx"), "text")
 
@@ -77,20 +86,20 @@ def corpus_kb(mentions: DataFrame, least: int = 5) -> DataFrame:
                     "popularity", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model_id"), F.crc32(F.col("label").cast("binary")).alias("load_ord"))
 
 
-def _links(m: DataFrame) -> DataFrame:
+def _links(m: DataFrame, kind: str = "") -> DataFrame:
     i = F.col("mention_idx")
-    label = F.concat(F.when(i % 7 == 6, "none ").otherwise(""), F.lower("text"))
+    label = F.concat(F.when(i % 7 == 6, "none ").otherwise(""), F.lower("text"), F.lit(kind))
     score = F.round(i % 10 / 10.0, 6)
     return m.filter(i % 3 != 0).select("text_idx", i.alias("link_ord"), "text", label.alias("label"), (F.col("start") + i % 4).cast("int").alias("start"), (F.col("end") + i % 4).cast("int").alias("end"),
                                        score.alias("score"), F.create_map(label, score).alias("class_probs"))
 
 
-def _linked(t, strict: bool = True) -> DataFrame:
+def _linked(t, strict: bool = True, tolerance: int = 2, kind: str = "") -> DataFrame:
     m = cut(_mentions(t))
     k = cut(corpus_kb(m))
     chain = kb.Chain([kb.Layer("terms", "dict", search_mode=["exact"], records=k)])
     c = cut(C.candidates(m, chain, 30, 0))
-    return A.aggregate(m, c, cut(_links(m)), "{label}", 2, strict)
+    return A.aggregate(m, c, _links(m, kind), "{label} ({entity_type})" if kind else "{label}", tolerance, strict)
 
 
 def part_kb(t) -> DataFrame:
@@ -143,14 +152,26 @@ def mention_min_length(t):
     return M.filter_by_length(_mentions(t), 12).select("text_idx", "mention_idx", "text")
 
 
-@query(f"WITH {MEN}, x AS (SELECT text_idx, mention_idx, text, b, e FROM m WHERE mention_idx % 2 = 0), y AS (SELECT text_idx, b - 3 AS b, e + 3 AS e FROM m WHERE mention_idx % 4 = 1) SELECT x.text_idx, count(*) AS n FROM x WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.text_idx = x.text_idx AND NOT (x.e <= y.b OR x.b >= y.e)) GROUP BY x.text_idx")
+@query(f"WITH {MEN}, x AS (SELECT text_idx, mention_idx, text, b, e FROM m WHERE mention_idx % 2 = 0), y AS (SELECT text_idx, b - 3 AS b, e + 3 AS e FROM m WHERE mention_idx % 2 = 1) SELECT x.text_idx, count(*) AS n FROM x WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.text_idx = x.text_idx AND NOT (x.e <= y.b OR x.b >= y.e)) GROUP BY x.text_idx")
 def mention_non_overlapping(t):
     m = _mentions(t)
-    base = m.filter("mention_idx % 4 = 1").withColumn("start", F.col("start") - 3).withColumn("end", F.col("end") + 3)
+    base = m.filter("mention_idx % 2 = 1").withColumn("start", F.col("start") - 3).withColumn("end", F.col("end") + 3)
     got = M.add_non_overlapping(base, m.filter("mention_idx % 2 = 0"), 1)
     return got.filter("label = 'NOUN_CHUNK'").groupBy("text_idx").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {MEN} SELECT text_idx, CAST(row_number() OVER (PARTITION BY text_idx ORDER BY b) - 1 AS BIGINT) AS mention_idx, text, b AS start_pos FROM m")
+def mention_sort(t):
+    m = _mentions(t)
+    return M.sort_by_position(m.withColumn("mention_idx", -F.col("mention_idx"))).select("text_idx", "mention_idx", "text", F.col("start").alias("start_pos"))
+
+
+@query(f"WITH {KB}, names AS (SELECT label AS key FROM kb UNION SELECT alias FROM kb) SELECT doc_id AS text_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS BIGINT) AS mention_idx, tok AS text, CAST(s AS INT) AS start_pos FROM off JOIN names ON key = lower(tok)")
+def gazetteer_lookup(t):
+    k = cut(corpus_kb(_mentions(t)))
+    return M.gazetteer_mentions(_texts(t), kb.surface_forms(k), 1).select("text_idx", "mention_idx", "text", F.col("start").alias("start_pos"))
+
+
 # --- knowledge base ---------------------------------------------------------------------------
 
 def _brands(t) -> DataFrame:
@@ -178,10 +199,36 @@ def kb_surface_forms(t):
     return kb.surface_forms(part_kb(t)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS entity_id, CASE WHEN p_partkey BETWEEN 1 AND 500 THEN 'm2' END AS embedding_model_id FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS entity_id, CASE WHEN vec_id IS NOT NULL THEN 'm2' END AS embedding_model_id, CAST(embedding[1] AS DOUBLE) AS v1, CAST(len(embedding) AS INT) AS size FROM part LEFT JOIN embeddings ON p_partkey = vec_id + 1")
 def kb_update_embeddings(t):
     v = t("embeddings").select((F.col("vec_id") + 1).cast("string").alias("entity_id"), "embedding")
-    return kb.update_embeddings(kb._complete(part_kb(t)), v, "m2").select("entity_id", "embedding_model_id")
+    got = kb.update_embeddings(kb._complete(part_kb(t)), v, "m2")
+    return got.select("entity_id", "embedding_model_id", F.try_element_at("embedding", F.lit(1)).cast("double").alias("v1"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("size"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS entity_id, CAST(length(p_name || ': ' || p_type) AS DOUBLE) AS v1, 'm3' AS embedding_model_id FROM part")
+def kb_precompute(t):
+    chain = kb.Chain([kb.Layer("a", records=kb._complete(part_kb(t)))])
+    chain.precompute(lambda c: F.array(F.length(c).cast("float")), "{label}: {description}", "m3")
+    return chain.layers[0].records.select("entity_id", F.col("embedding")[0].cast("double").alias("v1"), "embedding_model_id")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS entity_id, p_name AS label, CAST(p_size AS BIGINT) AS popularity, p_type AS description FROM part")
+def kb_read_jsonl(t):
+    """Records of JSON lines among which blank, broken and incomplete ones stand."""
+    p = part_kb(t)
+    lines = p.select(F.to_json(F.struct("entity_id", "label", "aliases", "description", "popularity")).alias("value"))
+    bad = p.select(F.element_at(F.array(F.lit(""), F.lit("{broken"), F.to_json(F.struct("entity_id")), F.lit("   ")), (F.col("load_ord") % 4 + 1).cast("int")).alias("value"))
+    path = f"{shared_folder(p.sparkSession)}/linkloom/lines-{uuid.uuid4().hex}"
+    lines.unionByName(bad).write.text(path)
+    return kb.load_source(p.sparkSession, path).select("entity_id", "label", "popularity", "description")
+
+
+@query("WITH n AS (SELECT count(DISTINCT p_name) AS n FROM part) SELECT n AS first_load, CAST(0 AS BIGINT) AS again, n AS overwritten, n AS stored FROM n")
+def kb_load_counts(t):
+    rows, layer = _brands(t), kb.Layer("a")
+    counts = [layer.load(rows), layer.load(rows), layer.load(rows, True), layer.count()]
+    return rows.sparkSession.createDataFrame([counts], "first_load long, again long, overwritten long, stored long")
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS entity_id, n_name AS label, r_name AS entity_type FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -306,9 +353,39 @@ def cache_policy_miss(t):
     return _writes(t, "miss")
 
 
-@query(f"WITH {CHAIN} SELECT 'fast' AS layer, q, id AS entity_id, CAST(ord AS INT) AS ord FROM hits WHERE layer_rank > 0 AND false")
+# A layer that is asked for near matches alone, of long prefixes, misses aliases that an exact search of it would find.
+@query("""WITH qs AS (SELECT DISTINCT lower(p_name) AS q FROM part UNION SELECT DISTINCT lower(p_name || ' ' || p_brand) FROM part),
+late AS (SELECT q FROM qs WHERE q NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey % 3 = 0)),
+f AS (SELECT q, CAST(max(p_partkey) AS VARCHAR) AS id, 0 AS kind, 0 AS o FROM late JOIN part ON lower(p_name) = q GROUP BY q UNION ALL SELECT q, CAST(p_partkey AS VARCHAR), 1, p_partkey FROM late JOIN part ON lower(p_name || ' ' || p_brand) = q)
+SELECT 'fast' AS layer, q, id AS entity_id, CAST(row_number() OVER (PARTITION BY q ORDER BY kind, o, id) AS INT) AS ord FROM f WHERE q IN (SELECT lower(p_name || ' ' || p_brand) FROM part WHERE p_partkey % 3 = 0)""")
 def cache_policy_hit(t):
-    return _writes(t, "hit")
+    q, layers = _both_names(t), _two_layers(t, "hit")
+    layers[0].search_mode, layers[0].fuzzy = ["fuzzy"], {"min_similarity": 1.0, "prefix_length": 60}
+    return C.cache_writes(q, C.search_chain(q, layers), layers).select("layer", "q", "entity_id", "ord")
+
+
+@query("""WITH qs AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS q FROM part),
+f AS (SELECT q, p_partkey AS id, CASE p_partkey % 3 WHEN 2 THEN 2 ELSE p_partkey % 3 END AS own FROM qs JOIN part ON lower(p_name || ' ' || p_brand) = q),
+r AS (SELECT q, CASE WHEN bool_or(own = 0) THEN 0 WHEN bool_or(own = 1) THEN 1 ELSE 2 END AS r FROM f GROUP BY q),
+h AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY id) AS ord FROM f JOIN r USING (q) WHERE r = 2)
+SELECT layer, q, CAST(id AS VARCHAR) AS entity_id, CAST(ord AS INT) AS ord FROM h, (VALUES ('a'), ('b')) v(layer)""")
+def cache_equal_priorities(t):
+    """Of three layers the upper two have one priority: neither receives what the other answers."""
+    p = part_kb(t)
+    layers = [kb.Layer("a", priority=2, records=p.filter("load_ord % 3 = 0")), kb.Layer("b", priority=2, records=p.filter("load_ord % 3 = 1")), kb.Layer("c", priority=1, write=False, records=p)]
+    q = p.select(F.lower(F.col("aliases")[0]).alias("q")).distinct()
+    return C.cache_writes(q, C.search_chain(q, layers), layers).select("layer", "q", "entity_id", "ord")
+
+
+@query(f"""WITH {CHAIN}, got AS (SELECT DISTINCT id FROM hits WHERE layer_rank = 1),
+two AS (SELECT p_partkey, lower(p_name) AS k, lower(p_name || ' ' || p_brand) AS k2, CASE WHEN id IS NOT NULL THEN 17592186044416 + p_partkey ELSE p_partkey END AS o FROM part LEFT JOIN got ON id = CAST(p_partkey AS VARCHAR) WHERE p_partkey % 3 = 0 OR id IS NOT NULL),
+f2 AS (SELECT q, arg_max(p_partkey, o) AS id, 0 AS kind, 0::BIGINT AS o FROM qs JOIN two ON k = q GROUP BY q UNION ALL SELECT q, p_partkey, 1, o FROM qs JOIN two ON k2 = q)
+SELECT q, CAST(id AS VARCHAR) AS entity_id, CAST(row_number() OVER (PARTITION BY q ORDER BY kind, o, CAST(id AS VARCHAR)) AS INT) AS ord, CAST(0 AS INT) AS layer_rank FROM f2""")
+def cache_second_search(t):
+    """What a lower layer has answered once the upper one answers the next time."""
+    q, chain = _both_names(t), kb.Chain(_two_layers(t))
+    C.write_back(q, C.search_chain(q, chain.usable()), chain)
+    return C.search_chain(q, chain.usable()).select("q", "entity_id", "ord", "layer_rank")
 
 
 @query("WITH pop AS (SELECT l_partkey, count(*) AS pop FROM lineitem GROUP BY l_partkey), c AS (SELECT l_orderkey AS t, l_partkey AS id, l_linenumber AS o, pop FROM lineitem JOIN pop USING (l_partkey) WHERE pop >= 25), d AS (SELECT t, id, min(o) AS o, any_value(pop) AS pop FROM c GROUP BY t, id), k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY o, CAST(id AS VARCHAR)) AS r FROM d) SELECT t AS text_idx, CAST(id AS VARCHAR) AS entity_id, CAST(row_number() OVER (PARTITION BY t ORDER BY pop DESC, o, CAST(id AS VARCHAR)) AS INT) AS cand_ord FROM k WHERE r <= 3")
@@ -319,10 +396,11 @@ def cand_filter_dedup_limit_sort(t):
     return C.sort_by_popularity(C.limit_candidates(C.deduplicate_candidates(C.filter_by_popularity(c, 25)), 3)).select("text_idx", "entity_id", "cand_ord")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS text_idx, CAST(r_regionkey AS VARCHAR) AS entity_id FROM nation, region")
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS entity_id, r_name AS label, CAST(NULL AS BIGINT) AS text_idx, CAST(r_regionkey AS BIGINT) AS cand_ord FROM region")
 def all_entities_mode(t):
+    """Without mentions all records are every text's candidates, as one list that texts share."""
     r = t("region").select(F.col("r_regionkey").cast("string").alias("entity_id"), F.col("r_name").alias("label"), F.col("r_regionkey").cast("long").alias("load_ord"))
-    return C.all_entities(t("nation").select(F.col("n_nationkey").cast("long").alias("text_idx"), F.col("n_name").alias("text")), r).select("text_idx", "entity_id")
+    return C.all_entities(r).select("entity_id", "label", "text_idx", "cand_ord")
 
 
 # --- L3 and L4 --------------------------------------------------------------------------------
@@ -367,11 +445,12 @@ def l4_dedup_max(t):
     return L.deduplicate_best(_lines(t)).select("text_idx", "text", F.col("start").alias("start_pos"), "score", "link_ord")
 
 
-@query("WITH f AS (SELECT p_size, p_name, arg_max(p_size, p_partkey) AS pop FROM part GROUP BY p_size, p_name) SELECT CAST(p.p_partkey AS BIGINT) AS link_id, round((0.7 * (p_partkey % 10) / 10.0 + 0.3 * least(p_size * 20000 / 1e6, 1.0)) / 1.0, 9) AS score FROM part p")
+@query("WITH f AS (SELECT p_size, p_name, arg_max(p_partkey * 37 % 101, p_partkey) AS pop FROM part GROUP BY p_size, p_name) SELECT CAST(p_partkey AS BIGINT) AS link_id, round((0.7 * (p_partkey % 10) / 10.0 + 0.3 * least(coalesce(pop, 0) * 20000 / 1e6, 1.0)) / 1.0, 9) AS score FROM part p LEFT JOIN f ON f.p_size = p.p_size AND f.p_name = CASE WHEN p_partkey % 5 = 0 THEN 'no such' ELSE p.p_name END")
 def rank_weighted(t):
-    c = _part_candidates(t).withColumn("popularity", F.col("popularity") * 20000)
-    li = t("part").select(F.col("p_size").cast("long").alias("text_idx"), F.col("p_partkey").alias("link_ord"), F.col("p_name").alias("text"), F.col("p_name").alias("label"), F.col("p_partkey").cast("int").alias("start"),
-                          F.lit(0).alias("end"), (F.col("p_partkey") % 10 / 10.0).alias("score"))
+    """The last candidate of a label gives the popularity; a label without a candidate counts as 0."""
+    c = _part_candidates(t).withColumn("popularity", F.col("entity_id").cast("long") * 37 % 101 * 20000)
+    li = t("part").select(F.col("p_size").cast("long").alias("text_idx"), F.col("p_partkey").alias("link_ord"), F.col("p_name").alias("text"), F.when(F.col("p_partkey") % 5 == 0, "no such").otherwise(F.col("p_name")).alias("label"),
+                          F.col("p_partkey").cast("int").alias("start"), F.lit(0).alias("end"), (F.col("p_partkey") % 10 / 10.0).alias("score"))
     return L.rank(li, c, [("gliner_score", 0.7), ("popularity", 0.3)]).select(F.col("start").cast("long").alias("link_id"), F.round("score", 9).alias("score"))
 
 
@@ -381,11 +460,33 @@ def precomputed_eligible(t):
     return L.precomputed_eligible(e, "m")
 
 
-@query("WITH c AS (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label) SELECT vec_id, c.label AS label, round(1 / (1 + exp(-list_dot_product(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])))), 6) AS score FROM embeddings, c")
+VEC = "v AS (SELECT vec_id, vec_id // 10 AS text_idx, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), c AS (SELECT text_idx, label, arg_min(x, vec_id) AS y FROM v GROUP BY text_idx, label)"
+
+
+def _vectors(t) -> tuple[DataFrame, DataFrame]:
+    """Vectors as mentions, ten to a text, and each text's labels as candidates with the vector of their first row."""
+    e = t("embeddings").withColumn("text_idx", F.floor(F.col("vec_id") / 10))
+    m = e.select("text_idx", F.lit("").alias("text"), F.col("vec_id").cast("int").alias("start"), (F.col("vec_id") + 1).cast("int").alias("end"), F.col("embedding").alias("vector"))
+    c = e.groupBy("text_idx", "label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(
+        "text_idx", F.lit(0).alias("mention_idx"), F.col("label").alias("cand_ord"), F.col("label").cast("string").alias("entity_id"), F.col("label").cast("string").alias("label"), F.array().cast("array<string>").alias("aliases"),
+        F.lit(0).cast("long").alias("popularity"), "embedding", F.when(F.col("label") < 8, "m").otherwise("x").alias("embedding_model_id"))
+    return m, c
+
+
+@query(f"WITH {VEC} SELECT vec_id, CAST(c.label AS VARCHAR) AS label, round(1 / (1 + exp(-list_dot_product(x, y))), 6) AS score FROM v JOIN c USING (text_idx)")
 def bi_encoder_score(t):
-    e = t("embeddings")
-    c = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
-    return e.drop("label").join(F.broadcast(c), F.lit(True)).select("vec_id", "label", F.round(1 / (1 + F.exp(-S.dot(F.col("embedding"), F.col("v")))), 6).alias("score"))
+    m, c = _vectors(t)
+    got = L.bi_encoder(m, L.labels(c), threshold=0.0, multi_label=True, flat=False)
+    return got.select(F.col("start").cast("long").alias("vec_id"), "label", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {VEC}, ok AS (SELECT text_idx, bool_and(label < 8) AS ok FROM c GROUP BY text_idx) SELECT vec_id, CAST(c.label AS VARCHAR) AS label, round(1 / (1 + exp(-CASE WHEN ok THEN list_dot_product(x, y) ELSE x[c.label + 1] END)), 6) AS score FROM v JOIN c USING (text_idx) JOIN ok USING (text_idx)")
+def l3_precomputed(t):
+    """Candidates' own vectors, or, in texts where one has none of the model, vectors made on the fly."""
+    m, c = _vectors(t)
+    unit = lambda x: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == x.cast("int"), 1.0).otherwise(0.0))
+    got = L.bi_encoder_links(m, c, L.labels(c), "m", unit, threshold=0.0, multi_label=True, flat=False)
+    return got.select(F.col("start").cast("long").alias("vec_id"), "label", F.round("score", 6).alias("score"))
 
 
 # --- L0 ---------------------------------------------------------------------------------------
@@ -415,18 +516,7 @@ def l0_stats(t):
     return A.calculate_stats(_linked(t))
 
 
-@query(f"WITH {KB}, p AS (SELECT text_idx, mention_idx, b, e, lower(text) AS w, (mention_idx % 5) / 5.0 AS x FROM m WHERE mention_idx % 2 = 0) SELECT text_idx, b AS start_pos, entity_id, CAST(x AS DOUBLE) AS p FROM p JOIN kb ON kb.label = p.w")
-def l0_candidate_scores(t):
-    m = cut(_mentions(t))
-    k = cut(corpus_kb(m))
-    c = C.candidates(m, kb.Chain([kb.Layer("terms", "dict", records=k)]), 30, 0)
-    li = m.filter("mention_idx % 2 = 0").select("text_idx", "start", "end", F.create_map(F.lower("text"), F.col("mention_idx") % 5 / 5.0).alias("class_probs"))
-    got = A.candidate_scores(li, c)
-    return got.select("text_idx", F.col("start").alias("start_pos"), F.explode("scores").alias("entity_id", "p")).join(li.select("text_idx", F.col("start").alias("start_pos"), F.map_keys("class_probs")[0].alias("w")), ["text_idx", "start_pos"]) \
-        .filter(F.col("entity_id") == F.concat(F.lit("T:"), "w")).select("text_idx", "start_pos", "entity_id", "p")
-
-
-# The same of all mentions, each link's label found by either pass: a candidate of that label, else one whose label lies within it.
+# Each link's label is found by either pass: a candidate of that label, else one whose label lies within it.
 @query(f"""WITH {KB},
 cand AS (SELECT m.text_idx, m.mention_idx AS occ, kb.entity_id, kb.label FROM m JOIN kb ON lower(m.text) = kb.label OR lower(m.text) = kb.alias),
 p AS (SELECT text_idx, mention_idx, b, lower(text) AS want FROM m),
@@ -434,7 +524,7 @@ same AS (SELECT p.text_idx, p.mention_idx, min(c.entity_id) AS entity_id FROM p
 part AS (SELECT p.text_idx, p.mention_idx, arg_min(c.entity_id, c.occ * 10000 + length(c.entity_id)) AS entity_id FROM p JOIN cand c ON c.text_idx = p.text_idx AND contains(p.want, c.label) GROUP BY ALL)
 SELECT p.text_idx, p.b AS start_pos, coalesce(same.entity_id, part.entity_id) AS entity_id, CAST((p.mention_idx % 5) / 5.0 AS DOUBLE) AS p
 FROM p LEFT JOIN same USING (text_idx, mention_idx) LEFT JOIN part USING (text_idx, mention_idx) WHERE coalesce(same.entity_id, part.entity_id) IS NOT NULL""")
-def l0_candidate_scores_all(t):
+def l0_candidate_scores(t):
     m = cut(_mentions(t))
     k = cut(corpus_kb(m))
     c = C.candidates(m, kb.Chain([kb.Layer("terms", "dict", records=k)]), 30, 0)
@@ -442,6 +532,32 @@ def l0_candidate_scores_all(t):
     return A.candidate_scores(li, c).select("text_idx", F.col("start").alias("start_pos"), F.explode("scores").alias("entity_id", "p"))
 
 
+@query(f"WITH {agg_sql(0)} SELECT text_idx, mention_idx, is_linked, lb AS linked_start FROM staged")
+def l0_exact_position(t):
+    return _linked(t, tolerance=0).select("text_idx", "mention_idx", "is_linked", "linked_start")
+
+
+@query(f"WITH {agg_sql(3)} SELECT text_idx, mention_idx, is_linked, lb AS linked_start, le AS linked_end FROM staged")
+def l0_tolerance(t):
+    return _linked(t, tolerance=3).select("text_idx", "mention_idx", "is_linked", "linked_start", "linked_end")
+
+
+@query(f"WITH {agg_sql(2, ' (term)')} SELECT text_idx, mention_idx, entity_id FROM staged WHERE is_linked")
+def l0_template_match(t):
+    return _linked(t, kind=" (term)").filter("is_linked").select("text_idx", "mention_idx", "entity_id")
+
+
+@query(f"WITH {AGG} SELECT text_idx, stage, count(*) AS n FROM staged GROUP BY text_idx, stage")
+def l0_stage(t):
+    return _linked(t).groupBy("text_idx", "stage").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {AGG} SELECT count(*) AS total_mentions, count_if(is_linked)::BIGINT AS linked, count_if(NOT is_linked)::BIGINT AS unlinked, round(count_if(is_linked) / count(*), 9) AS linking_rate FROM staged")
+def l0_stats_rolled_up(t):
+    """Statistics of each text added up."""
+    return A.roll_up(A.calculate_stats(_linked(t), "text_idx")).withColumn("linking_rate", F.round("linking_rate", 9))
+
+
 # --- plan language ----------------------------------------------------------------------------
 
 def _talks(t) -> DataFrame:
@@ -467,6 +583,20 @@ def reduce_first(t):
     return d.select("conv_id", paths.reduce_column(paths.path_column(d.schema, "turns[*].text"), "first").alias("first_text"))
 
 
+@query("SELECT conv_id, arg_max(text, turn) AS last_text FROM conversations GROUP BY conv_id")
+def reduce_last(t):
+    d = _talks(t)
+    return d.select("conv_id", paths.reduce_column(paths.path_column(d.schema, "turns[*].text"), "last").alias("last_text"))
+
+
+@query("SELECT conv_id, count(*) AS n, CAST(sum(length(role)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
+def reduce_all(t):
+    """Lists of lists made one."""
+    d = _talks(t).select("conv_id", F.transform("turns", lambda x: F.array(x)).alias("groups"))
+    flat = paths.reduce_column(paths.path_column(d.schema, "groups[*][*].role"), "all", 2)
+    return d.select("conv_id", F.size(flat).cast("long").alias("n"), F.length(F.array_join(flat, "")).cast("long").alias("n_chars"))
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice >= 150000.5 AND o_orderstatus <> 'O'")
 def filter_expression(t):
     return paths.filter_frame(paths.filter_frame(t("orders"), "o_totalprice >= 150000.5"), "o_orderstatus != 'O'").select("o_orderkey", "o_orderstatus")
@@ -507,24 +637,47 @@ def _nations(t) -> tuple[DataFrame, DataFrame]:
 E2E = "SELECT s_suppkey AS text_idx, n_name AS mention_text, 'N' || CAST(n_nationkey AS VARCHAR) AS entity_id, true AS is_linked, 1.0::DOUBLE AS confidence FROM supplier JOIN nation ON s_nationkey = n_nationkey"
 
 
-def _run(t, reranker: bool, external: bool) -> DataFrame:
-    texts, recs = _nations(t)
-    spark = texts.sparkSession
-    given = {"texts": texts}
-    if external:
-        at = F.length(F.lit("A supplier from "))
-        span = texts.select("text_idx", F.regexp_extract("text", "^A supplier from (.*) ships widely", 1).alias("text"))
-        given["entities"] = M.external_mentions(span.withColumn("mention_idx", F.lit(0).cast("long")).withColumn("start", at).withColumn("end", at + F.length("text")))
-    ex = Factory.create_simple(spark, entities=recs, reranker=reranker, external_entities=external, pattern=None if external else r"\p{L}{4,}", threshold=0.95)
-    out = ex.execute(given).get("l0_result")
-    return out.filter("is_linked").select("text_idx", "mention_text", "entity_id", "is_linked", "confidence")
+def _given(texts: DataFrame) -> DataFrame:
+    at = F.length(F.lit("A supplier from "))
+    span = texts.select("text_idx", F.regexp_extract("text", "^A supplier from (.*) ships widely", 1).alias("text"))
+    return M.external_mentions(span.withColumn("mention_idx", F.lit(0).cast("long")).withColumn("start", at).withColumn("end", at + F.length("text")))
 
 
 @query(E2E)
 def e2e_external(t):
-    return _run(t, False, True)
+    """Mentions given with the texts."""
+    texts, recs = _nations(t)
+    ex = Factory.create_simple(texts.sparkSession, entities=recs, external_entities=True, threshold=0.95)
+    out = ex.execute({"texts": texts, "entities": _given(texts)}).get("l0_result")
+    return out.filter("is_linked").select("text_idx", "mention_text", "entity_id", "is_linked", "confidence")
 
 
 @query(E2E)
 def e2e_rerank(t):
-    return _run(t, True, True)
+    """L3, then L4 over chunks of one label each; near names are candidates too."""
+    texts, recs = _nations(t)
+    b = ConfigBuilder("rerank").set_schema_template("{label}")
+    b.l2.add("dict", fuzzy_similarity=0.6).l3.configure(threshold=0.5).l4.configure(threshold=0.95, max_labels=1)
+    ex = Factory.create_from_dict(b.build(), texts.sparkSession)
+    ex.load_entities(recs)
+    out = ex.execute({"texts": texts, "entities": _given(texts)}).get("l0_result")
+    return out.filter("is_linked").select("text_idx", "mention_text", "entity_id", "is_linked", "confidence")
+
+
+@query(E2E)
+def e2e_full(t):
+    """L1 to L0: names of the knowledge base are found in the texts, looked up and linked."""
+    texts, recs = _nations(t)
+    b = ConfigBuilder("full").set_schema_template("{label}").l1.spacy().l3.configure(threshold=0.95)
+    ex = Factory.create_from_dict(b.build(), texts.sparkSession)
+    ex.load_entities(recs)
+    out = ex.execute({"texts": texts}).get("l0_result")
+    return out.filter("is_linked").select("text_idx", "mention_text", "entity_id", "is_linked", "confidence")
+
+
+@query("SELECT s_suppkey AS text_idx, n_name AS mention_text, 'N' || CAST(n_nationkey AS VARCHAR) AS entity_id, 'l3_only' AS stage, CAST(16 AS INT) AS start_pos FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def e2e_simple(t):
+    """Texts alone: all entities are every text's candidates, and links are found without mentions."""
+    texts, recs = _nations(t)
+    out = Factory.create_simple(texts.sparkSession, entities=recs).execute({"texts": texts}).get("l0_result")
+    return out.select("text_idx", "mention_text", "entity_id", "stage", F.col("start").alias("start_pos"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -20,14 +21,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut a long lineage: `df` written as Parquet in the folder that all machines share (`spark.checkpoint.dir`;
-    a temporary one where that is unset) and read again. Plans that several later steps share stay small."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: `spark.checkpoint.dir`. Where that is unset a local session gets a temporary
+    one, made once; on a cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("linkloom.shared.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("linkloom.shared.dir", folder)
-    path = f"{folder.rstrip('/')}/linkloom/plan-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut a long lineage: `df` written as Parquet in the folder that all machines share and read again. Plans that
+    several later steps share stay small."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/linkloom/plan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

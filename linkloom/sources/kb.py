@@ -9,7 +9,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ENTITY, keep_first
@@ -72,8 +72,8 @@ def map_fields(raw: DataFrame, mapping: dict[str, str], source: str = "") -> Dat
 
 
 def unmap_fields(records: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Records as rows of a store; the layer tag stays behind."""
-    return records.select(*[F.col(n).alias(mapping.get(n, n)) for n in ENTITY.fieldNames() if n != "source" and n in records.columns])
+    """Records as rows of a store: the mapping's fields under the store's names, and the load position."""
+    return records.select(*[F.col(n).alias(c) for n, c in mapping.items() if n in records.columns], *(["load_ord"] if "load_ord" in records.columns else []))
 
 
 def upsert(old: DataFrame | None, new: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -131,10 +131,51 @@ class Layer:
     fuzzy: dict[str, Any] = field(default_factory=dict)
     available: bool = True
     records: DataFrame | None = None
+    config: dict[str, Any] = field(default_factory=dict)
+    cached: DataFrame | None = None  # of a key-value store: rows (key, value, expires_at, load_ord) that answers wrote
+    turns: int = 0  # how often answers were written
+
+    def key_values(self, now: str | None = None) -> DataFrame:
+        """The table of a key-value store: records under their labels and aliases; an answer that was written under a
+        key stands in their place as long as it lasts."""
+        rows = key_values(self.records, self.ttl, now)
+        if self.cached is None:
+            return rows
+        at = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
+        live = self.cached.filter(F.col("expires_at") > at)
+        return rows.join(live.select("key"), "key", "left_anti").unionByName(live)
+
+    def found_records(self) -> DataFrame:
+        """The records that a search can give: with those of answers that were written under keys."""
+        if self.cached is None:
+            return self.records
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ENTITY.fields)
+        rows = self.cached.select(F.explode(F.from_json("value", f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")).alias("r"), "load_ord").select("r.*", "load_ord")
+        rows = keep_first(rows, ["entity_id"], "load_ord").join(self.records, "entity_id", "left_anti")
+        return self.records.unionByName(_complete(rows), allowMissingColumns=True)
+
+    def receive(self, answers: DataFrame, now: str | None = None) -> None:
+        """Write answers (q, ord, record columns) back: as records that replace those of their ids and were loaded last,
+        or in a key-value store as one list under each query, for the layer's ttl (without one, not at all)."""
+        self.turns += 1
+        last = F.lit(self.turns << 44)
+        if self.kind != "redis":
+            rows = keep_first(answers, ["entity_id"], "q", "ord").drop("q", "ord").withColumn("load_ord", last + F.col("load_ord"))
+            self.records = upsert(self.records, rows, True)
+            return
+        if not self.ttl:
+            return
+        at = F.to_timestamp(F.lit(now)) if now else F.current_timestamp()
+        rec = F.struct(*[F.col(n) for n in ENTITY.fieldNames() if n in answers.columns])
+        rows = answers.groupBy(F.col("q").alias("key")).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("ord", rec.alias("r")))), lambda x: x["r"])).alias("value"))
+        rows = rows.select("key", "value", (at + F.make_dt_interval(secs=F.lit(self.ttl))).alias("expires_at"), last.cast("long").alias("load_ord"))
+        self.cached = rows if self.cached is None else self.cached.join(rows, "key", "left_anti").unionByName(rows)
 
     def load(self, new: DataFrame, overwrite: bool = False) -> int:
-        """Load records; the count of those stored."""
+        """Load records; the count of those stored. A full-text or relational store keeps the fields of its mapping."""
         before = self.records
+        if self.field_mapping and self.kind in ("elasticsearch", "postgres"):
+            new = map_fields(unmap_fields(new, self.field_mapping), self.field_mapping, self.kind)
         self.records = upsert(before, new, overwrite)
         if self.kind == "postgres":
             return new.count()
@@ -144,19 +185,19 @@ class Layer:
         return stored.count()
 
     def clear(self) -> None:
-        self.records = self.records.limit(0) if self.records is not None else None
+        self.records, self.cached = self.records.limit(0) if self.records is not None else None, None
 
     def count(self) -> int:
         """Records; for a key-value store its keys, aliases included."""
         if self.records is None:
             return 0
-        return key_values(self.records).select("key").distinct().count() if self.kind == "redis" else self.records.count()
+        return self.key_values().select("key").distinct().count() if self.kind == "redis" else self.records.count()
 
     def set_embeddings(self, vectors: DataFrame, model_id: str) -> int:
         if self.records is None:
             return 0
         n = self.records.join(vectors, "entity_id", "left_semi")
-        n = key_values(n).count() if self.kind == "redis" else n.count()
+        n = key_values(n).count() if self.kind == "redis" else n.count()  # a key-value store holds a record under each key
         self.records = update_embeddings(self.records, vectors, model_id)
         return n
 
@@ -174,6 +215,8 @@ class Chain:
         """Into all layers that may be written, or into the named kinds or names, whether they may or not."""
         out = {}
         for x in self.layers:
+            if x.records is None:  # an empty layer can be searched, and receive answers
+                x.records = source.limit(0)
             wanted = x.write if target_layers is None else x.kind in target_layers or x.name in target_layers
             if x.available and wanted:
                 out[x.kind] = x.load(source, overwrite)
@@ -209,7 +252,3 @@ class Chain:
                 out[x.kind] = x.set_embeddings(lab.select("entity_id", "_t").join(vec, "_t").select("entity_id", "embedding"), model_id)
         return out
 
-
-def with_load_order(df: DataFrame, *order) -> DataFrame:
-    """Load positions by an explicit order, for small tables."""
-    return df.withColumn("load_ord", F.row_number().over(Window.orderBy(*order)).cast("long"))

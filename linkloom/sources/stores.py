@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kb
+
 
 def jdbc_records(spark: SparkSession, url: str, user: str = "", password: str = "", entities: str = "entities", aliases: str = "aliases", **options: str) -> DataFrame:
     """Records of a relational store: entities with their aliases gathered in an array."""
@@ -20,20 +22,14 @@ def with_aliases(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return got.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).withColumn("description", F.coalesce("description", F.lit("")))
 
 
-def reachable(layer) -> bool:
-    """Does a layer's store answer? A layer's frame is planned but not read."""
+def connect(spark: SparkSession, layer) -> None:
+    """Give a relational layer whose config names a `url` the records of its store, under the layer's field mapping.
+    A store that can't be reached leaves its layer out of the chain."""
+    c = layer.config
+    if layer.kind != "postgres" or not c.get("url"):
+        return
     try:
-        layer.records.schema  # noqa: B018
-        return True
-    except Exception:
-        return False
-
-
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files as texts."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("text_idx"), F.col("value").alias("text"))
-
-
-def sample_texts(texts: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
-    """n texts in a seeded random order."""
-    return texts.orderBy(F.xxhash64("text_idx", F.lit(seed)), "text_idx").limit(n)
+        raw = jdbc_records(spark, c["url"], c.get("user", ""), c.get("password", ""), c.get("entities", "entities"), c.get("aliases", "aliases"), **c.get("options", {}))
+        layer.records = kb.map_fields(raw, layer.field_mapping, layer.kind)
+    except Exception:  # drivers raise errors of their own kinds
+        layer.available = False

@@ -1,19 +1,23 @@
 """Golden cases of retrieval, links and aggregation."""
 
+import random
+
 import pytest
+import regex
 from linkloom.operators import aggregate as A
 from linkloom.operators import candidates as C
 from linkloom.operators import links as L
 from linkloom.operators import mentions as M
-from linkloom.sources import kb
+from linkloom.sources import kb, stores
 
 RECORDS = [
-    dict(entity_id="D69", label="TP53", aliases=["p53", "tumor protein 53", "TRP53"], description="Tumor protein", popularity=1000000, id="x", name="y"),
-    dict(entity_id="D70", label="BRCA1", aliases=["BRCA-1", "breast cancer 1"], popularity=800000),
-    dict(entity_id="D71", label="EGFR", aliases=["ErbB-1", "HER1"], popularity=600000),
-    dict(entity_id="D1943", label="Breast Cancer", aliases=["breast carcinoma", "mammary cancer"], popularity=900000),
-    dict(entity_id="D2289", label="Lung Cancer", aliases=["lung carcinoma", "pulmonary cancer"], popularity=850000),
+    dict(entity_id="B1", label="KV88", aliases=["k88", "kestrel valve 88", "KRV88"], description="A valve", popularity=1000000, id="x", name="y"),
+    dict(entity_id="B2", label="MOTE2", aliases=["MOTE-2", "spring marker 2"], popularity=800000),
+    dict(entity_id="B3", label="OXLR", aliases=["OrlB-1", "HUX1"], popularity=600000),
+    dict(entity_id="B4", label="Spring Marker", aliases=["spring markstone", "bank marker"], popularity=900000),
+    dict(entity_id="B5", label="Dune Marker", aliases=["dune markstone", "sandhill marker"], popularity=850000),
 ]
+TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 CAND = "text_idx long, mention_idx long, cand_ord int, entity_id string, label string, aliases array<string>, description string, popularity long"
 LINK = "text_idx long, link_ord long, text string, label string, start int, end int, score double, class_probs map<string,double>"
 MENTION = "text_idx long, mention_idx long, text string, label string, start int, end int, left_context string, right_context string"
@@ -30,22 +34,87 @@ def found(spark, search, qs):
 
 
 def test_exact(spark, records):
-    assert found(spark, lambda q: C.exact(q, records), ["TP53", "tp53", "p53", "NONEXISTENT_XYZ"]) == {"TP53": ["D69"], "tp53": ["D69"], "p53": ["D69"], "NONEXISTENT_XYZ": []}
+    assert found(spark, lambda q: C.exact(q, records), ["KV88", "kv88", "k88", "NO_SUCH_NAME"]) == {"KV88": ["B1"], "kv88": ["B1"], "k88": ["B1"], "NO_SUCH_NAME": []}
 
 
 def test_fuzzy(spark, records):
-    got = found(spark, lambda q: C.fuzzy(q, records, 0.6, 1), ["TP5", "breast", "brca", "lung cancr", "erbb", "p53", "her1", "breast carcinoma"])
-    assert got == {"TP5": ["D69"], "breast": ["D1943"], "brca": ["D70"], "lung cancr": ["D2289"], "erbb": ["D71"], "p53": [], "her1": [], "breast carcinoma": ["D1943", "D70"]}
+    got = found(spark, lambda q: C.fuzzy(q, records, 0.6, 1), ["KV8", "spring", "mote", "dune markr", "orlb", "k88", "hux1", "spring markstone"])
+    assert got == {"KV8": ["B1"], "spring": ["B4"], "mote": ["B2"], "dune markr": ["B5"], "orlb": ["B3"], "k88": ["B1"], "hux1": [], "spring markstone": ["B4"]}
+
+
+def edit_ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_searches_lose_nothing(spark):
+    """Fuzzy, trigram and substring search against every pair of query and record."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
+    rows = [dict(entity_id=str(i), label=" ".join(word() for _ in range(rng.randrange(1, 3))), aliases=[word() for _ in range(rng.randrange(0, 3))], popularity=i % 5) for i in range(80)]
+    recs, qs = kb.read_records(spark, rows).persist(), sorted({word() + " " * (i % 3 == 0) + word() for i in range(60)})
+    ids = lambda search: {q: sorted(v) for q, v in found(spark, search, qs).items()}
+    grams = lambda s: {p[i: i + 3] for w in s.split() for p in [f"  {w} "] for i in range(len(p) - 2)}
+    for least in (0.5, 0.75, 1.0):
+        near = lambda q, r: (r["label"][0] == q[0]) and (edit_ratio(q, r["label"]) >= least or any(a[0] == q[0] and edit_ratio(q, a) >= least for a in r["aliases"]))  # noqa: B023, E731
+        assert ids(lambda q: C.fuzzy(q, recs, least, 1)) == {q: sorted(r["entity_id"] for r in rows if near(q, r)) for q in qs}  # noqa: B023
+    for least in (0.2, 0.3, 0.6):
+        alike = lambda q, r: len(grams(q) & grams(r["label"])) / len(grams(q) | grams(r["label"])) >= least  # noqa: B023, E731
+        assert ids(lambda q: C.trigram(q, recs, least, 1000)) == {q: sorted(r["entity_id"] for r in rows if alike(q, r)) for q in qs}  # noqa: B023
+    assert ids(lambda q: C.contains(q, recs, 1000)) == {q: sorted(r["entity_id"] for r in rows if any(q in x for x in [r["label"], *r["aliases"]])) for q in qs}
 
 
 def test_candidates(spark, records):
-    texts = spark.createDataFrame([(0, "TP53 mutations are associated with breast cancer."), (1, "")], "text_idx long, text string")
+    texts = spark.createDataFrame([(0, "KV88 parts were sold beside a spring marker."), (1, "")], "text_idx long, text string")
     m = M.gazetteer_mentions(texts, kb.surface_forms(records))
-    assert [(r["text"], r["start"], r["end"], r["left_context"]) for r in m.orderBy("start").collect()] == [("TP53", 0, 4, ""), ("breast cancer", 35, 48, "TP53 mutations are associated with")]
+    assert [(r["text"], r["start"], r["end"], r["left_context"]) for r in m.orderBy("start").collect()] == [("KV88", 0, 4, ""), ("spring marker", 30, 43, "KV88 parts were sold beside a")]
     chain = kb.Chain([kb.Layer("d", "dict", search_mode=["exact", "fuzzy"], fuzzy={"min_similarity": 0.6, "prefix_length": 1})])
     assert chain.load(records) == {"dict": 5} and chain.load(records) == {"dict": 0}
     c = C.candidates(m, chain, 5, 0)
-    assert [(r["mention_idx"], r["entity_id"]) for r in c.orderBy("mention_idx", "cand_ord").collect()] == [(0, "D69"), (1, "D1943"), (1, "D70")]
+    assert [(r["mention_idx"], r["entity_id"]) for r in c.orderBy("mention_idx", "cand_ord").collect()] == [(0, "B1"), (1, "B4")]
+
+
+@pytest.mark.parametrize("kind, ttl, later", [("dict", 0, "up"), ("redis", 60, "up"), ("redis", 0, "down")])
+def test_answers_serve_the_next_search(spark, records, kind, ttl, later):
+    chain = kb.Chain([kb.Layer("up", kind, 2, True, ["exact"], ttl), kb.Layer("down", "dict", 1, False, ["exact"])])
+    chain.load(records, ["down"])
+    m = spark.createDataFrame([(0, 0, "k88"), (0, 1, "OXLR"), (0, 2, "nothing")], "text_idx long, mention_idx long, text string")
+    first, again = ([(r["mention_idx"], r["entity_id"], r["label"], r["hit_layer"]) for r in C.candidates(m, chain, 5, 0, cache=True).orderBy("mention_idx").collect()] for _ in range(2))
+    assert first == [(0, "B1", "KV88", "down"), (1, "B3", "OXLR", "down")]
+    assert again == [(0, "B1", "KV88", later), (1, "B3", "OXLR", later)]
+
+
+def test_stores_keep_the_mapped_fields(spark, records):
+    x = kb.Layer("rel", "postgres", field_mapping={"entity_id": "id", "label": "name"})
+    x.load(records)
+    r = x.records.filter("entity_id = 'B1'").first()
+    assert (r["label"], r["aliases"], r["description"], r["popularity"], r["source"]) == ("KV88", [], "", 0, "postgres")
+
+
+def test_store_that_cant_be_reached(spark):
+    x = kb.Layer("rel", "postgres", config={"url": "jdbc:none://nowhere/x"})
+    stores.connect(spark, x)
+    assert not x.available and kb.Chain([x]).usable() == []
+
+
+def test_flat_mentions(spark):
+    got = lambda *a: [tuple(r) for r in C.flat_mentions(spark, *a).collect()]
+    assert got(["a", "b"]) == [(0, 0, "a"), (0, 1, "b")]
+    assert got(["a", "b", "c", "d"], [["x"], [], ["x", "x"]]) == [(0, 0, "a"), (2, 0, "b"), (2, 1, "c")]
+
+
+def test_tokens_are_the_patterns(spark):
+    texts = ["", None, "Élan vital—naïve №5 日本 x²", " \n lead", "trail  ", "a", "🙂b🙂", "\x00 z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "text_idx long, text string")
+    got = sorted((r["text_idx"], r["pos"], r["token"], r["start"]) for r in M.tokens(df).collect())
+    assert got == [(i, k + 1, m[0], m.start()) for i, t in enumerate(texts) for k, m in enumerate(regex.finditer(TOKEN, t or ""))]
+    want = [(i, m[0], m.start()) for i, t in enumerate(texts) for m in regex.finditer(TOKEN, t or "") if regex.fullmatch(r"\p{L}+", m[0])]
+    for pattern in (r"\p{L}+", r"(?!\d)\p{L}+"):  # the second is one by one
+        assert sorted((r["text_idx"], r["text"], r["start"]) for r in M.pattern_mentions(df, pattern).collect()) == sorted(want)
 
 
 def link_rows(spark, rows):
@@ -53,27 +122,27 @@ def link_rows(spark, rows):
 
 
 def test_link_steps(spark):
-    x = link_rows(spark, [("TP53", "a", 0, 4, 0.5, None), ("TP53", "b", 0, 4, 0.9, None), ("EGFR", "c", 3, 7, 0.8, None)])
+    x = link_rows(spark, [("KV88", "a", 0, 4, 0.5, None), ("KV88", "b", 0, 4, 0.9, None), ("OXLR", "c", 3, 7, 0.8, None)])
     assert [r["score"] for r in L.deduplicate_links(x).orderBy("link_ord").collect()] == [0.5, 0.8]
     assert [r["score"] for r in L.deduplicate_best(x).orderBy("link_ord").collect()] == [0.9, 0.8]
     assert [r["label"] for r in L.flat_spans(x).orderBy("link_ord").collect()] == ["a", "b"]
 
 
 def test_rank(spark):
-    c = spark.createDataFrame([(0, 0, 1, "1", "TP53", [], "", 1000000), (0, 0, 2, "2", "BRCA1", [], "", 100)], CAND)
-    got = L.rank(link_rows(spark, [("TP53", "TP53", 0, 4, 0.5, None), ("BRCA1", "BRCA1", 8, 13, 0.9, None)]), c, [("gliner_score", 0.7), ("popularity", 0.3)]).orderBy("link_ord").collect()
-    assert [(r["label"], round(r["score"], 5)) for r in got] == [("TP53", 0.65), ("BRCA1", 0.63003)]
+    c = spark.createDataFrame([(0, 0, 1, "1", "KV88", [], "", 1000000), (0, 0, 2, "2", "MOTE2", [], "", 100)], CAND)
+    got = L.rank(link_rows(spark, [("KV88", "KV88", 0, 4, 0.5, None), ("MOTE2", "MOTE2", 8, 13, 0.9, None)]), c, [("gliner_score", 0.7), ("popularity", 0.3)]).orderBy("link_ord").collect()
+    assert [(r["label"], round(r["score"], 5)) for r in got] == [("KV88", 0.65), ("MOTE2", 0.63003)]
 
 
 @pytest.mark.parametrize("links, tolerance, strict, stages", [
-    ([("TP53", "TP53: Tumor", 0, 4, 0.9, None)], 2, True, ["l3_linked"]),
-    ([("TP53", "TP53: Tumor", 1, 5, 0.9, None)], 2, True, ["l3_linked"]),
-    ([("TP53", "TP53: Tumor", 5, 9, 0.9, None)], 1, True, ["l2_found"]),
-    ([("TP53", "TP53: Tumor", 0, 4, 0.9, None), ("Q", "none", 20, 25, 0.8, None)], 2, False, ["l3_linked", "l3_only"]),
+    ([("KV88", "KV88: A valve", 0, 4, 0.9, None)], 2, True, ["l3_linked"]),
+    ([("KV88", "KV88: A valve", 1, 5, 0.9, None)], 2, True, ["l3_linked"]),
+    ([("KV88", "KV88: A valve", 5, 9, 0.9, None)], 1, True, ["l2_found"]),
+    ([("KV88", "KV88: A valve", 0, 4, 0.9, None), ("Q", "none", 20, 25, 0.8, None)], 2, False, ["l3_linked", "l3_only"]),
 ])
 def test_aggregate(spark, links, tolerance, strict, stages):
-    m = spark.createDataFrame([(0, 0, "TP53", None, 0, 4, "", "")], MENTION)
-    c = spark.createDataFrame([(0, 0, 1, "1", "TP53", [], "Tumor", 5)], CAND)
+    m = spark.createDataFrame([(0, 0, "KV88", None, 0, 4, "", "")], MENTION)
+    c = spark.createDataFrame([(0, 0, 1, "1", "KV88", [], "A valve", 5)], CAND)
     rows = A.aggregate(m, c, link_rows(spark, links), "{label}: {description}", tolerance, strict).orderBy("mention_idx").collect()
     assert [r["stage"] for r in rows] == stages
     assert rows[0]["entity_id"] == ("1" if stages[0] == "l3_linked" else None)

@@ -58,7 +58,7 @@ def test_registry_and_steps(spark):
 
 
 def test_builder(tmp_path, spark):
-    b = ConfigBuilder("n").l1_gliner(labels=["gene"]).l3().l4()
+    b = ConfigBuilder("n").l1.gliner(labels=["gene"]).l3().l4()
     b.l2.add("dict", priority=2).l2.add("postgres", priority=1)
     cfg = b.build()
     assert [n["id"] for n in cfg["nodes"]] == ["l1", "l2", "l3", "l4", "l0"]
@@ -70,7 +70,60 @@ def test_builder(tmp_path, spark):
         ConfigBuilder("n").build()
 
 
-def test_simple_end_to_end(spark):
-    ex = Factory.create_simple(spark, entities=[{"entity_id": "1", "label": "CRISPR-Cas9"}, {"entity_id": "2", "label": "gene therapy"}])
-    ctx = ex.execute({"texts": ["CRISPR-Cas9 enables precise gene therapy."], "entities": [[{"text": "CRISPR-Cas9", "start": 0, "end": 11}, {"text": "gene therapy", "start": 28, "end": 40}]]})
-    assert [(r["mention_text"], r["entity_id"]) for r in ctx.get("l0_result").orderBy("mention_idx").collect()] == [("CRISPR-Cas9", "1"), ("gene therapy", "2")]
+def test_builder_defaults():
+    b = ConfigBuilder("n").l3.configure(model="some/model")
+    for kind in ("dict", "redis", "elasticsearch", "postgres"):
+        b.l2.add(kind)
+    x, redis, full, rel = b.l2.items
+    assert (x["write"], x["ttl"], x["search_mode"], x["cache_policy"]) == (True, 0, ["exact", "fuzzy"], "always")
+    assert (redis["search_mode"], redis["ttl"], redis["config"]["port"], "fuzzy" in redis) == (["exact"], 3600, 6379, False)
+    assert (full["ttl"], full["cache_policy"], full["fuzzy"], full["config"]["index_name"]) == (86400, "miss", {"min_similarity": 0.3}, "entities")
+    assert (rel["write"], rel["fuzzy"], rel["config"]["database"]) == (False, {"min_similarity": 0.3}, "entities_db")
+    assert "embedding" not in x["field_mapping"] and b.build()["nodes"][0]["config"]["max_candidates"] == 5
+    b.l2.embeddings(model_name="some/encoder")
+    two = b.build()["nodes"][0]["config"]
+    assert two["max_candidates"] == 10 and two["embeddings"]["model_name"] == "some/encoder" and x["field_mapping"]["embedding"] == "embedding"
+    assert b.l0.values == {"min_confidence": 0.0, "include_unlinked": True, "return_all_candidates": False, "strict_matching": True, "position_tolerance": 2}
+    assert b.l3.values["model_name"] == "some/model" and b.l3.values["cache_embeddings"] is False
+    assert b.description == "n - auto-generated configuration" and b.build()["nodes"][1]["schema"] == {"template": "{label}: {description}"}
+    assert b.l2.add("postgres", host="db", user="me").l2.items[-1]["config"] | {"password": ""} == {"host": "db", "port": 5432, "database": "entities_db", "user": "me", "password": ""}
+    auto = ConfigBuilder("m").l3.configure().l2.build()["layers"]
+    assert [y["fuzzy"]["min_similarity"] for y in auto] == [0.6]
+    with pytest.raises(TypeError):
+        b.l0.configure(no_such=1)
+
+
+RECORDS = [{"entity_id": "1", "label": "Rivermouth"}, {"entity_id": "2", "label": "tidal gate", "aliases": ["sluice"]}]
+
+
+def test_given_mentions_end_to_end(spark):
+    ex = Factory.create_simple(spark, entities=RECORDS, external_entities=True)
+    ctx = ex.execute({"texts": ["Rivermouth opened its tidal gate."], "entities": [[{"text": "Rivermouth", "start": 0, "end": 10}, {"text": "tidal gate", "start": 22, "end": 32}]]})
+    assert [(r["mention_text"], r["entity_id"]) for r in ctx.get("l0_result").orderBy("mention_idx").collect()] == [("Rivermouth", "1"), ("tidal gate", "2")]
+    assert ctx.get_metadata("l0_result")["stats"].first()["linked"] == 2
+
+
+def test_texts_alone_end_to_end(spark):
+    ctx = Factory.create_simple(spark, entities=RECORDS).execute({"texts": ["The sluice of Rivermouth.", "Nothing here."]})
+    rows = ctx.get("l0_result").orderBy("text_idx", "start").collect()
+    assert [(r["text_idx"], r["mention_text"], r["entity_id"], r["stage"]) for r in rows] == [(0, "sluice", "2", "l3_only"), (0, "Rivermouth", "1", "l3_only")]
+
+
+def test_context_goes_where_its_frames_go(spark, tmp_path):
+    c = dag.Context({})
+    c.set("rows", spark.range(3), {"node": "x", "stats": spark.range(1)})
+    c.set("n", [1, 2])
+    c.save(str(tmp_path / "ctx"))
+    got = dag.Context.load(spark, str(tmp_path / "ctx"))
+    assert got.get("rows").count() == 3 and got.get("n") == [1, 2] and got.get_metadata("rows") == {"node": "x"}
+
+
+def test_inputs_of_frames(spark):
+    c = dag.Context({})
+    rows = [(0, [("a", 1), ("b", 2)], "x"), (1, [("c", 3)], "y")]
+    c.set("r", spark.createDataFrame(rows, "text_idx long, items array<struct<name:string,n:int>>, tag string"))
+    got = lambda **kw: [tuple(r) for r in c.resolve(dag.Input("r", **kw)).orderBy("text_idx").collect()]
+    assert got(fields="items[*].name") == [(0, ["a", "b"]), (1, ["c"])]
+    assert got(fields="items[*].name", reduce="last") == [(0, "b"), (1, "c")]
+    assert got(fields="tag", filter="text_idx > 0") == [(1, "y")]
+    assert got(template="<{tag}>") == [(0, "<x>"), (1, "<y>")]

@@ -13,7 +13,7 @@ def test_update_embeddings_applies_every_vector(spark, tmp_path):
 def test_candidate_scores_of_all_mentions_by_both_passes(spark, tmp_path):
     texts = ["River then Stone"] * 6 + ["River, Riverside and Stone or Millstone"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r["text_idx"], r["start_pos"]): (r["entity_id"], r["p"]) for r in Q.QUERIES["l0_candidate_scores_all"](spark, str(tmp_path)).collect()}
+    got = {(r["text_idx"], r["start_pos"]): (r["entity_id"], r["p"]) for r in Q.QUERIES["l0_candidate_scores"](spark, str(tmp_path)).collect()}
     # Millstone has no record and holds `stone` as it is written in lower case; the same for Riverside and `river`.
     want = {(6, 0): ("T:river", 0.0), (6, 7): ("T:river", 0.2), (6, 21): ("T:stone", 0.4), (6, 30): ("T:stone", 0.6)}
     assert got == want | {(i, at): (e, p) for i in range(6) for at, e, p in ((0, "T:river", 0.0), (11, "T:stone", 0.2))}
