@@ -38,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     several texts stays with all of them if it is the smallest of one's group."""
     comp = similarity_join.similarity_components(docs, words=5, percent=80)
     keep = comp.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").withColumn("_text", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"])
+    named = docs.join(keep, "doc_id", "left_semi").withColumn("_text", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")
     return _kept(named.unionByName(docs.filter("doc_id is null")))
 
 
