@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import components, empty_worker, mix, shingle_sets, small_batches, write_table
 
 BINS = 512  # in a class's signature; a tree's nodes have a bit for each
+COARSE = 64  # bins of the signature that tells texts apart which merely share a passage
 LEAF = 16
 FANOUT = 8
 FREQUENT = 1 << 17
@@ -60,9 +61,9 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return got.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
     """How many shingles of a set fall into each bin (255 and more are one)."""
-    return np.minimum(np.bincount((hashes >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
+    return np.minimum(np.bincount((hashes >> np.uint64(20)).astype(np.int64) % bins, minlength=bins), 255).astype(np.uint8)
 
 
 def prefix(hashes: np.ndarray, known: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -86,8 +87,8 @@ def _set_key(s: np.ndarray) -> tuple[int, int, int]:
 
 
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Texts (doc_id, text) to (doc_id, n, k1, k2, prefix, signature): size and a 128-bit digest of each set, and
-    for sets that can be like a different one, their prefix and signature."""
+    """Texts (doc_id, text) to (doc_id, n, k1, k2, prefix, signature, coarse): size and a 128-bit digest of each set,
+    and for sets that can be like a different one, their prefix and signatures."""
     often = frequent_shingles(docs, words)
     order = np.argsort(often)
     shared = docs.sparkSession.sparkContext.broadcast((often[order], order))
@@ -96,17 +97,17 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         empty_worker()
         known, rank = shared.value
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             for s in shingle_sets(b.column(1), words):
                 n, k1, k2 = _set_key(s)
                 alone = 100 * n < percent * (n + 1)
-                p, counts = (None, None) if alone else (prefix(s, known, rank, percent).view(np.int64), signature(s).tobytes())
-                for col, v in zip(cols, (n, k1, k2, p, counts)):
+                more = (None, None, None) if alone else (prefix(s, known, rank, percent).view(np.int64), signature(s).tobytes(), signature(s, COARSE).tobytes())
+                for col, v in zip(cols, (n, k1, k2, *more)):
                     col.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n", "k1", "k2", "prefix", "signature"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n", "k1", "k2", "prefix", "signature", "coarse"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, signature binary, coarse binary")
 
 
 # --- the signature tree -----------------------------------------------------------------------
@@ -128,7 +129,9 @@ def _allowed(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+    """The signatures of a column, which has one at least."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
 
 
 class Tree:
@@ -187,7 +190,7 @@ class Tree:
 def tree_pairs(n: np.ndarray, signatures: np.ndarray, comp: np.ndarray, percent: int, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (row numbers) among the rows of one block."""
     bits = _bitmaps(signatures)
-    order = np.lexsort((bits[:, 1], bits[:, 0], n))
+    order = np.lexsort((bits[:, -1], bits[:, 0], n))
     x, y = Tree(n[order], signatures[order], bits[order], comp[order], (n if tail is None else tail)[order]).candidates(percent)
     return order[x], order[y]
 
@@ -318,9 +321,19 @@ def _digest(col: str) -> list:
     return [F.count("*").alias("c"), F.bit_xor(F.xxhash64(col)).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), col)).alias("x2")]
 
 
+def _joined_groups(groups: DataFrame) -> DataFrame:
+    """Groups (g, id, comp) that share classes as one, where that has at most BLOCK_ROWS: a class's set then travels
+    once and not with each group."""
+    low = groups.groupBy("g").agg(F.min("id").alias("a"))
+    whole = components(groups.join(low, "g").select("a", F.col("id").alias("b")))
+    size = whole.groupBy("component_id").agg(F.count("*").alias("k")).filter(F.col("k") <= BLOCK_ROWS).select("component_id")
+    to = whole.join(size, "component_id").select("id", F.col("component_id").alias("to"))
+    return groups.join(to, "id", "left").select(F.coalesce(F.col("to"), F.col("g")).alias("g"), "id", "comp").distinct()
+
+
 def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that span what the groups (g, id, comp) hold, by whole sets. A task has the sets of one group
-    at a time, of at most BLOCK_ROWS classes."""
+    at a time, of at most about BLOCK_ROWS classes."""
     def run(batches):
         empty_worker()
         for t in _whole_groups(batches, 1):
@@ -339,9 +352,15 @@ def _group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return write_table(rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose `id` is among ids: by a broadcast where those are few, else by a shuffle."""
+    ids = write_table(ids.distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and signatures allow to be linked. A row's prefix stays behind."""
-    light = reps.select("id", "n", "signature")
+    light = _of_ids(reps.select("id", "n", "signature"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
     got = pairs.join(light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("x")), "a") \
         .join(light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("y")), "b")
 
@@ -361,8 +380,8 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(id, set): the sets of the classes `ids` (id), made again from a text of each."""
     want = write_table(reps.select("id", "doc", "k1", "k2", "n").join(ids.distinct(), "id", "left_semi"), "wanted")
-    doc = want.select("doc").distinct()
-    doc = F.broadcast(doc) if want.count() <= BROADCAST_IDS else doc
+    few = F.broadcast if want.count() <= BROADCAST_IDS else lambda df: df
+    doc = few(want.select("doc").distinct())
 
     def run(batches):
         empty_worker()
@@ -373,17 +392,27 @@ def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataF
 
     texts = docs.join(doc, docs["doc_id"] == doc["doc"], "left_semi").select("text")
     # An id may stand for several texts: the set's own key tells which class it is.
-    got = texts.mapInArrow(run, "n long, k1 long, k2 long, set array<bigint>").join(want.select("id", "n", "k1", "k2"), ["n", "k1", "k2"])
+    got = texts.mapInArrow(run, "n long, k1 long, k2 long, set array<bigint>").join(few(want.select("id", "n", "k1", "k2")), ["n", "k1", "k2"])
     return write_table(got.dropDuplicates(["id"]).select("id", "set"), "sets")
 
 
+def _pair_groups(pairs: DataFrame) -> DataFrame:
+    """(g, id, comp) with every pair (a, b) in a group: what pairs connect, where that has at most BLOCK_ROWS classes;
+    else the partners of one `a`, in parts of about BLOCK_ROWS, with it in each. comp is the class itself."""
+    whole = components(pairs)
+    few = whole.groupBy("component_id").agg(F.count("*").alias("k")).filter(F.col("k") <= BLOCK_ROWS).select("component_id")
+    small = whole.join(few, "component_id").select(F.col("component_id").alias("g"), "id")
+    rest = pairs.join(small.select(F.col("id").alias("a")), "a", "left_anti")
+    parts = rest.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    key = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))
+    large = rest.join(parts, "a").select(key.alias("g"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    return write_table(small.unionByName(large).withColumn("comp", F.col("id")), "groups")
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough, compared in full."""
-    pairs = write_table(_possible(pairs, reps, percent), "pairs")
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), reps, docs, words)
-    got = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return write_table(got.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("s")).filter(F.col("i") * 100 >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
+    """Links that span what the pairs (a, b) link whose sets are alike enough, compared in full."""
+    groups = _pair_groups(write_table(_possible(write_table(pairs, "near"), reps, percent), "pairs"))
+    return _group_links(groups, _sets(groups.select("id"), reps, docs, words), percent)
 
 
 def _blocks(reps: DataFrame, percent: int) -> DataFrame:
@@ -422,8 +451,10 @@ def _stars(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     hash, in bands that begin elsewhere."""
     rows = rows.withColumn("band", _band(percent, turn * 0.5))
     order = F.struct((-F.col("tail") / F.col("n")).alias("o"), "id") if not turn else F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id")
-    centre = rows.groupBy("key", "band").agg(F.min_by(F.struct("id", "comp"), order).alias("c")).select("key", "band", F.col("c.id").alias("centre"), F.col("c.comp").alias("other"))
-    return rows.join(centre, ["key", "band"]).filter("comp <> other").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+    centre = rows.groupBy("key", "band").agg(F.min_by(F.struct("id", "comp", "n", "tail"), order).alias("c"))
+    centre = centre.select("key", "band", F.col("c.id").alias("centre"), F.col("c.comp").alias("other"), F.col("c.n").alias("m"), F.col("c.tail").alias("rest"))
+    near = (F.least("tail", "rest") * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (F.least("n", "m") * 100 >= percent * F.greatest("n", "m"))
+    return rows.join(centre, ["key", "band"]).filter((F.col("comp") != F.col("other")) & near).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
 
 
 def _parts(rows: DataFrame, percent: int) -> DataFrame:
@@ -455,7 +486,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = write_table(classes(docs, words, percent).withColumn("row", F.monotonically_increasing_id()), "classes")
     named = sets.filter("doc_id is not null and n > 0")
-    reps = write_table(named.groupBy("k1", "k2", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature")), "reps")
+    reps = write_table(named.groupBy("k1", "k2", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"), F.first("coarse").alias("coarse")), "reps")
     keys = _blocks(reps, percent)
     links = verified(_stars(keys.withColumn("comp", F.col("id")), percent, 0), reps, docs, words, percent)
     comp = components(links)
@@ -470,8 +501,9 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
         links = links.union(more)
         comp = components(links)
         rows = write_table(_several(keys, comp), "several")
-    groups = _candidate_groups(_parts(rows, percent), ["key", "part"], percent)
-    groups = _candidate_groups(groups.join(reps.select("id", "signature"), "id"), ["g"], percent)
+    groups = _candidate_groups(_parts(rows, percent).join(reps.select("id", F.col("coarse").alias("signature")), "id"), ["key", "part"], percent)
+    groups = _candidate_groups(groups.join(_of_ids(reps.select("id", "signature"), groups.select("id")), "id"), ["g"], percent)
+    groups = write_table(_joined_groups(groups), "groups")
     more = _group_links(groups, _sets(groups.select("id"), reps, docs, words), percent)
     comp = components(links.union(more)) if not more.isEmpty() else comp
     of_class = reps.select("k1", "k2", "n", "id", "doc").join(comp, "id", "left").withColumn("of", F.coalesce("component_id", "id"))
