@@ -13,7 +13,6 @@ import zlib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,30 +143,32 @@ def _pack_groups(rows: DataFrame, size: int, level: int) -> DataFrame:
     """Rows with `g` (the group) packed in their groups: sequence_id, offset, load (of the bin), gap (bins over
     the group's bound)."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf["length"].to_numpy(np.int64)
+    def run(t: pa.Table) -> pa.Table:
+        lengths = t.column("length").to_numpy()
         bins, offs = best_fit_decreasing(lengths, size)
         n = int(bins.max()) + 1
-        pdf["sequence_id"] = (level << 58) + (int(key[0]) << 24) + bins
-        pdf["offset"] = offs
-        pdf["load"] = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)[bins]
-        pdf["gap"] = n - bin_bound(lengths, size)
-        pdf["bins"] = n
-        return pdf
+        load = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)[bins]
+        same = lambda v: np.full(len(t), v, np.int64)
+        new = {"sequence_id": (level << 58) + (t.column("g")[0].as_py() << 24) + bins, "offset": offs, "load": load, "gap": same(n - bin_bound(lengths, size)), "bins": same(n)}
+        for name, v in new.items():
+            t = t.append_column(name, pa.array(v))
+        return t
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, g long, sequence_id long, offset long, load long, gap long, bins long"
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "g").groupBy("g").applyInPandas(run, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, g long, sequence_id long, offset long, load long, gap long, bins long"
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "row", "g").groupBy("g").applyInArrow(run, schema)
 
 
-def _merge_lightest(parts: list[DataFrame], size: int, bound: int, level: int, group: int) -> list[DataFrame]:
+def _merge_lightest(parts: list[DataFrame], size: int, bound: int, level: int, group: int) -> tuple[list[DataFrame], int]:
     """Exchange the emptiest bins of all groups, about `group` pieces of them at once, as long as that saves bins
-    and there are more than `bound`. The bins of one load are its tokens divided by it."""
+    and there are more than `bound`: the pieces, and the bins over the bound. The bins of one load are its tokens
+    divided by it."""
     turn = 0
     while True:
         rows = reduce(DataFrame.unionByName, parts)
         loads = sorted(tuple(r) for r in rows.groupBy("load").agg(F.count("*"), F.sum("length")).collect())
-        if sum(tokens // load for load, _, tokens in loads) <= bound:
-            return parts
+        over = sum(tokens // load for load, _, tokens in loads) - bound
+        if over <= 0:
+            return parts, 0
         top = m = 0
         share = 1
         for load, n, _ in loads:
@@ -178,49 +179,50 @@ def _merge_lightest(parts: list[DataFrame], size: int, bound: int, level: int, g
         opened = rows.filter(mine).withColumn("g", F.lit(turn).cast("long"))
         was = opened.agg(F.countDistinct("sequence_id")).first()[0]
         if was < 2:
-            return parts
+            return parts, over
         again = write_table(_pack_groups(opened, size, level), "packed")
         if again.first()["bins"] >= was:
-            return parts
+            return parts, over
         parts = [p.filter(~mine) for p in parts] + [again]
         turn += 1
 
 
-def pack(cut: DataFrame, size: int, group: int = 40_000, rounds: int = 2) -> DataFrame:
-    """`cut` (as pieces() gives it) with sequence_id and offset; any sequence holds at most `size` tokens without
-    gaps. group bounds the pieces packed in one task; rounds, the exchanges between groups with a gap. After those
-    the emptiest bins of all groups are exchanged, towards the bound of all pieces. Whole pieces of `size` tokens are
-    sequences as they are. Nulls in doc_id and repeated rows are packed like others; an empty table gives an
-    empty result."""
-    spark = cut.sparkSession
-    full = cut.filter(F.col("length") >= size).select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+def pack(cut: DataFrame, size: int, group: int = 40_000, rounds: int = 12) -> DataFrame:
+    """`cut` (as pieces() gives it) with sequence_id, offset and over_bound; any sequence holds at most `size` tokens
+    without gaps. group bounds the pieces packed in one task; groups with a gap to their bound exchange pieces as long
+    as a round saves sequences, `rounds` times at most. After that the emptiest bins of all groups are exchanged,
+    towards the bound of all pieces; over_bound is how many sequences there are over that bound, 0 where no packing
+    can have fewer. Whole pieces of `size` tokens are sequences as they are. Nulls in doc_id and repeated rows are
+    packed like others and dealt to groups like others; an empty table gives an empty result."""
+    cut = cut.select("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id().alias("row"))
+    full = cut.filter(F.col("length") >= size).select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(1 << 62) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.filter(F.col("length") < size)
     done, level = [], 0
     count = np.zeros(size + 1, np.int64)
     for length, k in rest.groupBy("length").count().collect():
         count[length] = k
     n = int(count.sum())
-    todo = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(-(-n // group) or 1)))
-    packed = write_table(_pack_groups(todo, size, level), "packed")
+    dealt = lambda groups: F.pmod(F.xxhash64("doc_id", "piece", "row", F.lit(level)), F.lit(groups))
+    packed = write_table(_pack_groups(rest.withColumn("g", dealt(-(-n // group) or 1)), size, level), "packed")
     final = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     for level in range(1, rounds + 1):
         open_ = (F.col("gap") > 0) & (F.col("load") < size)
         was, m = packed.filter(open_).agg(F.countDistinct("sequence_id"), F.count("*")).first()
-        groups = -(-m // group)
         if was < 2 or packed.select("g").filter("gap > 0").distinct().count() < 2:
             break
-        todo = packed.filter(open_).withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(groups)))
-        again = write_table(_pack_groups(todo, size, level), "packed")
+        again = write_table(_pack_groups(packed.filter(open_).withColumn("g", dealt(-(-m // group))), size, level), "packed")
         if again.agg(F.countDistinct("sequence_id")).first()[0] >= was:
             break
         done.append(packed.filter(~open_))
         packed = again
     out = full.select(final)
-    for d in _merge_lightest([packed, *done], size, count_bound(count, size), rounds + 1, group):
+    parts, over = _merge_lightest([packed, *done], size, count_bound(count, size), rounds + 1, group)
+    for d in parts:
         out = out.unionByName(d.select(final))
-    return out
+    return out.withColumn("over_bound", F.lit(over).cast("long"))
 
 
-def best_fit_pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, group: int = 40_000, rounds: int = 2) -> DataFrame:
-    """Tokenise, cut and pack whole documents: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+def best_fit_pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, group: int = 40_000, rounds: int = 12) -> DataFrame:
+    """Tokenise, cut and pack whole documents: (doc_id, piece, start, length, ids_crc32, sequence_id, offset,
+    over_bound). Columns other than doc_id and text are not read."""
     return pack(write_table(pieces(docs, tokenizer_path, size, end_id), "pieces"), size, group, rounds)
