@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
-A table hashes a vector with three pseudo-random rotations (random signs and a fast Hadamard transform, three
-times each): each gives the axis, with its sign, nearest to the rotated vector. Multiprobe puts a vector also
-into the buckets of the nearest misses. Vectors that share a bucket are compared exactly; a pair counts in the
+A table hashes a vector with some pseudo-random rotations (random signs and a fast Hadamard transform, three
+times each), more of them the more vectors there are: each gives the axis, with its sign, nearest to the rotated
+vector. Multiprobe puts a vector also into the buckets of the nearest misses. Vectors that share a bucket are compared exactly; a pair counts in the
 first bucket it shares. Equal vectors are one class with a weight, so copies never meet pairwise."""
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import components, mix, small_batches, write_table
 
-TABLES = 16
-HASHES = 3
 PROBES = 3
 CHUNK = 512
+MISS = 1e-4  # the share of pairs at the threshold that may be in no common bucket
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -30,16 +29,33 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, seed: int = 11) -> np.ndarray:
+def settings(n: int, size: int, threshold: float) -> tuple[int, int]:
+    """Hashes of a table's key, and tables, for n vectors. Keys have as many values as there are vectors at least, so
+    buckets don't fill up as n grows; tables are as many as leave MISS of the pairs at the threshold apart, by what
+    made-up pairs of that cosine share."""
+    d = 1 << max(1, int(np.ceil(np.log2(max(2, size)))))
+    hashes = max(2, int(np.ceil(np.log(max(n, 2)) / np.log(2 * d))))
+    rng = np.random.default_rng(5)
+    x, r = rng.normal(size=(2, 400, max(2, size)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r -= (r * x).sum(1, keepdims=True) * x
+    r /= np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * r
+    a, b = buckets(x, hashes, 8), buckets(y, hashes, 8)
+    met = float((a[:, :, :, None] == b[:, :, None, :]).any((2, 3)).mean())
+    return hashes, int(np.clip(np.ceil(np.log(MISS) / np.log(max(1e-9, 1 - min(met, 0.95)))), 4, 120))
+
+
+def buckets(x: np.ndarray, hashes: int, tables: int, seed: int = 11) -> np.ndarray:
     """Bucket keys [row, table, probe] of unit vectors; the number of the table is in a key."""
     rng = np.random.default_rng(seed)
     d = 1 << max(1, int(np.ceil(np.log2(max(2, x.shape[1])))))
     x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
-    out = np.zeros((len(x), TABLES, PROBES), np.int64)
+    out = np.zeros((len(x), tables, PROBES), np.int64)
     rows = np.arange(len(x))
-    for t in range(TABLES):
+    for t in range(tables):
         first, second, gap = [], [], []
-        for _ in range(HASHES):
+        for _ in range(hashes):
             y = x
             for _ in range(3):
                 y = hadamard(y * rng.choice([-1.0, 1.0], d)) / np.sqrt(d)
@@ -55,10 +71,10 @@ def buckets(x: np.ndarray, seed: int = 11) -> np.ndarray:
         for p in range(PROBES):
             code = first.copy()
             if p:
-                k = near[:, p - 1]
+                k = near[:, (p - 1) % hashes]
                 code[rows, k] = second[rows, k]
             key = np.full(len(x), t, np.uint64)
-            for h in range(HASHES):
+            for h in range(hashes):
                 key = key * np.uint64(2 * d + 1) + code[:, h].astype(np.uint64)
             out[:, t, p] = ((mix(key) >> np.uint64(8)) | (np.uint64(t) << np.uint64(56))).view(np.int64)
     return out
@@ -86,7 +102,7 @@ def _classes(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>")).mapInArrow(run, "vec_id long, key binary, vec binary")
 
 
-def _hashed(reps: DataFrame) -> DataFrame:
+def _hashed(reps: DataFrame, hashes: int, tables: int) -> DataFrame:
     """reps (id, m, vec) with their bucket keys."""
     def run(batches):
         for b in batches:
@@ -96,8 +112,8 @@ def _hashed(reps: DataFrame) -> DataFrame:
                 at = [i for i, v in enumerate(vecs) if len(v) == size]
                 x = np.frombuffer(b"".join(vecs[i] for i in at), np.float64).reshape(len(at), -1)
                 x = x / np.abs(x).max(1, keepdims=True)
-                k = buckets(x / np.linalg.norm(x, axis=1, keepdims=True))
-                k = mix(k.view(np.uint64) ^ np.uint64(size)) >> np.uint64(8) | (np.arange(TABLES, dtype=np.uint64)[None, :, None] << np.uint64(56))
+                k = buckets(x / np.linalg.norm(x, axis=1, keepdims=True), hashes, tables)
+                k = mix(k.view(np.uint64) ^ np.uint64(size)) >> np.uint64(8) | (np.arange(tables, dtype=np.uint64)[None, :, None] << np.uint64(56))
                 for i, row in zip(at, k.reshape(len(at), -1).view(np.int64)):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int64()))], names=["id", "m", "vec", "keys"])
@@ -145,11 +161,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, column: str = "
     """One row per row of `vectors`: (vec_id, n_links, component_id, kept). n_links counts the other vectors with
     a cosine of at least `threshold` that the tables find, equal vectors included; component_id is the smallest
     vec_id reachable. Null, empty, zero and non-finite vectors and those with null components link with nothing,
-    nor do vectors of different lengths."""
+    nor do vectors of different lengths. Rows with a null vec_id link with nothing and have a null component_id and
+    kept; rows that repeat a vec_id are vectors of their own. Other columns are not read."""
     small_batches(vectors.sparkSession, 2000)
-    rows = write_table(_classes(vectors, column), "vectors")
+    rows = write_table(_classes(vectors, column).withColumn("row", F.monotonically_increasing_id()), "vectors")
     good = rows.filter("key is not null and vec_id is not null")
-    reps = write_table(_hashed(good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("vec").alias("vec")).select("id", "m", "vec")), "reps")
+    good = write_table(good.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.min("row").alias("id"), F.count("*").alias("m"), F.first("vec").alias("vec")), "classes")
+    n, size = good.agg(F.count("*"), F.coalesce(F.max(F.length("vec")) / 8, F.lit(2))).first()
+    hashes, tables = settings(n, int(size), threshold)
+    reps = write_table(_hashed(good.select("id", "m", "vec"), hashes, tables), "reps")
     light = reps.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
     # Of buckets that hold the same vectors the first is enough: the first that any pair of them shares.
     met = light.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("x2")).filter("c > 1") \
@@ -171,7 +191,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, column: str = "
             edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1, [len(key)]])
             ids, m, chunk = (t.column(c).to_numpy() for c in ("id", "m", "chunk"))
             vecs = t.column("vec").to_pylist()
-            keys = np.array(t.column("keys").combine_chunks().flatten()).reshape(-1, TABLES, PROBES)
+            keys = np.array(t.column("keys").combine_chunks().flatten()).reshape(-1, tables, PROBES)
             got: list = [[], [], []]
             for i, j in zip(edge[:-1], edge[1:]):
                 if j - i < 2 or len({len(v) for v in vecs[i:j]}) > 1:
@@ -207,8 +227,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, column: str = "
     found = write_table(heavy.select("key", "part", "parts", "chunk", "id", "m", "vec", "keys").mapInArrow(run, "id long, links long, low long"), "links")
     comp = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    final = reps.select("id", "m").join(links, "id", "left").join(comp, "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    to_rep = good.groupBy("key").agg(F.min("vec_id").alias("id")).join(final, "id").drop("id")
-    return rows.select("vec_id", "key").join(to_rep, "key", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"))
+    of = good.select("key", "id", "vec_id", "m").join(links, "id", "left").join(comp, "id", "left").withColumn("of", F.coalesce("component_id", "id"))
+    least = of.groupBy("of").agg(F.min("vec_id").alias("component_id"))
+    final = of.drop("component_id").join(least, "of").select("key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
+    return rows.select("vec_id", "key").join(final, "key", "left").select(
+        "vec_id", F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+        F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"), (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"))
