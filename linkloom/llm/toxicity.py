@@ -20,6 +20,7 @@ DIM = 6
 SIZES = (3, 4, 5)
 #: Documents longer than this count as this long when words are averaged, so one insult in a long text weighs.
 EVEN = 40.0
+STEPS = 600
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -56,9 +57,10 @@ def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return key.astype(np.int32), np.bincount(inv, weights=share, minlength=len(key)).astype(np.float32)
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 64, seed: int = 5) -> dict:
-    """Fit vectors and softmax together by Adam with weights that even out the classes. Without both classes the
-    model is a constant."""
+def train(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch: int = 64, seed: int = 5) -> dict:
+    """Fit vectors and softmax together by Adam with weights that even out the classes. Unless epochs are given they
+    are about STEPS steps, from 6 to 60 times over the texts. Without both classes the model is a constant."""
+    epochs = epochs or int(np.clip(-(-STEPS * batch // max(1, len(texts))), 6, 60))
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.05, (TABLE, DIM)).astype(np.float32)
     soft = np.zeros((DIM, 2), np.float32)
