@@ -226,6 +226,12 @@ def sort_by_popularity(candidates: DataFrame) -> DataFrame:
 METHODS = {"filter_by_popularity": filter_by_popularity, "deduplicate_candidates": deduplicate_candidates, "limit_candidates": limit_candidates, "sort_by_popularity": sort_by_popularity}
 
 
+def unique_candidates(candidates: DataFrame, limit: int | None = 50) -> DataFrame:
+    """The candidates of all texts, each entity once, the most popular `limit` of them: what an application lists."""
+    once = keep_first(candidates, ["entity_id"], "text_idx", "mention_idx", "cand_ord")
+    return once.orderBy(F.col("popularity").desc(), "entity_id").limit(limit) if limit else once
+
+
 def all_entities(records: DataFrame) -> DataFrame:
     """Without mentions the whole knowledge base is every text's candidate list, whatever limit or popularity say. It is
     given once, with a null text_idx: later steps share it."""

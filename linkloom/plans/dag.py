@@ -220,7 +220,13 @@ class Executor:
         if isinstance(given.get("entities"), list):
             from ..operators.mentions import external_mentions
 
-            rows = [(i, k, e["text"], e["start"], e["end"]) for i, es in enumerate(given["entities"]) for k, e in enumerate(es)]
+            def parts(e: Any) -> tuple:
+                """Text, start and end of a mention: a dict, an object, or a text alone."""
+                if isinstance(e, str):
+                    return e, None, None
+                return tuple(e.get(k) if isinstance(e, dict) else getattr(e, k, None) for k in ("text", "start", "end"))
+
+            rows = [(i, k, *parts(e)) for i, es in enumerate(given["entities"]) for k, e in enumerate(es)]
             given = given | {"entities": external_mentions(self.spark.createDataFrame(rows, "text_idx long, mention_idx long, text string, start int, end int"))}
         ctx = Context(given)
         by_id = {n.id: n for n in self.nodes}

@@ -137,6 +137,11 @@ class Link(Processor):
         ranking = self.schema.get("ranking")
         return links.rank(out, candidates, [(r["field"], r["weight"]) for r in ranking]) if ranking else out
 
+    @property
+    def supports_precomputed_embeddings(self) -> bool:
+        """Can the model score labels by vectors?"""
+        return self.config.get("model_name") in ENCODERS
+
     def _cache(self, candidates: DataFrame) -> None:
         """Vectors of candidates that have none go to the first layer that answers."""
         encode = ENCODERS.get(self.config.get("model_name"))

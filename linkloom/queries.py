@@ -403,6 +403,14 @@ def all_entities_mode(t):
     return C.all_entities(r).select("entity_id", "label", "text_idx", "cand_ord")
 
 
+@query("SELECT CAST(id AS VARCHAR) AS entity_id, CAST(pop AS BIGINT) AS popularity FROM (SELECT p_partkey AS id, p_size AS pop FROM part) ORDER BY pop DESC, CAST(id AS VARCHAR) LIMIT 50")
+def unique_candidates(t):
+    """A report of the most popular candidates, each once, over links of line items."""
+    p = part_kb(t).withColumn("cand_ord", F.lit(1)).withColumn("mention_idx", F.lit(0))
+    twice = p.withColumn("text_idx", F.lit(0).cast("long")).unionByName(p.withColumn("text_idx", F.lit(1).cast("long")))
+    return C.unique_candidates(twice, 50).select("entity_id", "popularity")
+
+
 # --- L3 and L4 --------------------------------------------------------------------------------
 
 def _part_candidates(t) -> DataFrame:

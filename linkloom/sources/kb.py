@@ -222,6 +222,10 @@ class Chain:
                 out[x.kind] = x.load(source, overwrite)
         return out
 
+    def get_layer(self, kind: str) -> Layer | None:
+        """The first layer of a kind or name."""
+        return next((x for x in self.layers if kind in (x.kind, x.name)), None)
+
     def clear(self) -> None:
         for x in self.layers:
             x.clear()
@@ -241,12 +245,15 @@ class Chain:
 
     def precompute(self, encode, text: str, model_id: str, targets: list[str] | None = None) -> dict[str, int]:
         """Vectors of all records' formatted labels by `encode` (a function from a column of texts to vectors, such
-        as a pandas UDF), each distinct text encoded once."""
-        from ..schema import template
+        as a pandas UDF), each distinct text encoded once. Layers without a field of the template are passed over."""
+        from ..schema import template, template_fields
 
         out = {}
         for x in self.usable():
             if targets is None or x.kind in targets:
+                if any(f not in x.records.columns for f in template_fields(text)):
+                    out[x.kind] = 0
+                    continue
                 lab = x.records.withColumn("_t", template(text, x.records.columns))
                 vec = lab.select("_t").distinct().withColumn("embedding", encode(F.col("_t")))
                 out[x.kind] = x.set_embeddings(lab.select("entity_id", "_t").join(vec, "_t").select("entity_id", "embedding"), model_id)

@@ -9,6 +9,7 @@ from linkloom.operators import candidates as C
 from linkloom.operators import links as L
 from linkloom.operators import mentions as M
 from linkloom.sources import kb, stores
+from pyspark.sql import functions as F
 
 RECORDS = [
     dict(entity_id="B1", label="KV88", aliases=["k88", "kestrel valve 88", "KRV88"], description="A valve", popularity=1000000, id="x", name="y"),
@@ -78,7 +79,7 @@ def test_candidates(spark, records):
     assert [(r["mention_idx"], r["entity_id"]) for r in c.orderBy("mention_idx", "cand_ord").collect()] == [(0, "B1"), (1, "B4")]
 
 
-@pytest.mark.parametrize("kind, ttl, later", [("dict", 0, "up"), ("redis", 60, "up"), ("redis", 0, "down")])
+@pytest.mark.parametrize("kind, ttl, later", [("dict", 0, "up"), ("elasticsearch", 0, "up"), ("redis", 60, "up"), ("redis", 0, "down")])
 def test_answers_serve_the_next_search(spark, records, kind, ttl, later):
     chain = kb.Chain([kb.Layer("up", kind, 2, True, ["exact"], ttl), kb.Layer("down", "dict", 1, False, ["exact"])])
     chain.load(records, ["down"])
@@ -101,6 +102,20 @@ def test_store_that_cant_be_reached(spark):
     assert not x.available and kb.Chain([x]).usable() == []
 
 
+def test_vectors_and_layers(spark, records):
+    chain = kb.Chain([kb.Layer("d", "dict"), kb.Layer("bare", "postgres", records=records.drop("description"))])
+    chain.load(records, ["dict"])
+    encode = lambda c: F.array(F.length(c).cast("float"))
+    assert chain.precompute(encode, "{label}: {description}", "m") == {"dict": 5, "postgres": 0}
+    assert chain.get_layer("dict").records.filter("entity_id = 'B1'").first()["embedding"] == [13.0] and chain.get_layer("none") is None
+    m = spark.createDataFrame([(0, "KV88", 0, 4, [1.0]), (1, "OXLR", 0, 4, [-1.0])], "text_idx long, text string, start int, end int, vector array<float>")
+    cand = chain.get_layer("dict").records.filter("entity_id in ('B1', 'B3')").withColumn("text_idx", F.when(F.col("entity_id") == "B1", 0).otherwise(1).cast("long")).withColumn("mention_idx", F.lit(0)).withColumn("cand_ord", F.lit(1))
+    got = L.bi_encoder_links(m, cand, L.labels(cand, "{label}: {description}"), "m", None, threshold=0.5)
+    assert [(r["text"], r["label"]) for r in got.collect()] == [("KV88", "KV88: A valve")]
+    assert L.bi_encoder_links(m, cand, L.labels(cand), "other", None).count() == 0
+    assert L.bi_encoder_links(m, cand, L.labels(cand), "other", encode, threshold=0.9).count() == 1
+
+
 def test_flat_mentions(spark):
     got = lambda *a: [tuple(r) for r in C.flat_mentions(spark, *a).collect()]
     assert got(["a", "b"]) == [(0, 0, "a"), (0, 1, "b")]

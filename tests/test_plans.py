@@ -2,9 +2,10 @@
 
 import pytest
 from linkloom.functions import paths
-from linkloom.plans import dag, registry
+from linkloom.plans import dag, processors, registry
 from linkloom.plans.builder import ConfigBuilder, Factory
 from linkloom.schema import template
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("data, path, want", [
@@ -103,6 +104,30 @@ def test_given_mentions_end_to_end(spark):
     assert ctx.get_metadata("l0_result")["stats"].first()["linked"] == 2
 
 
+def test_mentions_as_texts(spark):
+    ex = Factory.create_simple(spark, entities=RECORDS, external_entities=True)
+    got = ex.execute({"texts": ["a", "b"], "entities": [["sluice"], [type("M", (), {"text": "Rivermouth", "start": 1, "end": 2})()]]}).get("l2_result").collect()
+    assert sorted((r["text_idx"], r["entity_id"]) for r in got) == [(0, "2"), (1, "1")]
+
+
+def test_models_and_encoders(spark):
+    processors.MODELS["finder"] = lambda t: [(0, 6, "place", 0.9), (0, 6, "other", 0.9), (7, 9, "place", 0.2)]
+    processors.ENCODERS["enc"] = lambda c: F.array(F.length(c).cast("float"))
+    b = ConfigBuilder("m").set_schema_template("{label}").l1.gliner(model="finder", labels=["place"], threshold=0.5).l3.configure(model="enc", threshold=0.5, cache_embeddings=True)
+    ex = Factory.create_from_dict(b.build(), spark)
+    ex.load_entities(RECORDS)
+    assert [(r["text"], r["label"]) for r in ex.execute({"texts": ["sluice it"]}).get("l1_result").collect()] == [("sluice", "place")]
+    link = ex.processors["l3"]
+    assert link.supports_precomputed_embeddings and link.chain is ex.processors["l2"].chain
+    texts = spark.createDataFrame([(0, "sluice it")], "text_idx long, text string")
+    mentions = spark.createDataFrame([(0, 0, "sluice", 0, 6, [1.0])], "text_idx long, mention_idx long, text string, start int, end int, vector array<float>")
+    cands = ex.processors["l2"](texts=texts, mentions=mentions)
+    assert [(r["text"], r["label"]) for r in link(texts=texts, candidates=cands, mentions=mentions).collect()] == [("sluice", "tidal gate")]
+    assert [(r["entity_id"], r["embedding_model_id"]) for r in link.chain.all_entities().orderBy("entity_id").collect()] == [("1", None), ("2", "enc")]
+    with pytest.raises(RuntimeError, match="unknown method"):
+        Factory.create_from_dict({"nodes": [{"id": "x", "processor": "l2_chain", "inputs": {}, "output": "y", "config": {"pipeline": [["bad", {}]]}}]}, spark)
+
+
 def test_texts_alone_end_to_end(spark):
     ctx = Factory.create_simple(spark, entities=RECORDS).execute({"texts": ["The sluice of Rivermouth.", "Nothing here."]})
     rows = ctx.get("l0_result").orderBy("text_idx", "start").collect()
