@@ -285,8 +285,8 @@ def ids_of_texts(texts, split, cache: WordCache, learn, most_new: int = 1 << 15)
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of `edges` (a, b long) by alternating large-star and small-star steps, each
     written to the shared folder: (id, component_id), the smallest id reachable; ids without an edge are
-    absent. Nothing but one count per round reaches the driver. A hub's neighbours are never put in one
-    task: minima are partial aggregates and the star steps are joins."""
+    absent. Nothing but one count per round reaches the driver. Minima are partial aggregates; the star steps are
+    joins with one row a node on one side, and adaptive execution splits a hub's many rows on the other."""
     spark = edges.sparkSession
     e = write_table(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     if e.isEmpty():

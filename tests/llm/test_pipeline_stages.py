@@ -55,3 +55,24 @@ def test_each_stage_keeps_exactly_what_brute_force_keeps(spark):
     unlike = stages["near_duplicates"](spark, clean, SMALL)
     want = smallest_of_each_group(text(clean))
     assert kept(unlike) == want and len(want) < clean.count()
+
+
+def test_stages_on_odd_rows(spark, odd):
+    stages, docs = dict(P.STAGES), odd.select(P.COLUMNS)
+    ids = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in df.select("doc_id").collect())
+    lettered = stages["language_id"](spark, docs, SMALL)
+    assert ids(lettered) == [-1, 4, 5, 5, 6, 7, 8, 9] and lettered.columns == P.COLUMNS
+    assert set(ids(stages["toxicity"](spark, docs, SMALL))) <= set(ids(docs))
+    assert ids(stages["near_duplicates"](spark, docs, SMALL)) == [-1, 1, 2, 3, 4, 5, 7, 9]
+    packed = stages["packing"](spark, docs, SMALL).filter("piece = 0")
+    assert ids(packed) == ids(docs)
+    twice = spark.createDataFrame([(5, "a b c d e f", "en", "s", 0), (5, "u v w x y z", "en", "s", 0), (5, "a b c d e f", "en", "s", 0), (3, "u v w x y z", "en", "s", 0)], docs.schema)
+    assert sorted((r["doc_id"], r["text"][0]) for r in stages["near_duplicates"](spark, twice, SMALL).collect()) == [(3, "u"), (5, "a"), (5, "u")]
+
+
+def test_stages_on_an_empty_table(spark, none):
+    at = none.select(P.COLUMNS)
+    for name, stage in P.STAGES[:-1]:
+        at = common.write_table(stage(spark, at, SMALL), name)
+        assert at.count() == 0 and at.columns == P.COLUMNS
+    assert P.STAGES[-1][1](spark, at, SMALL).count() == 0
