@@ -173,14 +173,19 @@ def deduplicate_best(links: DataFrame) -> DataFrame:
 
 
 def flat_spans(links: DataFrame) -> DataFrame:
-    """Greedy links without overlaps, best score first. A text's links are folded in one native expression."""
+    """Greedy links without overlaps, best score first. A text's spans fall into islands that don't touch; the links of
+    one island are folded in one native expression."""
+    before = Window.partitionBy("text_idx").orderBy("start", "end", "link_ord").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("text_idx").orderBy("start", "end", "link_ord").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.coalesce((F.col("start") >= F.max("end").over(before)).cast("int"), F.lit(1))
+    rows = links.select("text_idx", "start", "end", "link_ord", "score").withColumn("_b", begins).withColumn("island", F.sum("_b").over(so_far))
     best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "start", "end", "link_ord")))
 
     def add(acc: Column, x: Column) -> Column:
         clash = F.exists(acc, lambda y: ~((y["end"] <= x["start"]) | (y["start"] >= x["end"])) & ~((y["start"] == x["start"]) & (y["end"] == x["end"])))
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
 
-    kept = links.groupBy("text_idx").agg(best.alias("xs")).withColumn("xs", F.aggregate("xs", F.slice("xs", 1, 0), add))
+    kept = rows.groupBy("text_idx", "island").agg(best.alias("xs")).withColumn("xs", F.aggregate("xs", F.slice("xs", 1, 0), add))
     ids = kept.select("text_idx", F.explode("xs.link_ord").alias("link_ord"))
     return links.join(ids, ["text_idx", "link_ord"], "left_semi").select(links.columns)
 

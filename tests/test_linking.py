@@ -9,6 +9,7 @@ from linkloom.operators import candidates as C
 from linkloom.operators import links as L
 from linkloom.operators import mentions as M
 from linkloom.sources import kb, stores
+from linkloom.streaming import linking
 from pyspark.sql import functions as F
 
 RECORDS = [
@@ -143,6 +144,34 @@ def test_link_steps(spark):
     assert [r["label"] for r in L.flat_spans(x).orderBy("link_ord").collect()] == ["a", "b"]
 
 
+def test_flat_spans_are_greedy(spark):
+    rng = random.Random(8)
+    rows = []
+    for t in range(30):
+        for k in range(rng.randrange(0, 15)):
+            a = rng.randrange(0, 40)
+            rows.append((t, k, "x", "l", a, a + rng.randrange(1, 8), rng.randrange(0, 5) / 5.0, None))
+    want = []
+    for t in range(30):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == t), key=lambda r: (-r[6], r[4], r[5], r[1])):
+            if all(r[5] <= q[4] or r[4] >= q[5] or (r[4], r[5]) == (q[4], q[5]) for q in kept):
+                kept.append(r)
+        want += [(t, r[1]) for r in kept]
+    assert sorted((r["text_idx"], r["link_ord"]) for r in L.flat_spans(spark.createDataFrame(rows, LINK)).collect()) == sorted(want)
+
+
+def test_streams(spark, tmp_path):
+    texts = spark.createDataFrame([(0, "KV88 again"), (1, "nothing"), (2, "an OXLR and a KV88")], "text_idx long, text string")
+    texts.repartition(2).write.parquet(f"{tmp_path}/texts")
+    records = kb.read_records(spark, RECORDS)
+    stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/texts")
+    link = lambda df: C.exact(C.queries_of(m := M.pattern_mentions(df, r"[\p{L}\p{N}]+")), records).join(m.withColumn("q", F.lower("text")), "q")
+    sink = lambda df, n: df.select("text_idx", "entity_id").write.mode("append").parquet(f"{tmp_path}/out")
+    linking.link_stream(stream, link, sink, f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, "B1"), (2, "B1"), (2, "B3")]
+
+
 def test_rank(spark):
     c = spark.createDataFrame([(0, 0, 1, "1", "KV88", [], "", 1000000), (0, 0, 2, "2", "MOTE2", [], "", 100)], CAND)
     got = L.rank(link_rows(spark, [("KV88", "KV88", 0, 4, 0.5, None), ("MOTE2", "MOTE2", 8, 13, 0.9, None)]), c, [("gliner_score", 0.7), ("popularity", 0.3)]).orderBy("link_ord").collect()
