@@ -45,8 +45,8 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files go when the driver's collector finds their plans unused; without this they pile up on the
-    executors' disks over an operator's many steps."""
-    gc.collect()
+    executors' disks over an operator's many steps. Memory that the driver's own Python has freed goes back too."""
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -213,8 +213,13 @@ _STATES: dict = {}
 
 def empty_worker() -> None:
     """Drop what other operators keep in this Python worker, and give freed memory back to the machine: workers
-    live on through an application, and C's and Arrow's allocators hold on to what earlier tasks took."""
+    live on through an application."""
     _STATES.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine: C's and Arrow's allocators hold on to what was taken once."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

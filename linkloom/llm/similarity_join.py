@@ -397,16 +397,12 @@ def _sets(ids: DataFrame, reps: DataFrame, docs: DataFrame, words: int) -> DataF
 
 
 def _pair_groups(pairs: DataFrame) -> DataFrame:
-    """(g, id, comp) with every pair (a, b) in a group: what pairs connect, where that has at most BLOCK_ROWS classes;
-    else the partners of one `a`, in parts of about BLOCK_ROWS, with it in each. comp is the class itself."""
-    whole = components(pairs)
-    few = whole.groupBy("component_id").agg(F.count("*").alias("k")).filter(F.col("k") <= BLOCK_ROWS).select("component_id")
-    small = whole.join(few, "component_id").select(F.col("component_id").alias("g"), "id")
-    rest = pairs.join(small.select(F.col("id").alias("a")), "a", "left_anti")
-    parts = rest.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    """(g, id, comp) with every pair (a, b) in a group: the partners b of one a, in parts of about BLOCK_ROWS, with it in
+    each. comp is the class itself."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     key = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))
-    large = rest.join(parts, "a").select(key.alias("g"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    return write_table(small.unionByName(large).withColumn("comp", F.col("id")), "groups")
+    rows = pairs.join(parts, "a").select(key.alias("g"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    return write_table(rows.withColumn("comp", F.col("id")), "groups")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -446,7 +442,7 @@ def _band(percent: int, shift: float = 0.0):
 
 
 def _stars(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of each class and the centre of its block and band of sizes, of different components. The first
+    """Pairs (a, b) of the centre of each block and band of sizes with each other class there, of different components. The first
     centre is the class with the longest tail for its size, the one with least text of its own; later ones go by
     hash, in bands that begin elsewhere."""
     rows = rows.withColumn("band", _band(percent, turn * 0.5))
@@ -454,7 +450,7 @@ def _stars(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     centre = rows.groupBy("key", "band").agg(F.min_by(F.struct("id", "comp", "n", "tail"), order).alias("c"))
     centre = centre.select("key", "band", F.col("c.id").alias("centre"), F.col("c.comp").alias("other"), F.col("c.n").alias("m"), F.col("c.tail").alias("rest"))
     near = (F.least("tail", "rest") * (100 + percent) >= percent * (F.col("n") + F.col("m"))) & (F.least("n", "m") * 100 >= percent * F.greatest("n", "m"))
-    return rows.join(centre, ["key", "band"]).filter((F.col("comp") != F.col("other")) & near).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+    return rows.join(centre, ["key", "band"]).filter((F.col("comp") != F.col("other")) & near).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _parts(rows: DataFrame, percent: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import mix, small_batches, state_key, word_hashes, worker_state
+from .common import give_back, mix, small_batches, state_key, word_hashes, worker_state
 
 TABLE = 1 << 17
 DIM = 6
@@ -141,7 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
         return train([], np.zeros(0))
     chosen = F.broadcast(spark.createDataFrame(rows, "i long, y int"))
     got = docs.join(chosen, F.col(id_col) == F.col("i")).groupBy("i", "y").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("t")).toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
-    return train([t.encode() for t in got.column("t").to_pylist()], got.column("y").to_numpy())
+    texts, y = [t.encode() for t in got.column("t").to_pylist()], got.column("y").to_numpy()
+    del got
+    model = train(texts, y)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.7, text: str = "text", keep: list[str] | None = None) -> DataFrame:
