@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import blocks, bytes_of, small_batches
+from .common import blocks, bytes_of, empty_worker, small_batches
 
 BUCKETS = 1 << 16
 RUN = 48  # bytes in a run
@@ -45,6 +45,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
+        empty_worker()
         total: dict[str, np.ndarray] = {}
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
@@ -155,6 +156,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     out = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]
 
     def run(batches):
+        empty_worker()
         names, table = shared.value
         for b in batches:
             texts = b.column(at)

@@ -68,7 +68,7 @@ class WordIds:
         return ids_of_texts(texts, lambda t: (t if b"<|" in t else t.lower()).split(), self.cache, self.learn)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, cache_entries: int = 1_000_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int = 0, cache_entries: int = 800_000) -> DataFrame:
     """The pieces of each document's ids (a null text is empty) with `end_id` after them: (doc_id, piece, start,
     length, ids_crc32). Only documents longer than `size` are cut; repeated rows give pieces each."""
     small_batches(docs.sparkSession)

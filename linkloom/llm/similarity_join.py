@@ -442,9 +442,9 @@ def _band(percent: int, shift: float = 0.0):
 
 
 def _stars(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of the centre of each block and band of sizes with each other class there, of different components. The first
-    centre is the class with the longest tail for its size, the one with least text of its own; later ones go by
-    hash, in bands that begin elsewhere."""
+    """Pairs (a, b) of the centre of each block and band of sizes with each other class there, of different components.
+    The first centre is the class with the longest tail for its size, the one with least text of its own; later ones
+    go by hash, in bands that begin elsewhere."""
     rows = rows.withColumn("band", _band(percent, turn * 0.5))
     order = F.struct((-F.col("tail") / F.col("n")).alias("o"), "id") if not turn else F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), "id")
     centre = rows.groupBy("key", "band").agg(F.min_by(F.struct("id", "comp", "n", "tail"), order).alias("c"))
