@@ -106,14 +106,14 @@ def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     """Give each row together with the next one in ascending order of (doc_id, text), the first after the last.
     `run` gets iterators of batches (doc_id, text, bucket, own) in which rows are in order and a row with own
     false only ends its bucket. Buckets are ranges of doc_id, as many as the session has shuffle partitions at
-    most, cut by a sample of 30 ids a bucket; the smallest row of each, one per bucket, is copied to the end of
+    most, cut by a sample of 100 ids a bucket; the smallest row of each, one per bucket, is copied to the end of
     the bucket before. A null doc_id comes first; rows of one doc_id are in one bucket, by their texts."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
     n_buckets = max(1, min(partition_count(spark), n // 8))
     ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"))
-    seen = np.sort(ids.sample(min(1.0, 30 * n_buckets / n), 11).toArrow().column("i").to_numpy()) if n_buckets > 1 else np.zeros(0, np.int64)
+    seen = np.sort(ids.sample(min(1.0, 100 * n_buckets / n), 11).toArrow().column("i").to_numpy()) if n_buckets > 1 else np.zeros(0, np.int64)
     marks = np.unique(seen[np.arange(1, n_buckets) * len(seen) // n_buckets]) if len(seen) else seen
 
     @F.pandas_udf("long")
