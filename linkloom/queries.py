@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
-from .functions import similarity as S
 from .operators import aggregate as A
 from .operators import candidates as C
 from .operators import links as L
@@ -224,6 +223,23 @@ def kb_read_jsonl(t):
     return kb.load_source(p.sparkSession, path).select("entity_id", "label", "popularity", "description")
 
 
+@query("SELECT count(*) AS n, CAST(sum(length(n_name)) AS BIGINT) AS n_chars FROM nation")
+def texts_from_lines(t):
+    """Names written as lines of text and read as texts, in a random order that a seed fixes."""
+    names = t("nation").select(F.col("n_name").alias("value"))
+    path = f"{shared_folder(names.sparkSession)}/linkloom/texts-{uuid.uuid4().hex}"
+    names.write.text(path)
+    got = stores.sample_texts(stores.read_texts(names.sparkSession, path), 1000)
+    return got.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(f"WITH {MEN} SELECT text_idx, mention_idx FROM m WHERE mention_idx % 2 = 0 OR lower(text) <> lower(substr(text, 1, 5))")
+def mention_own_type(t):
+    """Every other mention has its text's first five characters as its type: it goes if that is all it says."""
+    m = _mentions(t).withColumn("label", F.when(F.col("mention_idx") % 2 == 1, F.upper(F.substring("text", 1, 5))))
+    return M.differs_from_label(m).select("text_idx", "mention_idx")
+
+
 @query("WITH n AS (SELECT count(DISTINCT p_name) AS n FROM part) SELECT n AS first_load, CAST(0 AS BIGINT) AS again, n AS overwritten, n AS stored FROM n")
 def kb_load_counts(t):
     rows, layer = _brands(t), kb.Layer("a")

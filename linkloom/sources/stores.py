@@ -33,3 +33,23 @@ def connect(spark: SparkSession, layer) -> None:
         layer.records = kb.map_fields(raw, layer.field_mapping, layer.kind)
     except Exception:  # drivers raise errors of their own kinds
         layer.available = False
+
+
+def reachable(layer) -> bool:
+    """Does a layer's store answer? Its records are planned, and of an outside store one row is asked for."""
+    try:
+        if layer.records is None:
+            return False
+        return not layer.config.get("url") or layer.records.limit(1).count() >= 0
+    except Exception:  # drivers raise errors of their own kinds
+        return False
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files as texts."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("text_idx"), F.col("value").alias("text"))
+
+
+def sample_texts(texts: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
+    """n texts in a seeded random order."""
+    return texts.orderBy(F.xxhash64("text_idx", F.lit(seed)), "text_idx").limit(n)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 import regex
+from linkloom.functions import similarity as S
 from linkloom.operators import aggregate as A
 from linkloom.operators import candidates as C
 from linkloom.operators import links as L
@@ -117,6 +118,16 @@ def test_vectors_and_layers(spark, records):
     assert L.bi_encoder_links(m, cand, L.labels(cand), "other", encode, threshold=0.9).count() == 1
 
 
+def test_vectors_in_label_order(spark):
+    rows = spark.createDataFrame([(0, "b", 2, [2.0]), (0, "a", 1, [1.0]), (1, "c", 1, [3.0])], "text_idx long, label_text string, label_ord int, embedding array<float>")
+    assert {r["text_idx"]: r["matrix"] for r in L.label_matrix(rows).collect()} == {0: [[1.0], [2.0]], 1: [[3.0]]}
+    with pytest.raises(Exception, match="no embedding for b"):
+        L.label_matrix(rows.withColumn("embedding", F.when(F.col("label_text") != "b", F.col("embedding")))).collect()
+    alike = spark.createDataFrame([("word", "two words"), ("", ""), ("abc", "abc")], "a string, b string").select(S.trigram_similarity(F.col("a"), F.col("b")).alias("s"))
+    assert [round(r["s"], 4) for r in alike.collect()] == [0.3636, 0.0, 1.0]
+    assert stores.reachable(kb.Layer("x", records=rows)) and not stores.reachable(kb.Layer("y"))
+
+
 def test_flat_mentions(spark):
     got = lambda *a: [tuple(r) for r in C.flat_mentions(spark, *a).collect()]
     assert got(["a", "b"]) == [(0, 0, "a"), (0, 1, "b")]
@@ -168,6 +179,8 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/texts")
     link = lambda df: C.exact(C.queries_of(m := M.pattern_mentions(df, r"[\p{L}\p{N}]+")), records).join(m.withColumn("q", F.lower("text")), "q")
     sink = lambda df, n: df.select("text_idx", "entity_id").write.mode("append").parquet(f"{tmp_path}/out")
+    ids = linking.exact_stream(stream.select(F.lower("text").alias("q")), kb.label_index(records))
+    assert ids.isStreaming and "entity_id" in ids.columns
     linking.link_stream(stream, link, sink, f"{tmp_path}/checkpoint").awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, "B1"), (2, "B1"), (2, "B3")]
 
