@@ -10,7 +10,6 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
