@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, hmm, html_text, language, packing, piece_encoding, similarity_join, token_counts, toxicity
+from . import embeddings, fingerprints, hmm, html_text, language, packing, piece_encoding, similarity_join, spelling, token_counts, toxicity
 from .common import crc_mod
 
 import public_tokenizers
@@ -63,8 +63,12 @@ def op10_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_piece_encoding, op2_hmm_language_model, op3_language_mixture, op4_bottom_k_fingerprints, op5_subword_toxicity,
-                                   op6_main_text, op7_token_counts, op8_best_fit_packing, op9_signature_tree_join, op10_cross_polytope_dedup)}
+                                   op6_main_text, op7_token_counts, op8_best_fit_packing, op9_signature_tree_join, op10_cross_polytope_dedup, op13_spelling_variants)}
 
 #: None of the ten can be had in SQL as a whole; tests/llm holds them against brute force, the tokenizers'
 #: own results, round trips or held-out rows.
