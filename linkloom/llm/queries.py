@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, embeddings, fingerprints, hmm, html_text, language, packing, piece_encoding, similarity_join, spelling, token_counts, toxicity
+from . import conversation_trie, embeddings, fingerprints, hmm, html_text, language, packing, personal_data, piece_encoding, similarity_join, spelling, token_counts, toxicity
 from .common import crc_mod
 from .spelling_sql import OP13
 from .trie_sql import OP12
@@ -65,6 +65,10 @@ def op10_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(_table(spark, sf_dir, "documents"), personal_data.fit(personal_data.labelled_rows()))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_trie.ordered_turns(_table(spark, sf_dir, "conversations"))
     return conversation_trie.prefix_trie(*conversation_trie.graft(turns))
@@ -75,7 +79,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_piece_encoding, op2_hmm_language_model, op3_language_mixture, op4_bottom_k_fingerprints, op5_subword_toxicity,
-                                   op6_main_text, op7_token_counts, op8_best_fit_packing, op9_signature_tree_join, op10_cross_polytope_dedup, op12_conversation_trie, op13_spelling_variants)}
+                                   op6_main_text, op7_token_counts, op8_best_fit_packing, op9_signature_tree_join, op10_cross_polytope_dedup, op11_personal_data, op12_conversation_trie, op13_spelling_variants)}
 
 #: The others can't be had in SQL as a whole; tests/llm holds them against brute force, the tokenizers' own results,
 #: round trips or held-out rows.
