@@ -113,9 +113,10 @@ def _tokens(grams: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _key(tokens: np.ndarray, shorter: np.ndarray | int) -> np.ndarray:
-    """The key of each row of chosen tokens, for pairs whose shorter word has so many letters: its last six bits."""
-    m = np.minimum(np.broadcast_to(np.asarray(shorter, np.uint64), tokens.shape[:1]), np.uint64(63))
-    k = m.copy()
+    """The key of each row of chosen tokens, for pairs whose shorter word has so many letters, which (63 at
+    most) are its last six bits."""
+    k = np.broadcast_to(np.asarray(shorter, np.uint64), tokens.shape[:1]).copy()
+    m = np.minimum(k, np.uint64(63))
     for j in range(tokens.shape[1]):
         k = mix(k * np.uint64(0x9E3779B97F4A7C15) + tokens[:, j].astype(np.uint64))
     return ((k << np.uint64(6)) | m).view(np.int64)

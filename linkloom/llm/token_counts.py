@@ -8,6 +8,7 @@ its pre-tokens' counts. Special strings inside texts count as the library's defa
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 from collections import Counter
@@ -21,9 +22,19 @@ from .common import small_batches, state_key, worker_state
 
 #: The characters with Unicode's White_Space property.
 WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+CACHE_BYTES = 64 << 20  # characters of pre-tokens in a worker's cache, besides their number
 PRE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
+def check_pattern(tok) -> None:
+    """Refuse tokenizers whose tokens may go over the end of a pre-token: all but byte-level ones that cut texts by
+    the usual pattern and change nothing before."""
+    spec = json.loads(tok.to_str())
+    pre = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space"):
+        raise ValueError("only byte-level tokenizers with the usual pattern are counted by pre-tokens")
+
+
 class _Counts(dict):
     """Pre-tokens to their counts, with what was asked for in vain: that is 0, and noted in `missing`."""
 
@@ -37,7 +48,7 @@ class _Counts(dict):
 
 
 class Lengths:
-    """Both tiers in one worker. cache_entries bounds the second."""
+    """Both tiers in one worker. cache_entries and CACHE_BYTES bound the second."""
 
     def __init__(self, path: str, table: bytes, cache_entries: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -47,11 +58,13 @@ class Lengths:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        check_pattern(self.tok)
         self.specials = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.cut = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         t = pa.ipc.open_stream(io.BytesIO(table)).read_all()
         self.first = dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist()))
         self.cache, self.before, self.most = _Counts(self.first), {}, len(self.first) + cache_entries // 2
+        self.bytes = 0
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text, and the number of special strings between them."""
@@ -61,8 +74,8 @@ class Lengths:
         return [p for x in parts for p in PRE.findall(x)], len(parts) - 1
 
     def counts(self, texts: list[str]) -> list[int]:
-        if len(self.cache) > self.most:  # two generations: what is met again comes back from the older one
-            self.before, self.cache = dict(self.cache), _Counts(self.first)
+        if len(self.cache) > self.most or self.bytes > CACHE_BYTES:  # two generations: what is met again comes back from the older one
+            self.before, self.cache, self.bytes = dict(self.cache), _Counts(self.first), 0
         out, late = [], []
         get, missing = self.cache.__getitem__, self.cache.missing
         n_missing = 0
@@ -91,6 +104,7 @@ class Lengths:
         for at in range(0, len(words), 4096):
             part = words[at: at + 4096]
             self.cache.update(zip(part, (len(e.ids) for e in self.encode(part, add_special_tokens=False))))
+            self.bytes += sum(map(len, part))
         for i, ws in late:
             out[i] += sum(map(self.cache.__getitem__, ws))
         late.clear()
@@ -117,7 +131,7 @@ def frequent_table(docs: DataFrame, path: str, size: int, sample_docs: int, text
     tok = Tokenizer.from_file(path)
     specials = {t.content for t in tok.get_added_tokens_decoder().values()}
     words = [w for w in words if not any(s in w for s in specials)]
-    table = pa.table({"w": pa.array(words, pa.string()), "n": pa.array([len(e.ids) for e in tok.encode_batch(words, add_special_tokens=False)], pa.uint16())})
+    table = pa.table({"w": pa.array(words, pa.string()), "n": pa.array([len(e.ids) for e in tok.encode_batch(words, add_special_tokens=False)], pa.int64())})
     out = io.BytesIO()
     with pa.ipc.new_stream(out, table.schema) as w:
         w.write_table(table)
