@@ -132,17 +132,24 @@ def bi_encoder_links(mentions: DataFrame, candidates: DataFrame, label_rows: Dat
     return bi_encoder(mentions, rows, **settings)
 
 
-def shared_links(texts: DataFrame, candidates: DataFrame, text: str = "{label}", threshold: float = 0.5) -> DataFrame:
+def shared_links(texts: DataFrame, candidates: DataFrame, text: str = "{label}", threshold: float = 0.5, multi_label: bool = False, flat: bool = True) -> DataFrame:
     """Links for candidates that all texts share (a null text_idx): one table of labels for all of them. Spans are
-    where a candidate's label or alias stands in the text, and score 1; of one span's the first candidate counts."""
-    from .mentions import gazetteer_mentions
+    where a candidate's label or alias stands in the text, and score 1. A span has one link, to the first candidate
+    of that name, or with multi_label one to each; with flat no two links overlap, the longer one of those that
+    begin first staying."""
+    from .gazetteer import gazetteer_mentions
 
     c = candidates.withColumn("label_text", template(text, candidates.columns))
     names = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
-    forms = keep_first(c.select("cand_ord", "label_text", F.explode(F.transform(names, lambda x: norm(x))).alias("key")), ["key"], "cand_ord")
+    forms = c.select("cand_ord", "label_text", F.explode(F.transform(names, lambda x: norm(x))).alias("key"))
+    forms = keep_first(forms, ["key", "label_text"] if multi_label else ["key"], "cand_ord")
     found = gazetteer_mentions(texts, forms.select("key")).withColumn("key", F.lower("text"))
     got = found.join(forms, "key").withColumn("score", F.lit(1.0)).filter(F.col("score") >= threshold)
-    return got.select("text_idx", (F.col("mention_idx") + 1).alias("link_ord"), "text", F.col("label_text").alias("label"), "start", "end", "score", F.create_map("label_text", "score").alias("class_probs"))
+    probs = F.map_from_entries(F.sort_array(F.collect_set(F.struct("label_text", "score")).over(Window.partitionBy("text_idx", "start", "end"))))
+    order = Window.partitionBy("text_idx").orderBy("start", "end", "cand_ord", "label_text")
+    got = got.withColumn("link_ord", F.row_number().over(order).cast("long")).withColumn("class_probs", probs)
+    got = got.select("text_idx", "link_ord", "text", F.col("label_text").alias("label"), "start", "end", "score", "class_probs")
+    return flat_spans(got) if flat else got
 
 
 def chunks(label_rows: DataFrame, max_labels: int | None = None) -> DataFrame:
@@ -173,13 +180,13 @@ def deduplicate_best(links: DataFrame) -> DataFrame:
 
 
 def flat_spans(links: DataFrame) -> DataFrame:
-    """Greedy links without overlaps, best score first. A text's spans fall into islands that don't touch; the links of
+    """Greedy links without overlaps: best score first, then the first start, then the longest. A text's spans fall into islands that don't touch; the links of
     one island are folded in one native expression."""
     before = Window.partitionBy("text_idx").orderBy("start", "end", "link_ord").rowsBetween(Window.unboundedPreceding, -1)
     so_far = Window.partitionBy("text_idx").orderBy("start", "end", "link_ord").rowsBetween(Window.unboundedPreceding, 0)
     begins = F.coalesce((F.col("start") >= F.max("end").over(before)).cast("int"), F.lit(1))
     rows = links.select("text_idx", "start", "end", "link_ord", "score").withColumn("_b", begins).withColumn("island", F.sum("_b").over(so_far))
-    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "start", "end", "link_ord")))
+    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "start", (-F.col("end")).alias("long"), "end", "link_ord")))
 
     def add(acc: Column, x: Column) -> Column:
         clash = F.exists(acc, lambda y: ~((y["end"] <= x["start"]) | (y["start"] >= x["end"])) & ~((y["start"] == x["start"]) & (y["end"] == x["end"])))
@@ -190,21 +197,24 @@ def flat_spans(links: DataFrame) -> DataFrame:
     return links.join(ids, ["text_idx", "link_ord"], "left_semi").select(links.columns)
 
 
-def rank(links: DataFrame, candidates: DataFrame, weights: list[tuple[str, float]]) -> DataFrame:
+def rank(links: DataFrame, candidates: DataFrame, weights: list[tuple[str, float]], shared: bool = False) -> DataFrame:
     """Scores as weighted averages of features: gliner_score is the link's own score, others numbers of the
     candidate whose bare label (else alias) is the link's label, over a million and at most 1; what is missing
-    counts as 0. No weight at all changes nothing. link_ord follows the new scores."""
+    counts as 0. No weight at all changes nothing. link_ord follows the new scores. `shared`: the candidates (a null
+    text_idx) are every text's."""
     total = sum(w for _, w in weights)
     if not total:
         return links
     for f, _ in weights:
         if f in candidates.columns and not isinstance(candidates.schema[f].dataType, NumericType):
             raise ValueError(f"rank field {f!r} is not a number")
+    key = ["label"] if shared else ["text_idx", "label"]
+    own = [] if shared else [F.col("text_idx")]
     fields = [f for f, _ in weights if f != "gliner_score" and f in candidates.columns]
-    forms = candidates.select("text_idx", F.col("label").alias("label"), F.lit(0).alias("k"), (-F.col("mention_idx")).alias("o1"), (-F.col("cand_ord")).alias("o2"), *[F.col(f).alias(f"_{f}") for f in fields])
-    alias = candidates.select("text_idx", F.explode("aliases").alias("label"), F.lit(1).alias("k"), F.col("mention_idx").alias("o1"), F.col("cand_ord").alias("o2"), *[F.col(f).alias(f"_{f}") for f in fields])
-    forms = keep_first(forms.unionByName(alias), ["text_idx", "label"], "k", "o1", "o2").drop("k", "o1", "o2")
-    got = links.join(forms, ["text_idx", "label"], "left")
+    forms = candidates.select(*own, F.col("label").alias("label"), F.lit(0).alias("k"), (-F.col("mention_idx")).alias("o1"), (-F.col("cand_ord")).alias("o2"), *[F.col(f).alias(f"_{f}") for f in fields])
+    alias = candidates.select(*own, F.explode("aliases").alias("label"), F.lit(1).alias("k"), F.col("mention_idx").alias("o1"), F.col("cand_ord").alias("o2"), *[F.col(f).alias(f"_{f}") for f in fields])
+    forms = keep_first(forms.unionByName(alias), key, "k", "o1", "o2").drop("k", "o1", "o2")
+    got = links.join(forms, key, "left")
     s = F.lit(0.0)
     for f, w in weights:
         if f == "gliner_score":

@@ -110,23 +110,6 @@ def pattern_mentions(texts: DataFrame, pattern: str = r"\p{Lu}\p{L}{3,}", label:
     return texts.select(F.col("text_idx").cast("long"), "text").mapInArrow(run, MENTIONS)
 
 
-def gazetteer_mentions(texts: DataFrame, surfaces: DataFrame, max_words: int = 4, left: int = 50, right: int = 50) -> DataFrame:
-    """Word n-grams of the texts that equal a surface key (lower-cased): an equi-join on the n-gram."""
-    t = tokens(texts)
-    w = Window.partitionBy("text_idx").orderBy("pos")
-    grams = []
-    for n in range(1, max_words + 1):
-        parts = [F.lead("token", i).over(w) if i else F.col("token") for i in range(2 * n - 1)]
-        grams.append(F.struct(F.concat(*parts).alias("gram")))
-    t = t.filter(F.col("start") >= 0).withColumn("g", F.array(*grams)).filter(F.col("token").rlike(r"^[\p{L}\p{N}]"))
-    t = t.select("text_idx", "start", F.explode("g.gram").alias("gram")).filter("gram is not null").withColumn("key", F.lower("gram"))
-    hit = t.join(surfaces.select("key").distinct(), "key", "left_semi")
-    out = hit.join(texts.withColumnRenamed("text", "full_text"), "text_idx")
-    out = out.select("text_idx", F.col("gram").alias("text"), F.lit(None).cast("string").alias("label"), F.col("start").cast("int").alias("start"), (F.col("start") + F.length("gram")).cast("int").alias("end"), "full_text")
-    out = context_columns(out, left, right).drop("full_text")
-    return out.withColumn("mention_idx", (F.row_number().over(Window.partitionBy("text_idx").orderBy("start", "end")) - 1).cast("long")).select(MENTIONS.names)
-
-
 def external_mentions(df: DataFrame) -> DataFrame:
     """Given mentions brought to the common columns: text, start and end must be there."""
     missing = [c for c in ("text_idx", "text", "start", "end") if c not in df.columns]

@@ -15,7 +15,7 @@ FUZZY_ADDED, FUZZY_AUTO, FUZZY_STORE = 0.75, 0.6, 0.3
 
 # The settings of each layer's config and their defaults.
 _CONTEXT = {"max_right_context": 50, "max_left_context": 50, "min_entity_length": 2}
-L1_TOKENS = {"model": "", "device": "cpu", "batch_size": 32, **_CONTEXT, "include_noun_chunks": False, "pattern": None, "max_words": 4}
+L1_TOKENS = {"model": "", "device": "cpu", "batch_size": 32, **_CONTEXT, "include_noun_chunks": False, "pattern": None}
 L1_MODEL = {"model": "", "labels": (), "token": None, "device": "cpu", "threshold": 0.3, "flat_ner": True, "multi_label": False, "batch_size": 16, **_CONTEXT, "use_precomputed_embeddings": False, "max_length": 512}
 L3 = {"model_name": "", "huggingface_token": None, "device": "cpu", "threshold": 0.5, "flat_ner": True, "multi_label": False, "batch_size": 1, "use_precomputed_embeddings": False, "cache_embeddings": False, "max_length": 512}
 L4 = {"model_name": "", "token": None, "device": "cpu", "threshold": 0.5, "flat_ner": True, "multi_label": False, "max_labels": 20, "max_length": 512}

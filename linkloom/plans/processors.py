@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, candidates, links, mentions
+from ..operators import aggregate, candidates, gazetteer, links, mentions
 from ..schema import MENTIONS, template
 from ..session import cut
 from ..sources import kb, stores
@@ -63,7 +63,7 @@ class Extract(Processor):
         if c.get("model") in MODELS:
             got = mentions.extract(texts, self._model(), left, right)
         elif surfaces is not None and not c.get("pattern"):
-            got = mentions.gazetteer_mentions(texts, surfaces, c.get("max_words", 4), left, right)
+            got = gazetteer.gazetteer_mentions(texts, surfaces, left, right)
         else:
             got = mentions.pattern_mentions(texts, c.get("pattern", r"\p{Lu}\p{L}{3,}"), c.get("label"), left, right)
         return self.steps(got)
@@ -122,7 +122,7 @@ class Link(Processor):
         name, low = c.get("model_name"), c.get("threshold", 0.5)
         shape = {"threshold": low, "multi_label": c.get("multi_label", False), "flat": c.get("flat_ner", True)}
         if mentions is None and name not in MODELS:
-            out = links.shared_links(texts, candidates, self.template, low)
+            out = links.shared_links(texts, candidates, self.template, **shape)
         else:
             rows = cut(links.labels(links.per_text(candidates, texts), self.template))
             if mentions is not None and "vector" in mentions.columns and (name in ENCODERS or c.get("use_precomputed_embeddings")):
@@ -135,7 +135,7 @@ class Link(Processor):
                 out = links.lexical(mentions, rows, **shape, max_labels=c.get("max_labels") if self.chunked else None)
         out = self.steps(out)
         ranking = self.schema.get("ranking")
-        return links.rank(out, candidates, [(r["field"], r["weight"]) for r in ranking]) if ranking else out
+        return links.rank(out, candidates, [(r["field"], r["weight"]) for r in ranking], shared=mentions is None) if ranking else out
 
     @property
     def supports_precomputed_embeddings(self) -> bool:

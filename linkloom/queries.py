@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import paths
 from .operators import aggregate as A
 from .operators import candidates as C
+from .operators import gazetteer as G
 from .operators import links as L
 from .operators import mentions as M
 from .plans.builder import ConfigBuilder, Factory
@@ -168,7 +169,22 @@ def mention_sort(t):
 @query(f"WITH {KB}, names AS (SELECT label AS key FROM kb UNION SELECT alias FROM kb) SELECT doc_id AS text_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS BIGINT) AS mention_idx, tok AS text, CAST(s AS INT) AS start_pos FROM off JOIN names ON key = lower(tok)")
 def gazetteer_lookup(t):
     k = cut(corpus_kb(_mentions(t)))
-    return M.gazetteer_mentions(_texts(t), kb.surface_forms(k), 1).select("text_idx", "mention_idx", "text", F.col("start").alias("start_pos"))
+    return G.gazetteer_mentions(_texts(t), kb.surface_forms(k)).select("text_idx", "mention_idx", "text", F.col("start").alias("start_pos"))
+
+
+# Names of 1 to 12 words (signs after the last letters are part of the name) that begin with a letter or digit.
+NAMED = r"""names AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[1:CAST(item_id % 12 + 1 AS INT)], ' ')) AS key FROM benchmark),
+starts AS (SELECT key, regexp_extract(key, '^[\p{L}\p{N}]+') AS first FROM names WHERE regexp_matches(key, '^[\p{L}\p{N}]'))"""
+
+
+@query(rf"""WITH {TOK}, {NAMED}
+SELECT o.doc_id AS text_idx, CAST(s AS INT) AS start_pos, CAST(s + length(key) AS INT) AS end_pos FROM off o JOIN starts ON first = lower(tok) JOIN documents d ON d.doc_id = o.doc_id
+WHERE lower(substr(d.text, s + 1, length(key))) = key AND NOT regexp_full_match(substr(d.text, s + length(key), 2), '[\p{{L}}\p{{N}}]{{2}}')""")
+def gazetteer_names(t):
+    """Names of one to twelve words, some ending in a sign, wherever they stand in the documents."""
+    words = F.slice(F.split("text", " "), 1, (F.col("item_id") % 12 + 1).cast("int"))
+    names = t("benchmark").select(F.lower(F.array_join(words, " ")).alias("key")).filter(F.col("key").rlike(r"^[\p{L}\p{N}]"))
+    return G.gazetteer_mentions(_texts(t), names).select("text_idx", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
 # --- knowledge base ---------------------------------------------------------------------------
@@ -705,3 +721,41 @@ def e2e_simple(t):
     texts, recs = _nations(t)
     out = Factory.create_simple(texts.sparkSession, entities=recs).execute({"texts": texts}).get("l0_result")
     return out.select("text_idx", "mention_text", "entity_id", "stage", F.col("start").alias("start_pos"))
+
+
+def _places(t) -> tuple[DataFrame, DataFrame]:
+    """Sentences about customers, and nations and regions as records whose names lie within each other."""
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    long = F.concat("n_name", F.lit(" of "), "r_name", F.lit(" (no. "), F.col("n_nationkey").cast("string"), F.lit(")"))
+    texts = c.select(F.col("c_custkey").alias("text_idx"), F.concat(F.lit("Sold to "), F.when(F.col("c_custkey") % 2 == 0, long).otherwise(F.col("n_name")), F.lit(", then over "), "r_name", F.lit("!")).alias("text"))
+    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    recs = n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.col("n_name").alias("label"), F.array(long).alias("aliases"), (F.col("n_nationkey") * 50_000).cast("long").alias("popularity"), F.col("n_nationkey").cast("long").alias("load_ord"))
+    recs = recs.unionByName(t("region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("entity_id"), F.col("r_name").alias("label"), F.array().cast("array<string>").alias("aliases"), F.lit(900_000).cast("long").alias("popularity"), (F.col("r_regionkey") + 100).cast("long").alias("load_ord")))
+    return texts, recs
+
+
+PLACES = """p AS (SELECT c_custkey, n_name, r_name, CAST(n_nationkey AS VARCHAR) AS n, CAST(r_regionkey AS VARCHAR) AS r, n_nationkey, 'Sold to ' || CASE WHEN c_custkey % 2 = 0 THEN n_name || ' of ' || r_name || ' (no. ' || n_nationkey || ')' ELSE n_name END AS head
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+found AS (SELECT c_custkey AS text_idx, substr(head, 9) AS text, n_name AS label, CAST(8 AS INT) AS start_pos, 'N' || n AS entity_id, n_nationkey * 50000 AS popularity FROM p
+  UNION ALL SELECT c_custkey, r_name, r_name, CAST(length(head) + 12 AS INT), 'R' || r, 900000 FROM p)"""
+
+
+@query(f"""WITH {PLACES} SELECT * EXCLUDE (popularity, entity_id) FROM found UNION ALL
+SELECT c_custkey, n_name, n_name, CAST(8 AS INT) FROM p WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, r_name, r_name, CAST(length('Sold to ' || n_name || ' of ') AS INT) FROM p WHERE c_custkey % 2 = 0""")
+def shared_links_overlapping(t):
+    """Candidates that all texts share: every name that stands in a text, also within a longer one."""
+    texts, recs = _places(t)
+    got = L.shared_links(texts, C.all_entities(kb._complete(recs)), flat=False)
+    return got.select("text_idx", "text", "label", F.col("start").alias("start_pos"))
+
+
+@query(f"WITH {PLACES} SELECT text_idx, text AS mention_text, entity_id, start_pos, round(0.25 + 0.75 * least(popularity / 1e6, 1.0), 9) AS confidence FROM found")
+def e2e_shared_ranked(t):
+    """Texts alone, with the default that forbids overlaps, and links ranked by score and popularity."""
+    texts, recs = _places(t)
+    b = ConfigBuilder("shared").set_schema_template("{label}").set_ranking([{"field": "gliner_score", "weight": 0.25}, {"field": "popularity", "weight": 0.75}])
+    b.l2.add("dict").l3.configure(threshold=0.5).l0.configure(strict_matching=False)
+    ex = Factory.create_from_dict(b.build(), texts.sparkSession)
+    ex.load_entities(recs)
+    out = ex.execute({"texts": texts}).get("l0_result")
+    return out.select("text_idx", "mention_text", "entity_id", F.col("start").alias("start_pos"), F.round("confidence", 9).alias("confidence"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ENTITY, keep_first
+from ..session import cut
 
 
 def _complete(df: DataFrame, source: str | None = None) -> DataFrame:
@@ -161,7 +162,7 @@ class Layer:
         last = F.lit(self.turns << 44)
         if self.kind != "redis":
             rows = keep_first(answers, ["entity_id"], "q", "ord").drop("q", "ord").withColumn("load_ord", last + F.col("load_ord"))
-            self.records = upsert(self.records, rows, True)
+            self.records = cut(upsert(self.records, rows, True))
             return
         if not self.ttl:
             return
@@ -169,7 +170,7 @@ class Layer:
         rec = F.struct(*[F.col(n) for n in ENTITY.fieldNames() if n in answers.columns])
         rows = answers.groupBy(F.col("q").alias("key")).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("ord", rec.alias("r")))), lambda x: x["r"])).alias("value"))
         rows = rows.select("key", "value", (at + F.make_dt_interval(secs=F.lit(self.ttl))).alias("expires_at"), last.cast("long").alias("load_ord"))
-        self.cached = rows if self.cached is None else self.cached.join(rows, "key", "left_anti").unionByName(rows)
+        self.cached = cut(rows if self.cached is None else self.cached.join(rows, "key", "left_anti").unionByName(rows))
 
     def load(self, new: DataFrame, overwrite: bool = False) -> int:
         """Load records; the count of those stored. A full-text or relational store keeps the fields of its mapping."""
@@ -198,7 +199,7 @@ class Layer:
             return 0
         n = self.records.join(vectors, "entity_id", "left_semi")
         n = key_values(n).count() if self.kind == "redis" else n.count()  # a key-value store holds a record under each key
-        self.records = update_embeddings(self.records, vectors, model_id)
+        self.records = cut(update_embeddings(self.records, vectors, model_id))
         return n
 
 

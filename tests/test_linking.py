@@ -7,18 +7,22 @@ import regex
 from linkloom.functions import similarity as S
 from linkloom.operators import aggregate as A
 from linkloom.operators import candidates as C
+from linkloom.operators import gazetteer as G
 from linkloom.operators import links as L
 from linkloom.operators import mentions as M
 from linkloom.sources import kb, stores
 from linkloom.streaming import linking
 from pyspark.sql import functions as F
 
+# Two entities of one name and rank, an alias that two share, names that end in signs, lie in each other or are long.
 RECORDS = [
-    dict(entity_id="B1", label="KV88", aliases=["k88", "kestrel valve 88", "KRV88"], description="A valve", popularity=1000000, id="x", name="y"),
-    dict(entity_id="B2", label="MOTE2", aliases=["MOTE-2", "spring marker 2"], popularity=800000),
-    dict(entity_id="B3", label="OXLR", aliases=["OrlB-1", "HUX1"], popularity=600000),
-    dict(entity_id="B4", label="Spring Marker", aliases=["spring markstone", "bank marker"], popularity=900000),
-    dict(entity_id="B5", label="Dune Marker", aliases=["dune markstone", "sandhill marker"], popularity=850000),
+    dict(entity_id="town", label="Port Ellory", aliases=["Ellory"], description="harbour on the north coast", popularity=40),
+    dict(entity_id="wine", label="Port Ellory", aliases=["the tawny of the old cellars above the quay"], description="fortified wine", popularity=40),
+    dict(entity_id="lang", label="Q++", aliases=[], popularity=12),
+    dict(entity_id="lib", label="Q++ Toolkit", aliases=["toolkit", "QT++"], description="parts for Q++", popularity=7),
+    dict(entity_id="box", label="tool chest", aliases=["Toolkit"], popularity=7, id="c", name="chest"),
+    dict(entity_id="nil", label="0", aliases=["zero", "nought", "zero"], popularity=0),
+    dict(entity_id="saw", label="Trestle"),
 ]
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 CAND = "text_idx long, mention_idx long, cand_ord int, entity_id string, label string, aliases array<string>, description string, popularity long"
@@ -37,12 +41,15 @@ def found(spark, search, qs):
 
 
 def test_exact(spark, records):
-    assert found(spark, lambda q: C.exact(q, records), ["KV88", "kv88", "k88", "NO_SUCH_NAME"]) == {"KV88": ["B1"], "kv88": ["B1"], "k88": ["B1"], "NO_SUCH_NAME": []}
+    """Of entities of one label that of the last load, of an alias's all in the order of their load."""
+    got = found(spark, lambda q: C.exact(q, records), ["port ELLORY", "ellory", "q++", "Toolkit", "zero", "q+", ""])
+    assert got == {"port ELLORY": ["wine"], "ellory": ["town"], "q++": ["lang"], "Toolkit": ["lib", "box"], "zero": ["nil"], "q+": [], "": []}
 
 
 def test_fuzzy(spark, records):
-    got = found(spark, lambda q: C.fuzzy(q, records, 0.6, 1), ["KV8", "spring", "mote", "dune markr", "orlb", "k88", "hux1", "spring markstone"])
-    assert got == {"KV8": ["B1"], "spring": ["B4"], "mote": ["B2"], "dune markr": ["B5"], "orlb": ["B3"], "k88": ["B1"], "hux1": [], "spring markstone": ["B4"]}
+    """An alias counts only where the label begins as the query does: `tolkit` isn't a name of Q++ Toolkit here."""
+    got = found(spark, lambda q: C.fuzzy(q, records, 0.7, 1), ["port elory", "tolkit", "qt+", "q++ tolkit", "trestles", "naught", "zer"])
+    assert got == {"port elory": ["town", "wine"], "tolkit": ["box"], "qt+": ["lib"], "q++ tolkit": ["lib"], "trestles": ["saw"], "naught": [], "zer": []}
 
 
 def edit_ratio(a, b):
@@ -72,30 +79,85 @@ def test_searches_lose_nothing(spark):
 
 
 def test_candidates(spark, records):
-    texts = spark.createDataFrame([(0, "KV88 parts were sold beside a spring marker."), (1, "")], "text_idx long, text string")
-    m = M.gazetteer_mentions(texts, kb.surface_forms(records))
-    assert [(r["text"], r["start"], r["end"], r["left_context"]) for r in m.orderBy("start").collect()] == [("KV88", 0, 4, ""), ("spring marker", 30, 43, "KV88 parts were sold beside a")]
-    chain = kb.Chain([kb.Layer("d", "dict", search_mode=["exact", "fuzzy"], fuzzy={"min_similarity": 0.6, "prefix_length": 1})])
-    assert chain.load(records) == {"dict": 5} and chain.load(records) == {"dict": 0}
-    c = C.candidates(m, chain, 5, 0)
-    assert [(r["mention_idx"], r["entity_id"]) for r in c.orderBy("mention_idx", "cand_ord").collect()] == [(0, "B1"), (1, "B4")]
+    texts = spark.createDataFrame([(0, "From Port Ellory, a toolkit (Q++ toolkit) for q++ came; Q++x and preport ellory didn't."), (1, ""), (2, None)], "text_idx long, text string")
+    m = G.gazetteer_mentions(texts, kb.surface_forms(records))
+    got = [(r["text"], r["start"]) for r in m.orderBy("start", "end").collect()]
+    assert got == [("Port Ellory", 5), ("Ellory", 10), ("toolkit", 20), ("Q++", 29), ("Q++ toolkit", 29), ("toolkit", 33), ("q++", 46), ("Q++", 56), ("ellory", 73)]
+    chain = kb.Chain([kb.Layer("d", "dict", search_mode=["exact", "fuzzy"], fuzzy={"min_similarity": 0.7, "prefix_length": 1})])
+    assert chain.load(records) == {"dict": 7} and chain.load(records) == {"dict": 0}
+    c = C.candidates(m.filter("mention_idx in (0, 2, 3)"), chain, 5, 0)
+    assert [(r["mention_idx"], r["entity_id"]) for r in c.orderBy("mention_idx", "cand_ord").collect()] == [(0, "wine"), (0, "town"), (2, "lib"), (2, "box"), (3, "lang")]
+
+
+def plain_places(text, names):
+    out = []
+    for n in {n.lower() for n in names if n}:
+        for m in regex.finditer(regex.escape(n), text.lower(), overlapped=True):
+            s, e = m.span()
+            if not (s and text[s].isalnum() and text[s - 1].isalnum()) and not (e < len(text) and text[e - 1].isalnum() and text[e].isalnum()):
+                out.append((s, e))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_names_by_automaton_and_by_joins(spark, most):
+    """Both ways of the gazetteer against every name at every place; names of 1 to 12 words, with signs anywhere."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["ab", "abc", "b", "c++", "+x", "é", "日本", "a-b", "7", "(b", "c."])
+    names = [" ".join(word() for _ in range(rng.randrange(1, 13) if i % 4 == 0 else rng.randrange(1, 3))) for i in range(60)] + ["", "AB"]
+    texts = [" ".join(rng.choice(names) if rng.random() < 0.3 else word() for _ in range(rng.randrange(0, 30))).swapcase() for _ in range(50)] + ["", None, "ab" * 50]
+    df, keys = spark.createDataFrame(list(enumerate(texts)), "text_idx long, text string"), spark.createDataFrame([(n,) for n in names], "key string")
+    got = G.gazetteer_mentions(df, keys, 5, 5, most, most).collect()
+    assert sorted((r["text_idx"], r["start"], r["end"]) for r in got) == [(i, *x) for i, t in enumerate(texts) for x in plain_places(t or "", names)]
+    for r in got:
+        t = texts[r["text_idx"]]
+        assert r["text"] == t[r["start"]: r["end"]] and r["left_context"] == t[max(0, r["start"] - 5): r["start"]].strip() and r["right_context"] == t[r["end"]: r["end"] + 5].strip()
+    assert G.gazetteer_mentions(df, keys.limit(0), most_names=most).count() == 0
+
+
+def test_shared_candidates(spark, records):
+    """Flat and overlapping links, one or several to a span, and their ranking by what the candidates hold."""
+    texts = spark.createDataFrame([(0, "Port Ellory sells a Q++ Toolkit"), (1, "nothing")], "text_idx long, text string")
+    c = C.all_entities(records)
+    links = lambda **kw: [(r["text"], r["label"]) for r in L.shared_links(texts, c, **kw).orderBy("link_ord").collect()]
+    assert links() == [("Port Ellory", "Port Ellory"), ("Q++ Toolkit", "Q++ Toolkit")]
+    assert links(flat=False) == [("Port Ellory", "Port Ellory"), ("Ellory", "Port Ellory"), ("Q++", "Q++"), ("Q++ Toolkit", "Q++ Toolkit"), ("Toolkit", "Q++ Toolkit")]
+    assert links(text="{label}: {description}", multi_label=True) == [("Port Ellory", "Port Ellory: harbour on the north coast"), ("Port Ellory", "Port Ellory: fortified wine"), ("Q++ Toolkit", "Q++ Toolkit: parts for Q++")]
+    assert links(threshold=1.5) == []
+    rich = c.withColumn("popularity", F.col("popularity") * 25_000)
+    got = L.rank(L.shared_links(texts, rich), rich, [("gliner_score", 0.5), ("popularity", 0.5)], shared=True).orderBy("link_ord").collect()
+    assert [(r["label"], round(r["score"], 6)) for r in got] == [("Port Ellory", 1.0), ("Q++ Toolkit", 0.5875)]
 
 
 @pytest.mark.parametrize("kind, ttl, later", [("dict", 0, "up"), ("elasticsearch", 0, "up"), ("redis", 60, "up"), ("redis", 0, "down")])
 def test_answers_serve_the_next_search(spark, records, kind, ttl, later):
     chain = kb.Chain([kb.Layer("up", kind, 2, True, ["exact"], ttl), kb.Layer("down", "dict", 1, False, ["exact"])])
     chain.load(records, ["down"])
-    m = spark.createDataFrame([(0, 0, "k88"), (0, 1, "OXLR"), (0, 2, "nothing")], "text_idx long, mention_idx long, text string")
+    m = spark.createDataFrame([(0, 0, "nought"), (0, 1, "TRESTLE"), (0, 2, "nothing")], "text_idx long, mention_idx long, text string")
     first, again = ([(r["mention_idx"], r["entity_id"], r["label"], r["hit_layer"]) for r in C.candidates(m, chain, 5, 0, cache=True).orderBy("mention_idx").collect()] for _ in range(2))
-    assert first == [(0, "B1", "KV88", "down"), (1, "B3", "OXLR", "down")]
-    assert again == [(0, "B1", "KV88", later), (1, "B3", "OXLR", later)]
+    assert first == [(0, "nil", "0", "down"), (1, "saw", "Trestle", "down")]
+    assert again == [(0, "nil", "0", later), (1, "saw", "Trestle", later)]
+
+
+def test_plans_dont_grow_with_answers(spark, records):
+    """Records are written after each change: the twentieth search plans as much as the second."""
+    m = spark.createDataFrame([(0, 0, "nought"), (0, 1, "trestle")], "text_idx long, mention_idx long, text string")
+    for kind, ttl in (("dict", 0), ("redis", 60)):
+        chain = kb.Chain([kb.Layer("up", kind, 2, True, ["exact"], ttl), kb.Layer("down", "dict", 1, False, ["exact"])])
+        chain.load(records, ["down"])
+        sizes = []
+        for _ in range(6):
+            C.candidates(m, chain, 5, 0, cache=True)
+            up = chain.get_layer("up")
+            sizes.append(len((up.records if kind == "dict" else up.cached)._jdf.queryExecution().logical().toString()))
+        assert sizes[-1] == sizes[1]
 
 
 def test_stores_keep_the_mapped_fields(spark, records):
     x = kb.Layer("rel", "postgres", field_mapping={"entity_id": "id", "label": "name"})
     x.load(records)
-    r = x.records.filter("entity_id = 'B1'").first()
-    assert (r["label"], r["aliases"], r["description"], r["popularity"], r["source"]) == ("KV88", [], "", 0, "postgres")
+    r = x.records.filter("entity_id = 'wine'").first()
+    assert (r["label"], r["aliases"], r["description"], r["popularity"], r["source"]) == ("Port Ellory", [], "", 0, "postgres")
 
 
 def test_store_that_cant_be_reached(spark):
@@ -108,12 +170,12 @@ def test_vectors_and_layers(spark, records):
     chain = kb.Chain([kb.Layer("d", "dict"), kb.Layer("bare", "postgres", records=records.drop("description"))])
     chain.load(records, ["dict"])
     encode = lambda c: F.array(F.length(c).cast("float"))
-    assert chain.precompute(encode, "{label}: {description}", "m") == {"dict": 5, "postgres": 0}
-    assert chain.get_layer("dict").records.filter("entity_id = 'B1'").first()["embedding"] == [13.0] and chain.get_layer("none") is None
-    m = spark.createDataFrame([(0, "KV88", 0, 4, [1.0]), (1, "OXLR", 0, 4, [-1.0])], "text_idx long, text string, start int, end int, vector array<float>")
-    cand = chain.get_layer("dict").records.filter("entity_id in ('B1', 'B3')").withColumn("text_idx", F.when(F.col("entity_id") == "B1", 0).otherwise(1).cast("long")).withColumn("mention_idx", F.lit(0)).withColumn("cand_ord", F.lit(1))
-    got = L.bi_encoder_links(m, cand, L.labels(cand, "{label}: {description}"), "m", None, threshold=0.5)
-    assert [(r["text"], r["label"]) for r in got.collect()] == [("KV88", "KV88: A valve")]
+    assert chain.precompute(encode, "{label} ({description})", "m") == {"dict": 7, "postgres": 0}
+    assert chain.get_layer("dict").records.filter("entity_id = 'wine'").first()["embedding"] == [28.0] and chain.get_layer("none") is None
+    m = spark.createDataFrame([(0, "port", 0, 4, [1.0]), (1, "stand", 0, 5, [-1.0])], "text_idx long, text string, start int, end int, vector array<float>")
+    cand = chain.get_layer("dict").records.filter("entity_id in ('wine', 'saw')").withColumn("text_idx", F.when(F.col("entity_id") == "wine", 0).otherwise(1).cast("long")).withColumn("mention_idx", F.lit(0)).withColumn("cand_ord", F.lit(1))
+    got = L.bi_encoder_links(m, cand, L.labels(cand, "{label} ({description})"), "m", None, threshold=0.5)
+    assert [(r["text"], r["label"]) for r in got.collect()] == [("port", "Port Ellory (fortified wine)")]
     assert L.bi_encoder_links(m, cand, L.labels(cand), "other", None).count() == 0
     assert L.bi_encoder_links(m, cand, L.labels(cand), "other", encode, threshold=0.9).count() == 1
 
@@ -149,10 +211,10 @@ def link_rows(spark, rows):
 
 
 def test_link_steps(spark):
-    x = link_rows(spark, [("KV88", "a", 0, 4, 0.5, None), ("KV88", "b", 0, 4, 0.9, None), ("OXLR", "c", 3, 7, 0.8, None)])
-    assert [r["score"] for r in L.deduplicate_links(x).orderBy("link_ord").collect()] == [0.5, 0.8]
-    assert [r["score"] for r in L.deduplicate_best(x).orderBy("link_ord").collect()] == [0.9, 0.8]
-    assert [r["label"] for r in L.flat_spans(x).orderBy("link_ord").collect()] == ["a", "b"]
+    x = link_rows(spark, [("tide", "low", 2, 6, 0.25, None), ("tide pool", "rock", 2, 11, 0.75, None), ("tide", "high", 2, 6, 0.375, None), ("pool", "bath", 7, 11, 0.75, None), ("ebb", "low", 20, 23, 0.125, None)])
+    assert [(r["label"], r["score"]) for r in L.deduplicate_links(x).orderBy("link_ord").collect()] == [("low", 0.25), ("rock", 0.75), ("bath", 0.75), ("low", 0.125)]
+    assert [(r["label"], r["score"]) for r in L.deduplicate_best(x).orderBy("link_ord").collect()] == [("high", 0.375), ("rock", 0.75), ("bath", 0.75), ("low", 0.125)]
+    assert [r["label"] for r in L.flat_spans(x).orderBy("link_ord").collect()] == ["rock", "low"]
 
 
 def test_flat_spans_are_greedy(spark):
@@ -165,7 +227,7 @@ def test_flat_spans_are_greedy(spark):
     want = []
     for t in range(30):
         kept = []
-        for r in sorted((r for r in rows if r[0] == t), key=lambda r: (-r[6], r[4], r[5], r[1])):
+        for r in sorted((r for r in rows if r[0] == t), key=lambda r: (-r[6], r[4], -r[5], r[1])):
             if all(r[5] <= q[4] or r[4] >= q[5] or (r[4], r[5]) == (q[4], q[5]) for q in kept):
                 kept.append(r)
         want += [(t, r[1]) for r in kept]
@@ -173,7 +235,7 @@ def test_flat_spans_are_greedy(spark):
 
 
 def test_streams(spark, tmp_path):
-    texts = spark.createDataFrame([(0, "KV88 again"), (1, "nothing"), (2, "an OXLR and a KV88")], "text_idx long, text string")
+    texts = spark.createDataFrame([(0, "zero again"), (1, "nothing"), (2, "a Trestle and a nought")], "text_idx long, text string")
     texts.repartition(2).write.parquet(f"{tmp_path}/texts")
     records = kb.read_records(spark, RECORDS)
     stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/texts")
@@ -182,27 +244,29 @@ def test_streams(spark, tmp_path):
     ids = linking.exact_stream(stream.select(F.lower("text").alias("q")), kb.label_index(records))
     assert ids.isStreaming and "entity_id" in ids.columns
     linking.link_stream(stream, link, sink, f"{tmp_path}/checkpoint").awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, "B1"), (2, "B1"), (2, "B3")]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, "nil"), (2, "nil"), (2, "saw")]
 
 
 def test_rank(spark):
-    c = spark.createDataFrame([(0, 0, 1, "1", "KV88", [], "", 1000000), (0, 0, 2, "2", "MOTE2", [], "", 100)], CAND)
-    got = L.rank(link_rows(spark, [("KV88", "KV88", 0, 4, 0.5, None), ("MOTE2", "MOTE2", 8, 13, 0.9, None)]), c, [("gliner_score", 0.7), ("popularity", 0.3)]).orderBy("link_ord").collect()
-    assert [(r["label"], round(r["score"], 5)) for r in got] == [("KV88", 0.65), ("MOTE2", 0.63003)]
+    """The last candidate of a label counts, an alias where no label is it, half a million at most with this weight."""
+    c = spark.createDataFrame([(0, 0, 1, "a", "quay", ["pier"], "", 250000), (0, 1, 1, "b", "quay", ["mole"], "", 500000), (0, 1, 2, "c", "pier", [], "", 3000000), (1, 0, 1, "d", "mole", [], "", 9)], CAND)
+    got = L.rank(link_rows(spark, [("q", "quay", 0, 1, 0.25, None), ("m", "mole", 2, 3, 0.0, None), ("p", "pier", 4, 5, 0.5, None), ("x", "none", 6, 7, 1.0, None)]), c, [("gliner_score", 1.0), ("popularity", 3.0)])
+    assert [(r["label"], r["score"]) for r in got.orderBy("link_ord").collect()] == [("pier", 0.875), ("quay", 0.4375), ("mole", 0.375), ("none", 0.25)]
+    assert L.rank(got, c, []) is got
 
 
 @pytest.mark.parametrize("links, tolerance, strict, stages", [
-    ([("KV88", "KV88: A valve", 0, 4, 0.9, None)], 2, True, ["l3_linked"]),
-    ([("KV88", "KV88: A valve", 1, 5, 0.9, None)], 2, True, ["l3_linked"]),
-    ([("KV88", "KV88: A valve", 5, 9, 0.9, None)], 1, True, ["l2_found"]),
-    ([("KV88", "KV88: A valve", 0, 4, 0.9, None), ("Q", "none", 20, 25, 0.8, None)], 2, False, ["l3_linked", "l3_only"]),
+    ([("dock", "quay (stone)", 10, 14, 0.625, None)], 0, True, ["l3_linked"]),
+    ([("dock", "quay (stone)", 13, 17, 0.625, None)], 3, True, ["l3_linked"]),
+    ([("dock", "quay (stone)", 14, 18, 0.625, None)], 3, True, ["l2_found"]),
+    ([("dock", "quay (stone)", 9, 13, 0.625, None), ("far", "else", 40, 43, 0.5, None), ("off", "else", 60, 63, 0.25, None)], 1, False, ["l3_linked", "l3_only", "l3_only"]),
 ])
 def test_aggregate(spark, links, tolerance, strict, stages):
-    m = spark.createDataFrame([(0, 0, "KV88", None, 0, 4, "", "")], MENTION)
-    c = spark.createDataFrame([(0, 0, 1, "1", "KV88", [], "A valve", 5)], CAND)
-    rows = A.aggregate(m, c, link_rows(spark, links), "{label}: {description}", tolerance, strict).orderBy("mention_idx").collect()
+    m = spark.createDataFrame([(0, 0, "dock", None, 10, 14, "", "")], MENTION)
+    c = spark.createDataFrame([(0, 0, 1, "w", "quay", ["dock"], "stone", 2)], CAND)
+    rows = A.aggregate(m, c, link_rows(spark, links), "{label} ({description})", tolerance, strict).orderBy("mention_idx").collect()
     assert [r["stage"] for r in rows] == stages
-    assert rows[0]["entity_id"] == ("1" if stages[0] == "l3_linked" else None)
+    assert rows[0]["entity_id"] == ("w" if stages[0] == "l3_linked" else None)
     assert all(r["entity_id"] == "unknown" for r in rows[1:])
 
 
