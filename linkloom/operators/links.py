@@ -26,7 +26,8 @@ def labels(candidates: DataFrame, text: str = "{label}") -> DataFrame:
     c = candidates.withColumn("label_text", template(text, candidates.columns))
     first = keep_first(c, ["text_idx", F.lower("label_text")], "mention_idx", "cand_ord")
     order = Window.partitionBy("text_idx").orderBy("mention_idx", "cand_ord")
-    return first.withColumn("label_ord", F.row_number().over(order)).select("text_idx", "label_text", "entity_id", "label", "aliases", "popularity", "embedding", "embedding_model_id", "label_ord")
+    about = F.col("description") if "description" in candidates.columns else F.lit(None).cast("string")
+    return first.withColumn("label_ord", F.row_number().over(order)).select("text_idx", "label_text", "entity_id", "label", "aliases", about.alias("description"), "popularity", "embedding", "embedding_model_id", "label_ord")
 
 
 def per_text(candidates: DataFrame, texts: DataFrame) -> DataFrame:

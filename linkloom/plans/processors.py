@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, candidates, gazetteer, links, mentions
+from ..operators import aggregate, candidates, gazetteer, links, mentions, scorer
 from ..schema import MENTIONS, template
 from ..session import cut
 from ..sources import kb, stores
@@ -18,6 +18,8 @@ from .registry import Steps, register
 MODELS: dict[str, Any] = {}
 #: Encoders of labels (a column of texts to a column of vectors) by model name.
 ENCODERS: dict[str, Any] = {}
+#: Weights of context scorers (operators.scorer.train) by model name.
+SCORERS: dict[str, Any] = {}
 
 
 def _steps(config: dict, methods: dict, default: list) -> Steps:
@@ -107,8 +109,8 @@ def _layer(x: dict, spark: SparkSession) -> kb.Layer:
 
 class Link(Processor):
     """L3, or L4 where labels come in chunks. A registered model scores texts and labels; mentions with a `vector` and
-    a registered encoder (or candidates with vectors of model_name) are scored by a bi-encoder; else edit similarity
-    with labels and aliases is the score. Candidates that all texts share are found in the texts by their names."""
+    a registered encoder (or candidates with vectors of model_name) are scored by a bi-encoder, those of a pipeline
+    whose model_name has trained weights by their context; else edit similarity with labels and aliases is the score. Candidates that all texts share are found in the texts by their names."""
 
     chunked = False
 
@@ -128,6 +130,8 @@ class Link(Processor):
             if mentions is not None and "vector" in mentions.columns and (name in ENCODERS or c.get("use_precomputed_embeddings")):
                 out = links.bi_encoder_links(mentions, candidates, rows, name, ENCODERS.get(name), c.get("use_precomputed_embeddings", False), **shape)
                 self._cache(candidates)
+            elif mentions is not None and name in SCORERS:
+                out = scorer.context_links(mentions, rows, SCORERS[name], **shape, max_labels=c.get("max_labels") if self.chunked else None)
             elif name in MODELS:
                 given = links.spans(mentions) if mentions is not None and c.get("use_spans", True) else None
                 out = links.model(texts, rows, MODELS[name], low, given, c.get("max_labels") if self.chunked else None)

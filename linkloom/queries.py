@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from .operators import candidates as C
 from .operators import gazetteer as G
 from .operators import links as L
 from .operators import mentions as M
+from .operators import scorer
 from .plans.builder import ConfigBuilder, Factory
-from .schema import template
+from .schema import template, top_k
 from .session import cut, prepare, shared_folder
 from .sources import kb, stores
 
@@ -529,6 +532,53 @@ def l3_precomputed(t):
     return got.select(F.col("start").cast("long").alias("vec_id"), "label", F.round("score", 6).alias("score"))
 
 
+# Names that texts of several languages mention: an entity for each language, described by that language's most
+# frequent words. Weights are by a rule, so SQL can say the scorer's forward pass.
+SENSES = MEN + r""",
+vocab AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM (SELECT lang, lower(tok) AS word, count(*) AS n FROM tok JOIN documents USING (doc_id) WHERE regexp_matches(tok, '^\p{L}') GROUP BY ALL)),
+named AS (SELECT DISTINCT lower(m.text) AS key, lang FROM m JOIN documents d ON d.doc_id = m.text_idx),
+senses AS (SELECT key, lang, row_number() OVER (PARTITION BY key ORDER BY lang) AS ord, count(*) OVER (PARTITION BY key) AS n FROM named),
+pairs AS (SELECT m.text_idx, m.mention_idx, s.lang, s.ord, lower(trim(substr(d.text, greatest(b - 50, 0) + 1, least(b, 50)), E' \n\t\r') || ' ' || trim(substr(d.text, e + 1, 50), E' \n\t\r')) AS around
+  FROM m JOIN documents d ON d.doc_id = m.text_idx JOIN senses s ON s.key = lower(m.text) AND s.n > 1),
+crc_table AS (SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+men AS (SELECT DISTINCT text_idx, mention_idx, around FROM pairs),
+near AS (SELECT DISTINCT text_idx, mention_idx, unnest(regexp_extract_all(around, '([\p{L}\p{N}]+)')) AS word FROM men),
+every AS (SELECT DISTINCT word FROM near UNION SELECT word FROM vocab WHERE k <= 8),
+crc AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: CAST(strpos('0123456789ABCDEF', left(x, 1)) * 16 + strpos('0123456789ABCDEF', right(x, 1)) - 17 AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM every, crc_table),
+about AS (SELECT lang, h FROM vocab JOIN crc USING (word) WHERE k <= 8),
+around AS (SELECT text_idx, mention_idx, h FROM near JOIN crc USING (word)),
+w AS (SELECT text_idx, mention_idx, lang, sum(weight(16 + (a.h * 31 + b.h * 17) % 65520)) / sqrt(count(*)) AS z, count_if(a.h = b.h) AS met FROM pairs JOIN around a USING (text_idx, mention_idx) JOIN about b USING (lang) GROUP BY ALL),
+zs AS (SELECT p.text_idx, p.mention_idx, p.lang, ord, coalesce(z, 0) + weight(0) + weight(1) + CASE WHEN met > 0 THEN weight(2) ELSE 0 END + weight(3 + 10 * coalesce(met, 0) // 8) AS z FROM pairs p LEFT JOIN w USING (text_idx, mention_idx, lang)),
+best AS (SELECT text_idx, mention_idx, count(*) AS n_labels, arg_max(lang, z - ord * 1e-9) AS lang, max(1 / (1 + exp(-z))) AS score FROM zs GROUP BY text_idx, mention_idx)"""
+SENSES = re.sub(r"weight\(((?:[^()]|\([^()]*\))*)\)", r"((((\1) * 7919) % 2001 - 1000) / 4000.0)", SENSES)
+RULE = ((np.arange(scorer.BUCKETS) * 7919) % 2001 - 1000) / 4000.0
+
+
+def sense_pairs(t, words: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Mentions of names that several languages have, each as a text of its own, and the languages as candidates."""
+    m, docs = cut(_mentions(t)), t("documents").select(F.col("doc_id").alias("text_idx"), "lang")
+    tokens = M.tokens(_texts(t)).filter(F.col("token").rlike(r"^\p{L}")).join(docs, "text_idx").groupBy("lang", F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+    top = top_k(tokens, ["lang"], words, F.col("n").desc(), "word").groupBy("lang").agg(F.concat_ws(" ", F.collect_list("word")).alias("description"))
+    key = m.withColumn("key", F.lower("text"))
+    named = key.join(docs, "text_idx").select("key", "lang").distinct()
+    langs = named.groupBy("key").agg(F.array_sort(F.collect_set("lang")).alias("langs")).filter(F.size("langs") > 1)
+    key = key.join(langs, "key").withColumn("text_idx", F.col("text_idx") * 1_000_000 + F.col("mention_idx"))
+    c = key.select("text_idx", "mention_idx", "key", F.posexplode("langs").alias("cand_ord", "lang")).join(top, "lang")
+    c = c.select("text_idx", "mention_idx", "cand_ord", F.concat_ws("|", "key", "lang").alias("entity_id"), F.col("key").alias("label"), F.array().cast("array<string>").alias("aliases"), "description", F.col("lang").alias("entity_type"),
+                 F.lit(0).cast("long").alias("popularity"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("embedding_model_id"))
+    return key.drop("key", "langs"), c
+
+
+@query(f"WITH {SENSES} SELECT text_idx, mention_idx, lang, n_labels, round(score, 6) AS score FROM best")
+def context_score(t):
+    """The forward pass of the context scorer: which language's sense of a name its surroundings suit best."""
+    m, c = sense_pairs(t)
+    got = scorer.context_links(m, L.labels(c, "{entity_type}"), RULE, threshold=0.0, flat=False)
+    at = F.col("text_idx")
+    return got.select(F.floor(at / 1_000_000).alias("text_idx"), (at % 1_000_000).alias("mention_idx"), F.col("label").alias("lang"), F.size("class_probs").cast("long").alias("n_labels"), F.round("score", 6).alias("score"))
+
+
 # --- L0 ---------------------------------------------------------------------------------------
 
 @query(f"WITH {AGG} SELECT text_idx, mention_idx, text AS mention_text, num_candidates, is_linked, entity_id, confidence, lb AS linked_start, le AS linked_end, stage FROM staged")
