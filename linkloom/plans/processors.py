@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, candidates, gazetteer, links, mentions, scorer
+from ..operators import aggregate, candidates, gazetteer, links, mentions, scorer, tagger
 from ..schema import MENTIONS, template
 from ..session import cut
 from ..sources import kb, stores
@@ -18,6 +18,8 @@ from .registry import Steps, register
 MODELS: dict[str, Any] = {}
 #: Encoders of labels (a column of texts to a column of vectors) by model name.
 ENCODERS: dict[str, Any] = {}
+#: Trained taggers (operators.tagger.train) by model name.
+TAGGERS: dict[str, Any] = {}
 #: Weights of context scorers (operators.scorer.train) by model name.
 SCORERS: dict[str, Any] = {}
 
@@ -39,7 +41,7 @@ class Processor:
 
 
 class Extract(Processor):
-    """L1: a registered model, a pattern, or the surface forms of the pipeline's knowledge base."""
+    """L1: a registered model, a trained tagger, a pattern, or the surface forms of the pipeline's knowledge base."""
 
     def __init__(self, config, spark):
         super().__init__(config, spark)
@@ -64,6 +66,8 @@ class Extract(Processor):
             surfaces = kb.surface_forms(self.chain.all_entities())
         if c.get("model") in MODELS:
             got = mentions.extract(texts, self._model(), left, right)
+        elif c.get("model") in TAGGERS:
+            got = tagger.tag(texts, TAGGERS[c["model"]], c.get("labels"), left, right)
         elif surfaces is not None and not c.get("pattern"):
             got = gazetteer.gazetteer_mentions(texts, surfaces, left, right)
         else:
