@@ -247,11 +247,12 @@ def candidates(mentions: DataFrame, chain: kb.Chain, max_candidates: int = 30, m
     if cache and any(x.write and any(y.priority < x.priority for y in layers) for x in layers):
         hits = cut(hits)
         write_back(queries, hits, chain)
-    m = mentions.select("text_idx", "mention_idx", norm(F.col("text")).alias("q"))
-    out = m.join(hits, "q").join(records.drop("load_ord"), ["entity_id", "layer_rank"]).drop("q", "layer_rank")
+    # Candidates depend on a mention's text only: the steps go over distinct texts, in the place of mentions.
+    out = hits.join(records.drop("load_ord"), ["entity_id", "layer_rank"]).drop("layer_rank").withColumn("text_idx", F.lit(0).cast("long")).withColumnRenamed("q", "mention_idx")
     for name, kw in steps or [("filter_by_popularity", {"min_popularity": min_popularity}), ("deduplicate_candidates", {}), ("limit_candidates", {"limit": max_candidates}), ("sort_by_popularity", {})]:
         out = METHODS[name](out, **kw)
-    return out
+    out = out.drop("text_idx").withColumnRenamed("mention_idx", "q")
+    return mentions.select("text_idx", "mention_idx", norm(F.col("text")).alias("q")).join(out, "q").drop("q")
 
 
 def flat_mentions(spark: SparkSession, texts: list[str], structure: list[list[str]] | None = None) -> DataFrame:
