@@ -116,16 +116,18 @@ def postings(records: DataFrame) -> DataFrame:
 
 def full_text(queries: DataFrame, records: DataFrame, max_distance: int = 0, prefix_length: int = 1, max_expansions: int = 50, limit: int = LIMIT) -> DataFrame:
     """BM25 over three fields, the best field's sum counting (label twice, aliases one and a half times). With
-    max_distance, a term also stands for index terms that share its prefix within that edit distance, the nearest
-    max_expansions of them."""
+    max_distance, a term also stands for index terms that share its prefix within that many edits or swaps of
+    neighbours, the nearest max_expansions of them."""
     post = postings(records)
     n = post.select("entity_id", "field", "length").distinct().groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     df = post.groupBy("field", "term").agg(F.count("*").alias("df"))
     want = queries.select("q", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("term"))
     if max_distance:
-        vocab = df.select(F.col("term").alias("v")).distinct().withColumn("p", F.substring("v", 1, prefix_length))
-        near = want.select("term").distinct().withColumn("p", F.substring("term", 1, prefix_length)).join(vocab, "p") \
-            .withColumn("d", F.levenshtein("term", "v", max_distance)).filter("d >= 0")
+        # Symmetric deletion: terms of the index and of queries meet where both have lost up to so many characters.
+        p, gone = F.substring("term", 1, prefix_length), F.explode(S.deletions(F.col("term"), max_distance, prefix_length)).alias("gone")
+        vocab = df.select("term").distinct().select(F.col("term").alias("v"), p.alias("p"), gone)
+        near = want.select("term").distinct().select("term", p.alias("p"), gone).join(vocab, ["p", "gone"]).select("term", "v").distinct()
+        near = near.withColumn("d", S.edit_distance(F.col("term"), F.col("v"), max_distance)).filter(F.col("d") <= max_distance)
         near = top_k(near, ["term"], max_expansions, "d", "v").select("term", "v")
         want = want.join(near, "term").select("q", F.col("v").alias("term")).distinct()
     hit = want.join(post, "term").join(F.broadcast(n), "field").join(df, ["field", "term"])

@@ -143,10 +143,30 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return ~((a_end <= b_start) | (a_start >= b_end))
 
 
+#: Characters of a bin in which spans of a text meet.
+BIN = 64
+
+
+def free_of(extra: DataFrame, mentions: DataFrame, width: int = BIN) -> DataFrame:
+    """Rows of `extra` that overlap no mention of their text. Spans meet in bins of `width` characters; a bin keeps, of
+    the mentions that begin before it, only the end that reaches furthest, and of those that begin in it their
+    places: so a bin has as many pairs as spans begin in it, and a long mention one row a bin. An empty span
+    overlaps those that hold its place within them, as the rule of intervals has it."""
+    at = lambda c: F.floor(F.col(c) / width).cast("long")
+    last = F.greatest(at("start"), F.floor((F.col("end") - 1) / width).cast("long"))
+    m = mentions.select("text_idx", "start", "end").distinct().select("text_idx", "start", "end", F.explode(F.sequence(at("start"), last)).alias("bin"))
+    inside = m.filter(F.col("bin") == at("start")).select("text_idx", "bin", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    reach = m.filter(F.col("bin") > at("start")).groupBy("text_idx", "bin").agg(F.max("end").alias("_reach"))
+    x = extra.select("text_idx", "start", "end").distinct().select("text_idx", "start", "end", F.explode(F.sequence(at("start"), last)).alias("bin"))
+    hit = x.join(inside, ["text_idx", "bin"]).filter(overlaps(F.col("start"), F.col("end"), F.col("_s"), F.col("_e")))
+    late = x.join(reach, ["text_idx", "bin"]).filter((F.col("start") < F.col("_reach")) & ((F.col("end") > F.col("bin") * width) | (F.col("start") >= F.col("bin") * width)))
+    taken = hit.select("text_idx", "start", "end").unionByName(late.select("text_idx", "start", "end")).distinct()
+    return extra.join(taken, ["text_idx", "start", "end"], "left_anti").select(extra.columns)
+
+
 def add_non_overlapping(mentions: DataFrame, extra: DataFrame, min_length: int = 2, label: str = "NOUN_CHUNK") -> DataFrame:
     """Mentions of `extra` (noun chunks) of enough length that overlap none of the mentions, added after them."""
-    m, x = mentions.alias("m"), filter_by_length(extra, min_length).alias("x")
-    free = x.join(m, (F.col("m.text_idx") == F.col("x.text_idx")) & overlaps(F.col("x.start"), F.col("x.end"), F.col("m.start"), F.col("m.end")), "left_anti")
+    free = free_of(filter_by_length(extra, min_length), mentions)
     after = mentions.groupBy("text_idx").agg((F.max("mention_idx") + 1).alias("shift"))
     free = free.join(after, "text_idx", "left").withColumn("mention_idx", F.col("mention_idx") + F.coalesce("shift", F.lit(0))).withColumn("label", F.lit(label)).drop("shift")
     return mentions.unionByName(free.select(mentions.columns))

@@ -344,11 +344,42 @@ def bm25_lookup(t):
     return C.full_text(t("part").select(F.lower("p_name").alias("q")).distinct(), names_kb(t))
 
 
-@query("WITH " + BM.format(q="voc AS (SELECT DISTINCT unnest(regexp_extract_all(lower(label), '([\\p{L}\\p{N}]+)')) AS v FROM nm), w0 AS (SELECT DISTINCT q, unnest(regexp_extract_all(q, '([\\p{L}\\p{N}]+)')) AS term FROM (SELECT DISTINCT lower(substr(p_name, 1, 1) || substr(p_name, 3)) AS q FROM part)), near AS (SELECT term, v, row_number() OVER (PARTITION BY term ORDER BY levenshtein(term, v), v) AS k FROM (SELECT DISTINCT term FROM w0) JOIN voc ON substr(term, 1, 1) = substr(v, 1, 1) AND levenshtein(term, v) <= 2), want AS (SELECT DISTINCT q, v AS term FROM w0 JOIN near USING (term) WHERE k <= 50)"))
+#: Query terms as index terms within {1} edits or swaps; {0} are the queries.
+NEAR = "voc AS (SELECT DISTINCT unnest(regexp_extract_all(lower(label), '([\\p{L}\\p{N}]+)')) AS v FROM nm), w0 AS (SELECT DISTINCT q, unnest(regexp_extract_all(q, '([\\p{L}\\p{N}]+)')) AS term FROM (SELECT DISTINCT {0} AS q FROM part)), near AS (SELECT term, v, row_number() OVER (PARTITION BY term ORDER BY damerau_levenshtein(term, v), v) AS k FROM (SELECT DISTINCT term FROM w0) JOIN voc ON substr(term, 1, 1) = substr(v, 1, 1) AND damerau_levenshtein(term, v) <= {1}), want AS (SELECT DISTINCT q, v AS term FROM w0 JOIN near USING (term) WHERE k <= 50)"
+
+
+def near_sql(q: str, most: int) -> str:
+    return "WITH " + BM.format(q=NEAR.replace("{0}", q).replace("{1}", str(most)))
+
+
+@query(near_sql("lower(substr(p_name, 1, 1) || substr(p_name, 3))", 2))
 def fuzzy_term_lookup(t):
     return C.full_text(_broken(t), names_kb(t), 2, 1)
 
 
+@query(near_sql("lower(substr(p_name, 1, 1) || substr(p_name, 3, 1) || substr(p_name, 2, 1) || substr(p_name, 4))", 1))
+def fuzzy_term_swapped(t):
+    """Part names whose second and third characters have changed places: one edit, where swaps are edits."""
+    n = F.col("p_name")
+    swapped = F.concat(F.substring(n, 1, 1), F.substring(n, 3, 1), F.substring(n, 2, 1), n.substr(F.lit(4), F.length(n)))
+    return C.full_text(t("part").select(F.lower(swapped).alias("q")).distinct(), names_kb(t), 1, 1)
+
+
+FIELDS_SQL = r"""WITH f AS (SELECT CAST(p_partkey AS VARCHAR) AS entity_id, unnest(['label', 'aliases', 'description']) AS field, unnest([2.0, 1.5, 1.0]) AS boost, unnest([lower(p_name), lower(p_name || ' ' || p_brand), lower(p_type)]) AS v FROM part),
+w AS (SELECT entity_id, field, boost, regexp_extract_all(v, '([\p{L}\p{N}]+)') AS w FROM f),
+post AS (SELECT entity_id, field, boost, term, count(*) AS tf, any_value(n) AS n FROM (SELECT entity_id, field, boost, unnest(w) AS term, len(w) AS n FROM w) GROUP BY entity_id, field, boost, term),
+st AS (SELECT field, count(*) AS total, avg(n) AS mean FROM (SELECT DISTINCT entity_id, field, n FROM post) GROUP BY field), df AS (SELECT field, term, count(*) AS df FROM post GROUP BY field, term),
+want AS (SELECT DISTINCT q, unnest(regexp_extract_all(q, '([\p{L}\p{N}]+)')) AS term FROM (SELECT DISTINCT lower(p_type || ' ' || p_brand) AS q FROM part)),
+sc AS (SELECT q, entity_id, round(max(s), 6) AS s FROM (SELECT q, entity_id, field, sum(boost * ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS s FROM want JOIN post USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY q, entity_id, field) GROUP BY q, entity_id)
+SELECT q, entity_id, CAST(o AS INT) AS ord FROM (SELECT q, entity_id, row_number() OVER (PARTITION BY q ORDER BY s DESC, entity_id) AS o FROM sc) WHERE o <= 50"""
+
+
+@query(FIELDS_SQL)
+def bm25_fields(t):
+    """Labels, aliases and descriptions all hold terms; the best field counts."""
+    return C.full_text(t("part").select(F.lower(F.concat_ws(" ", "p_type", "p_brand")).alias("q")).distinct(), part_kb(t))
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS q, CAST(event_id AS VARCHAR) AS entity_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INT) AS ord FROM events WHERE ts + INTERVAL 3 DAY > TIMESTAMP '2024-01-10 00:00:00'")
 def kv_cache_ttl(t):
     e = t("events")
