@@ -128,6 +128,21 @@ def margins(texts: list[bytes], model: dict, cache: dict, most: int = 400_000) -
     return np.array([sum(map(get, ws)) / max(1.0, (EVEN * len(ws)) ** 0.5) for ws in split]) + model["bias"]
 
 
+def _smallest(ids: DataFrame, most: int) -> list[tuple[int, int]]:
+    """(i, y) of the `most` smallest hashes h of each y. Hashes are even, so a bound leaves about as many rows: what
+    tasks send is that, however many tasks there are; should the bound leave too few, all are asked."""
+    out = []
+    for y, n in sorted((r["y"], r["count"]) for r in ids.groupBy("y").count().collect()):
+        part, share = ids.filter(F.col("y") == y), (most + 10 * most ** 0.5 + 50) / n
+        near = part.filter(F.col("h") <= int(share * 2.0 ** 64) - (1 << 63)) if share < 0.5 else part
+        for rows in (near, part):
+            got = rows.orderBy("h", "i").limit(most).collect()
+            if len(got) == min(most, n):
+                break
+        out += [(r["i"], r["y"]) for r in got]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 3000, id_col: str = "doc_id", text: str = "text") -> dict:
     """Train on a bounded sample of labelled rows: at most `most` documents of each class, those whose ids have
     the smallest hashes, one text of each id. A document labelled more than once is toxic if any label says so; null labels and
@@ -135,8 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
     spark = docs.sparkSession
     small_batches(spark)
     ids = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
-    picked = [ids.filter(F.col("y") == v).orderBy(F.xxhash64("i"), "i").limit(most) for v in (0, 1)]
-    rows = [(r["i"], r["y"]) for part in picked for r in part.collect()]  # two times `most` at most
+    rows = _smallest(ids.withColumn("h", F.xxhash64("i")), most)
     if not rows:
         return train([], np.zeros(0))
     chosen = F.broadcast(spark.createDataFrame(rows, "i long, y int"))
