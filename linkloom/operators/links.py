@@ -1,13 +1,15 @@
 """L3 and L4: candidate labels of texts, scorers that turn texts and labels into links, and the steps over links.
 
-A scorer is a contract: (text, spans, labels) -> links with score and class_probs. lexical() and bi_encoder() are
-native; model() plugs any Python model in through Arrow batches."""
+A scorer is a contract: (text, spans, labels) -> links with score and class_probs. lexical() compares names,
+bi_encoder() vectors; model() plugs any Python model in through Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -47,10 +49,17 @@ def precomputed_eligible(candidates: DataFrame, model_id: str) -> DataFrame:
     return candidates.groupBy("text_idx").agg(F.every(ok).alias("eligible"))
 
 
-def label_matrix(label_rows: DataFrame) -> DataFrame:
-    """(text_idx, matrix): vectors in label order; a label without one is an error."""
+#: Labels of a text, and characters of it whose spans' vectors meet them, in one product.
+LABELS, CHARS = 512, 512
+
+
+def label_matrix(label_rows: DataFrame, most: int = LABELS) -> DataFrame:
+    """(text_idx, part, labels, matrix): label_ord and label_text with the vectors in that order, `most` labels to a part;
+    a label without a vector is an error."""
     v = F.when(F.col("embedding").isNull(), F.raise_error(F.concat(F.lit("no embedding for "), F.col("label_text")))).otherwise(F.col("embedding"))
-    return label_rows.groupBy("text_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("label_ord", v.alias("v")))), lambda x: x["v"]).alias("matrix"))
+    part = F.floor((F.col("label_ord") - 1) / most).alias("part")
+    rows = label_rows.groupBy("text_idx", part).agg(F.sort_array(F.collect_list(F.struct("label_ord", "label_text", v.alias("v")))).alias("x"))
+    return rows.select("text_idx", "part", F.transform("x", lambda x: F.struct(x["label_ord"].cast("int").alias("label_ord"), x["label_text"].alias("label_text"))).alias("labels"), F.transform("x", lambda x: x["v"]).alias("matrix"))
 
 
 def missing_embeddings(candidates: DataFrame) -> DataFrame:
@@ -90,11 +99,37 @@ def lexical(mentions: DataFrame, label_rows: DataFrame, threshold: float = 0.5,
     return _finish(scored, threshold, multi_label, flat)
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1)
+
+
 def bi_encoder(mentions: DataFrame, label_rows: DataFrame, threshold: float = 0.5, multi_label: bool = False, flat: bool = True) -> DataFrame:
-    """Score sigmoid(span vector . label vector); mentions carry a column `vector`."""
-    z = S.dot(F.col("vector"), F.col("embedding"))
-    pairs = mentions.select("text_idx", "text", "start", "end", "vector").join(label_rows, "text_idx").withColumn("score", 1 / (1 + F.exp(-z)))
-    return _finish(pairs.select("text_idx", "text", "start", "end", "label_text", "label_ord", "score"), threshold, multi_label, flat)
+    """Score sigmoid(span vector . label vector); mentions carry a column `vector` (without one they have no links).
+    The spans of a stretch of a text and its labels are one row, and one product of matrices: vectors are not copied
+    into pairs."""
+    m = mentions.filter(F.col("vector").isNotNull()).groupBy("text_idx", F.floor(F.col("start") / CHARS).alias("stretch")).agg(
+        F.collect_list(F.struct("text", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("vector").cast("array<float>").alias("vector"))).alias("spans"))
+    both = m.join(label_matrix(label_rows), "text_idx").select(F.col("text_idx").cast("long"), "spans", "labels", "matrix")
+
+    def score(batches):
+        held, n = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                if n > 1 << 16:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, n = [], 0
+                spans, labels = b.column(1)[i].values, b.column(2)[i].values
+                z = _matrix(spans.field("vector")) @ _matrix(b.column(3)[i].values).T
+                at, of = (pa.array(x.ravel()) for x in np.indices(z.shape))
+                n += z.size
+                held.append(pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(z.size, i))), *[spans.field(c).take(at) for c in ("text", "start", "end")], *[labels.field(c).take(of) for c in ("label_text", "label_ord")], pa.array(1 / (1 + np.exp(-z.ravel())))],
+                                                       names=["text_idx", "text", "start", "end", "label_text", "label_ord", "score"]))
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    pairs = both.mapInArrow(score, "text_idx long, text string, start int, end int, label_text string, label_ord int, score double")
+    return _finish(pairs, threshold, multi_label, flat)
 
 
 def model(texts: DataFrame, label_rows: DataFrame, load: Callable[[], Callable[[str, list[str], list | None], Iterable[dict]]], threshold: float = 0.5, span_rows: DataFrame | None = None, max_labels: int | None = None) -> DataFrame:
