@@ -29,8 +29,14 @@ def _ranked(hits: DataFrame, *order) -> DataFrame:
     return first.withColumn("ord", F.row_number().over(Window.partitionBy("q").orderBy(*order))).select("q", "entity_id", "ord")
 
 
-def exact(queries: DataFrame, records: DataFrame) -> DataFrame:
-    """Queries that equal a label (the entity loaded last under it), then those that equal an alias."""
+def exact(queries: DataFrame, records: DataFrame, keys=None) -> DataFrame:
+    """Queries that equal a label (the entity loaded last under it), then those that equal an alias. `keys`: a stored
+    index of the records' names (sources.stored.KeyStore), which is read in place of them."""
+    if keys is not None:
+        found = keys.lookup(queries)
+        label = found.filter("kind = 'label'").groupBy("q").agg(F.max_by("entity_id", F.struct("load_ord", "entity_id")).alias("entity_id"))
+        alias = found.filter("kind = 'alias'").select("q", "entity_id", F.lit(1).alias("kind"), "load_ord")
+        return _ranked(label.select("q", "entity_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("load_ord")).unionByName(alias), "kind", "load_ord", "entity_id")
     label = kb.label_index(records).withColumnRenamed("key", "q").withColumn("kind", F.lit(0)).withColumn("load_ord", F.lit(0).cast("long"))
     alias = kb.surface_forms(records).filter("kind = 'alias'").select(F.col("key").alias("q"), "entity_id", F.lit(1).alias("kind"), "load_ord")
     return _ranked(queries.join(label.unionByName(alias), "q"), "kind", "load_ord", "entity_id")
@@ -149,7 +155,7 @@ def search_layer(queries: DataFrame, layer: kb.Layer, now: str | None = None, mo
         elif layer.kind == "postgres":
             part = contains(queries, layer.records) if mode == "exact" else trigram(queries, layer.records, f.get("min_similarity", 0.3))
         else:
-            part = exact(queries, layer.records) if mode == "exact" else fuzzy(queries, layer.records, f.get("min_similarity", 0.3), f.get("prefix_length", 1))
+            part = exact(queries, layer.records, layer.keys) if mode == "exact" else fuzzy(queries, layer.records, f.get("min_similarity", 0.3), f.get("prefix_length", 1))
         if part is not None:
             part = part.withColumn("mode_rank", F.lit(rank))
             out = part if out is None else out.unionByName(part)

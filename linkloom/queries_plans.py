@@ -14,7 +14,7 @@ from .operators import links as L
 from .plans import dag, processors, registry
 from .queries import AGG, LINE, MEN, _lines, _linked, _mentions, _part_candidates, _talks, _texts, names_kb, part_kb, query
 from .session import shared_folder
-from .sources import kb
+from .sources import kb, stored
 
 
 # --- records and layers -----------------------------------------------------------------------
@@ -117,6 +117,24 @@ def write_back_relational(t):
     return _asked(t, "postgres").records.agg(F.count("*").alias("written"))
 
 
+@query("""WITH n AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS entity_id, CASE WHEN p_partkey % 3 = 0 THEN 'new ' || p_name ELSE p_name END AS label, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name || ' ' || p_brand END AS alias FROM part),
+qs AS (SELECT DISTINCT lower(p_name) AS q FROM part UNION SELECT DISTINCT lower(p_name || ' ' || p_brand) FROM part UNION SELECT DISTINCT 'new ' || lower(p_name) FROM part),
+l AS (SELECT lower(label) AS q, arg_max(entity_id, k) AS entity_id FROM n GROUP BY lower(label)),
+a AS (SELECT lower(alias) AS q, entity_id, k FROM n WHERE alias IS NOT NULL)
+SELECT q, entity_id, CAST(1 AS INT) AS ord FROM qs JOIN l USING (q) UNION ALL
+SELECT q, entity_id, CAST(row_number() OVER (PARTITION BY q ORDER BY k) AS INT) FROM qs JOIN a USING (q) WHERE q NOT IN (SELECT q FROM l)""")
+def stored_keys_lookup(t):
+    """Exact lookup in a stored index after a base and a delta that renames every third record."""
+    rows, spark = kb._complete(part_kb(t)), t("part").sparkSession
+    keys = stored.KeyStore(spark, f"{shared_folder(spark)}/linkloom/keys-{uuid.uuid4().hex}")
+    x = kb.Layer("kept", keys=keys)
+    x.load(rows)
+    x.load(rows.filter("load_ord % 3 = 0").withColumn("label", F.concat(F.lit("new "), "label")).withColumn("aliases", F.array().cast("array<string>")), True)
+    p = t("part")
+    qs = p.select(F.lower("p_name").alias("q")).union(p.select(F.lower(F.concat_ws(" ", "p_name", "p_brand")))).union(p.select(F.lower(F.concat(F.lit("new "), "p_name")))).distinct()
+    return C.exact(qs, x.records, keys)
+
+
 # --- mentions, links, models by name ----------------------------------------------------------
 
 @query(f"WITH {MEN} SELECT text_idx, count(*) AS n, CAST(sum(e - b) AS BIGINT) AS covered, min(b) AS first FROM m GROUP BY text_idx")

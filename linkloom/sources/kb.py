@@ -135,6 +135,7 @@ class Layer:
     config: dict[str, Any] = field(default_factory=dict)
     cached: DataFrame | None = None  # of a key-value store: rows (key, value, expires_at, load_ord) that answers wrote
     turns: int = 0  # how often answers were written
+    keys: Any = None  # a stored index of the records' names (stored.KeyStore), kept with every change
 
     def key_values(self, now: str | None = None) -> DataFrame:
         """The table of a key-value store: records under their labels and aliases; an answer that was written under a
@@ -163,6 +164,7 @@ class Layer:
         if self.kind != "redis":
             rows = keep_first(answers, ["entity_id"], "q", "ord").drop("q", "ord").withColumn("load_ord", last + F.col("load_ord"))
             self.records = cut(upsert(self.records, rows, True))
+            self._keep(rows)
             return
         if not self.ttl:
             return
@@ -175,6 +177,9 @@ class Layer:
     def load(self, new: DataFrame, overwrite: bool = False) -> int:
         """Load records; the count of those stored. A full-text or relational store keeps the fields of its mapping."""
         before = self.records
+        if self.keys is not None:
+            old = before.select("entity_id") if before is not None and not overwrite else None
+            self._keep(upsert(None, new, overwrite) if old is None else upsert(None, new).join(old, "entity_id", "left_anti"))
         if self.field_mapping and self.kind in ("elasticsearch", "postgres"):
             new = map_fields(unmap_fields(new, self.field_mapping), self.field_mapping, self.kind)
         self.records = upsert(before, new, overwrite)
@@ -185,6 +190,11 @@ class Layer:
             stored = stored.join(before, "entity_id", "left_anti")
         return stored.count()
 
+    def _keep(self, rows: DataFrame) -> None:
+        """Records that are new or changed go to the stored index too."""
+        if self.keys is not None:
+            self.keys.write(_complete(rows))
+
     def clear(self) -> None:
         self.records, self.cached = self.records.limit(0) if self.records is not None else None, None
 
