@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from .operators import aggregate as A
 from .operators import candidates as C
 from .operators import links as L
+from .operators import mentions as M
+from .operators import tagger
 from .plans import dag, processors, registry
 from .queries import AGG, LINE, MEN, _lines, _linked, _mentions, _part_candidates, _talks, _texts, names_kb, part_kb, query
-from .session import shared_folder
+from .session import cut, shared_folder
 from .sources import kb, stored
 
 
@@ -164,6 +166,18 @@ def model_mentions(t):
         del processors.MODELS["numbers"]
 
 
+@query()
+def tag_mentions(t):
+    """Mentions by a tagger that learns what names are from 200 texts, those of the smallest hashes, and the pattern's
+    mentions in them; every text is tagged. SQL can't say it: tests hold the tagger against enumeration."""
+    texts = _texts(t)
+    few = texts.orderBy(F.xxhash64("text_idx"), "text_idx").limit(200)
+    known = M.pattern_mentions(few).groupBy("text_idx").agg(F.collect_list(F.struct("start", "end", F.lit("name").alias("label"))).alias("spans"))
+    rows = cut(few.join(known, "text_idx", "left").select("text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,label:string>>")).alias("spans")))
+    got = tagger.tag(texts, tagger.train(rows, ["name"], rounds=10))
+    return got.select("text_idx", "mention_idx", "text", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+
+
 @query("WITH c AS (SELECT p_size, lower(p_name) AS l, min(p_partkey) AS k FROM part GROUP BY p_size, lower(p_name)) SELECT CAST(p_size AS BIGINT) AS text_idx, CAST(count(*) AS INT) AS n_labels, CAST(sum(k) AS DOUBLE) AS total, CAST(min(k) AS DOUBLE) AS first FROM c GROUP BY p_size")
 def label_vectors_in_order(t):
     """The matrix of a text's label vectors, in label order."""

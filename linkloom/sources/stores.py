@@ -3,14 +3,19 @@ reached; nothing is imported before it is used."""
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kb
 
+LOG = logging.getLogger(__name__)
+
 
 def jdbc_records(spark: SparkSession, url: str, user: str = "", password: str = "", entities: str = "entities", aliases: str = "aliases", **options: str) -> DataFrame:
-    """Records of a relational store: entities with their aliases gathered in an array."""
+    """Records of a relational store: entities with their aliases gathered in an array. Options go to both reads, those
+    of a partition column among them."""
     read = lambda t: spark.read.format("jdbc").options(url=url, dbtable=t, user=user, password=password, **options).load()
     return with_aliases(read(entities), read(aliases))
 
@@ -31,7 +36,9 @@ def connect(spark: SparkSession, layer) -> None:
     try:
         raw = jdbc_records(spark, c["url"], c.get("user", ""), c.get("password", ""), c.get("entities", "entities"), c.get("aliases", "aliases"), **c.get("options", {}))
         layer.records = kb.map_fields(raw, layer.field_mapping, layer.kind)
-    except Exception:  # drivers raise errors of their own kinds
+        layer.available = reachable(layer)
+    except Exception as e:  # drivers raise errors of their own kinds
+        LOG.warning("layer %s is left out: %s", layer.name, e)
         layer.available = False
 
 
@@ -41,7 +48,8 @@ def reachable(layer) -> bool:
         if layer.records is None:
             return False
         return not layer.config.get("url") or layer.records.limit(1).count() >= 0
-    except Exception:  # drivers raise errors of their own kinds
+    except Exception as e:  # drivers raise errors of their own kinds
+        LOG.warning("layer %s doesn't answer: %s", layer.name, e)
         return False
 
 
