@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MENTIONS
+from ..session import pieces
+from .mentions import mention_batches, tokens
 
 #: Characters of names that are broadcast at most, and names.
 MOST_CHARS = 32 << 20
@@ -49,15 +51,9 @@ def _automaton(key: str, names: bytes):
     return _automata[key]
 
 
-def _rows(found: list[tuple], left: int, right: int) -> pa.RecordBatch:
-    """Mentions of (text_idx, text, spans ascending)."""
-    cols: list[list] = [[] for _ in MENTIONS.names]
-    for i, text, spans in found:
-        for k, (s, e) in enumerate(spans):
-            for col, v in zip(cols, (i, k, text[s:e], None, s, e, text[max(0, s - left): s].strip(), text[e: e + right].strip())):
-                col.append(v)
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=MENTIONS.names)
+def _spans(text: str, a) -> list[tuple[int, int]]:
+    """Where names stand in a text, ascending."""
+    return sorted((e + 1 - n, e + 1) for e, n in a.iter(fold(text)) if _clear(text, e + 1 - n, e + 1)) if len(a) else []
 
 
 def _by_automaton(texts: DataFrame, names: DataFrame, left: int, right: int) -> DataFrame:
@@ -68,14 +64,8 @@ def _by_automaton(texts: DataFrame, names: DataFrame, left: int, right: int) ->
 
     def run(batches):
         a = _automaton(name, shipped.value)
-        for b in batches:
-            found = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                text = text or ""
-                spans = sorted((e + 1 - n, e + 1) for e, n in a.iter(fold(text)) if _clear(text, e + 1 - n, e + 1)) if len(a) else []
-                if spans:
-                    found.append((i, text, spans))
-            yield _rows(found, left, right)
+        found = ((i, k, text, s, e, None) for b in pieces(batches) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, (s, e) in enumerate(_spans(text or "", a)))
+        yield from mention_batches(found, left, right)
 
     return texts.select(F.col("text_idx").cast("long"), "text").mapInArrow(run, MENTIONS)
 
@@ -85,8 +75,6 @@ FIRST = r"^[\p{L}\p{N}]+|^."
 
 
 def _by_joins(texts: DataFrame, names: DataFrame, left: int, right: int) -> DataFrame:
-    from .mentions import tokens
-
     names = names.select("key", F.regexp_extract("key", "(?s)" + FIRST, 0).alias("first"))
     lengths = names.groupBy("first").agg(F.collect_set(F.length("key")).alias("lengths"))
     t = tokens(texts)
