@@ -74,14 +74,16 @@ def spans(mentions: DataFrame) -> DataFrame:
 
 def _finish(pairs: DataFrame, threshold: float, multi_label: bool, flat: bool) -> DataFrame:
     """Pairs (text_idx, text, start, end, label_text, label_ord, score, maybe the label's chunk) to links: the best
-    label of each span, in each chunk."""
+    label of each span, in each chunk. Where pairs have a `z` (what the score is the logistic of), values that differ by
+    less than the order of a sum can make them are ties, as equal scores are: the first label counts."""
+    rank = F.round("z", 9) if "z" in pairs.columns else F.col("score")
     key = ["text_idx", "start", "end", *(["chunk"] if "chunk" in pairs.columns else [])]
     probs = pairs.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("label_text", "score")))).alias("class_probs"))
     best = pairs.filter(F.col("score") >= threshold)
     if not multi_label:
-        best = keep_first(best, key, F.col("score").desc(), "label_ord")
+        best = keep_first(best, key, rank.desc(), "label_ord")
     out = best.join(probs, key)
-    out = out.withColumn("link_ord", F.row_number().over(Window.partitionBy("text_idx").orderBy("start", F.col("score").desc(), "end", "label_ord")).cast("long"))
+    out = out.withColumn("link_ord", F.row_number().over(Window.partitionBy("text_idx").orderBy("start", rank.desc(), "end", "label_ord")).cast("long"))
     out = out.select("text_idx", "link_ord", "text", F.col("label_text").alias("label"), "start", "end", "score", "class_probs")
     return flat_spans(out) if flat else out
 

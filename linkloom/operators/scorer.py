@@ -106,17 +106,17 @@ def train(pairs: DataFrame, rounds: int = 12, rate: float = 2.0) -> np.ndarray:
 
 
 def scored(pairs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Pairs with `score`: the logistic of their features' weights."""
+    """Pairs with `score`: the logistic of `z`, the sum of their features' weights."""
     shipped = pairs.sparkSession.sparkContext.broadcast(weights)
     names = ["text_idx", "text", "start", "end", "label_text", "label_ord", "entity_id"]
 
     def run(batches):
         for b in batches:
             z = np.concatenate([s for *_, s in _sums(b, shipped.value)]) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(1 / (1 + np.exp(-z)))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(z), pa.array(1 / (1 + np.exp(-z)))], names=[*names, "z", "score"])
 
     fields = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.select(*names, "around", "about", "same").mapInArrow(run, ", ".join(f"`{c}` {fields[c]}" for c in names) + ", score double")
+    return pairs.select(*names, "around", "about", "same").mapInArrow(run, ", ".join(f"`{c}` {fields[c]}" for c in names) + ", z double, score double")
 
 
 def context_links(mentions: DataFrame, label_rows: DataFrame, weights: np.ndarray, threshold: float = 0.5, multi_label: bool = False, flat: bool = True, max_labels: int | None = None) -> DataFrame:

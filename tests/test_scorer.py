@@ -24,6 +24,13 @@ def plain_score(weights, text, around, names, description):
     return z + (sum(cross) / np.sqrt(len(cross)) if cross else 0)
 
 
+def test_scores_that_only_rounding_tells_apart_are_ties(spark):
+    """0.1 + 0.2 is over 0.3 in floating point: the first label counts, not the larger rest."""
+    pairs = spark.createDataFrame([(0, "x", 0, 1, "first", 1, 0.3), (0, "x", 0, 1, "second", 2, 0.1 + 0.2), (1, "x", 0, 1, "first", 1, 30.0), (1, "x", 0, 1, "second", 2, 31.0)], "text_idx long, text string, start int, end int, label_text string, label_ord int, z double")
+    got = L._finish(pairs.withColumn("score", 1 / (1 + F.exp(-F.col("z")))), 0.0, False, False)
+    assert {r["text_idx"]: r["label"] for r in got.collect()} == {0: "first", 1: "second"}
+
+
 @pytest.fixture(scope="module")
 def few(spark):
     m = spark.createDataFrame([(0, 0, "Mole", None, 0, 4, "", "digs under the lawn"), (0, 1, "quay", None, 30, 34, "ships at the", "by night"), (1, 0, "mole", None, 0, 4, None, ""), (2, 0, "x", None, 0, 1, "a", "b")], MENTION)
