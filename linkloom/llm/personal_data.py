@@ -3,10 +3,9 @@
 The patterns give the base spans, in linear time whatever the text: they never run from every place of a long run. The
 model is a linear-chain conditional random field over the shapes of words and numbers, for the forms that the patterns
 don't know ("ann (at) mail (dot) org", numbers without a plus, broken up addresses). It is trained on the driver from
-a small labelled table, a rule's rows by default, and decoded by Viterbi for all windows of an Arrow batch at once.
-Windows stand around the tokens that such a span can't be without: digits, @ and words for a dot. All of a text's
-windows are decoded, however many; what is outside them holds no span by definition. Spans that the model adds never
-touch base spans."""
+a small labelled table, a rule's rows by default, and decoded by Viterbi over all tokens of every text, the texts of an
+Arrow batch together. What a token's features are made of is like that of many others, so its scores are worked out
+once in a worker for all of them. Spans that the model adds never touch base spans."""
 
 from __future__ import annotations
 
@@ -26,7 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: O, then a beginning and an inside of each kind.
 STATES = 1 + 2 * len(KINDS)
 BUCKETS = 1 << 14
-REACH = 64  # characters of a window before and after what it stands around
+REACH = 64  # characters of a labelled row that the model learns from before and after a mark
+AT_ONCE = 1 << 17  # tokens that are decoded together
 #: Words that stand for signs in written-out addresses.
 AT_WORDS = {"at", "arroba", "arobase"}
 DOT_WORDS = {"dot", "punkt", "point", "punto"}
@@ -94,7 +94,7 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-# --- windows and features ---------------------------------------------------------------------
+# --- tokens and features ----------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 _DIGITS = re.compile(r"[0-9]+")
@@ -102,7 +102,8 @@ _DOT_WORD = re.compile(r"(?i)(?<![^\W_])(?:%s)(?![^\W_])" % "|".join(sorted(DOT_
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text, from space to space, around digits, @ and words for a dot; those that touch are one."""
+    """Stretches of a labelled row around digits, @ and words for a dot; those that touch are one. The model learns from
+    these; texts are decoded whole."""
     marks = [(m.start(), m.end()) for m in _DIGITS.finditer(text)]
     marks += [(m.start(), m.end()) for m in re.finditer("@", text)] if "@" in text else []
     low = text.lower() if len(text) < 1 << 20 or text.isascii() else text
@@ -176,42 +177,63 @@ def _chains(text: str, spans: list[tuple[int, int]], coarse: list[str]) -> list[
     return out
 
 
-def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Feature numbers of each token: a row of a fixed length each."""
+#: What _coarse says of words (of a dot: that nothing is glued to it), for a bounded number of short ones.
+_seen: dict[str, str] = {}
+
+
+def _look(word: str) -> str:
+    got = _coarse(word, False)
+    if len(word) <= 32:
+        _seen[word] = got
+    return got
+
+
+def _near(n: int, places: list[int], before: bool, reach: int = 7) -> list[str]:
+    """Of each of n tokens: how far the next (or the last one before it) of some places is, if it is within reach."""
+    out = ["-"] * n
+    for p in places if before else reversed(places):
+        for k in range(1, reach) if before else range(reach):
+            if 0 <= (i := p + k if before else p - k) < n:
+                out[i] = str(k)
+    return out
+
+
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, ...]]:
+    """What the features of each token are made of. Most tokens of a text share theirs with many others."""
     n = len(spans)
     words = [text[s:e] for s, e in spans]
-    glued = [i + 1 < n and spans[i][1] == spans[i + 1][0] for i in range(n)]
-    coarse = [_coarse(w, g) for w, g in zip(words, glued)]
+    glued = [a[1] == b[0] for a, b in zip(spans, spans[1:])] + [False] * (n > 0)
+    if len(_seen) > 1 << 16:
+        _seen.clear()
+    coarse = [_seen.get(w) or _look(w) for w in words]
+    if "E" in coarse:
+        coarse = ["p" if c == "E" and g else c for c, g in zip(coarse, glued)]
     chain = _chains(text, spans, coarse)
     pad = ["^"] * 3 + coarse + ["$"] * 3
-    near = 7
-    out = []
+    right = ["g" if g else "s" for g in glued]
     at = [i for i, c in enumerate(coarse) if c == "AT"]
     dot = [i for i, c in enumerate(coarse) if c in ("DOT", "p")]
+    cue = ["-"] * n
+    for i, low in enumerate(map(str.lower, words)):
+        if low in CUES:
+            cue[i: i + 5] = [low] * min(5, n - i)
+    inside = ["i" if a == b != "-" else "b" for a, b in zip(["-", *chain], chain)]
+    return list(zip(*(pad[k: k + n] for k in range(7)), ["s", *right], right, _near(n, at, False), _near(n, at, True), _near(n, dot, False), _near(n, dot, True), cue, chain, inside))
 
-    def ahead(xs, i):
-        return next((str(x - i) for x in xs if 0 <= x - i < near), "-"), next((str(i - x) for x in reversed(xs) if 0 < i - x < near), "-")
-
-    for i in range(n):
-        c = pad[i: i + 7]
-        left = "g" if i and glued[i - 1] else "s"
-        right = "g" if glued[i] else "s"
-        a1, a0 = ahead(at[max(0, _below(at, i) - 1):], i) if at else ("-", "-")
-        d1, d0 = ahead(dot[max(0, _below(dot, i) - 1):], i) if dot else ("-", "-")
-        parts = chain[i].split("\x00")
-        inside = "i" if i and chain[i] == chain[i - 1] != "-" else "b"
-        cue = next((w.lower() for w in reversed(words[max(0, i - 4): i + 1]) if w.lower() in CUES), "-")
-        names = ["0", f"c{c[3]}", f"l{c[2]}", f"r{c[4]}", f"ll{c[1]}", f"rr{c[5]}", f"lc{c[2]}{c[3]}{left}", f"cr{c[3]}{c[4]}{right}", f"lcr{c[2]}{c[3]}{c[4]}{left}{right}", f"5{c[1]}{c[2]}{c[3]}{c[4]}{c[5]}", f"7{''.join(c)}",
-                 f"a{a1}{a0}", f"d{d1}{d0}", f"ad{a1}{a0}{d1}{d0}", f"adc{a1}{a0}{d1}{d0}{c[3]}{left}{right}", f"k{cue}{c[3]}", f"kc{cue}{parts[-1]}"]
-        names += [f"ch{j}{inside}{p}" for j, p in enumerate(parts)] + ["ch-"] * (4 - len(parts))
-        out.append([crc32(x.encode()) % BUCKETS for x in names])
-    return np.array(out, np.int32).reshape(n, -1)
 
+def _numbers(context: tuple[str, ...]) -> list[int]:
+    """The feature numbers of a context."""
+    *c, left, right, a1, a0, d1, d0, cue, chain, inside = context
+    parts = chain.split("\x00")
+    names = ["0", f"c{c[3]}", f"l{c[2]}", f"r{c[4]}", f"ll{c[1]}", f"rr{c[5]}", f"lc{c[2]}{c[3]}{left}", f"cr{c[3]}{c[4]}{right}", f"lcr{c[2]}{c[3]}{c[4]}{left}{right}", f"5{c[1]}{c[2]}{c[3]}{c[4]}{c[5]}", f"7{''.join(c)}",
+             f"a{a1}{a0}", f"d{d1}{d0}", f"ad{a1}{a0}{d1}{d0}", f"adc{a1}{a0}{d1}{d0}{c[3]}{left}{right}", f"k{cue}{c[3]}", f"kc{cue}{parts[-1]}"]
+    names += [f"ch{j}{inside}{p}" for j, p in enumerate(parts)] + ["ch-"] * (4 - len(parts))
+    return [crc32(x.encode()) % BUCKETS for x in names]
 
-def _below(xs: list[int], i: int) -> int:
-    from bisect import bisect_left
 
-    return bisect_left(xs, i)
+def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Feature numbers of each token: a row of a fixed length each."""
+    return np.array([_numbers(c) for c in contexts(text, spans)], np.int32).reshape(len(spans), -1)
 
 
 # --- the model --------------------------------------------------------------------------------
@@ -264,22 +286,44 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, model: Field) -> tuple[np
     return probs, pairs, total
 
 
+def best_states(scores: np.ndarray, lengths: np.ndarray, model: Field) -> np.ndarray:
+    """The best states of sequences that stand one after the other, none longer than the one before it: each step goes
+    over those that are not at their end, so nothing is padded."""
+    place = np.arange(len(scores)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.argsort(place, kind="stable")
+    counts = np.bincount(place)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    scores, step = scores[order], np.ascontiguousarray((model.step + _STEPS).T)
+    came, final = np.zeros((len(scores), STATES), np.int8), np.zeros(len(lengths), np.int8)
+    best = scores[: at[1]] + model.first + _FIRST
+    for i in range(1, len(counts)):
+        n = counts[i]
+        final[n: len(best)] = best[n:].argmax(axis=1)
+        x = best[:n, None, :] + step
+        came[at[i]: at[i + 1]] = x.argmax(axis=2)
+        best = x.max(axis=2) + scores[at[i]: at[i + 1]]
+    final[: len(best)] = best.argmax(axis=1)
+    states = np.zeros(len(scores), np.int8)
+    now = final[: counts[-1]]
+    for i in range(len(counts) - 1, -1, -1):
+        states[at[i]: at[i + 1]] = now
+        if i:
+            before = final[: counts[i - 1]].copy()
+            before[: counts[i]] = came[np.arange(at[i], at[i + 1]), now]
+            now = before
+    out = np.empty_like(states)
+    out[order] = states
+    return out
+
+
 def viterbi(scores: np.ndarray, lengths: np.ndarray, model: Field) -> np.ndarray:
-    """The best states of sequences padded to one length."""
-    n, t, _ = scores.shape
-    step = model.step + _STEPS
-    best, came = scores[:, 0] + model.first + _FIRST, np.zeros((n, t, STATES), np.int8)
-    last = np.where((lengths == 1)[:, None], best, 0.0)
-    for i in range(1, t):
-        x = best[:, :, None] + step
-        came[:, i] = x.argmax(axis=1)
-        best = x.max(axis=1) + scores[:, i]
-        last = np.where((lengths == i + 1)[:, None], best, last)
-    out = np.zeros((n, t), np.int8)
-    state = last.argmax(axis=1)
-    for i in range(t - 1, -1, -1):
-        out[:, i] = np.where(i < lengths, state, 0)
-        state = np.where((i < lengths) & (i > 0), came[np.arange(n), i, state], state)
+    """The best states of sequences padded to one length; 0 after their ends."""
+    order = np.argsort(-lengths, kind="stable")
+    taken = np.arange(scores.shape[1]) < lengths[order][:, None]
+    states = np.zeros(taken.shape, np.int8)
+    states[taken] = best_states(scores[order][taken], lengths[order], model)
+    out = np.zeros_like(states)
+    out[order] = states
     return out
 
 
@@ -434,43 +478,45 @@ def _sound(kind: int, x: str) -> bool:
     return 9 <= total <= 15
 
 
-def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], model: Field) -> list[list[tuple[int, int, int]]]:
-    """The spans that the model finds in each text besides the base spans, decoded for all texts together."""
+def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], model: Field, known: tuple[dict, list] | None = None) -> list[list[tuple[int, int, int]]]:
+    """The spans that the model finds in each text besides the base spans: all tokens are decoded, those of many texts
+    together. known: the contexts whose scores are known and those scores, for calls with the same model."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     work: list = []
+    places, rows = known or ({}, [])  # of contexts the row of their scores, and the scores
 
     def decode():
-        work.sort(key=lambda w: len(w[1]))
-        i = 0
-        while i < len(work):
-            longest, j = len(work[i][1]), i + 1
-            while j < len(work) and j - i < 512 and len(work[j][1]) <= max(1.25 * longest, 16):
-                j += 1
-            part = work[i:j]
-            n = np.array([len(w[1]) for w in part])
-            at = np.arange(n.max()) < n[:, None]
-            scores = np.zeros((*at.shape, STATES))
-            scores[at] = np.concatenate([model.emit[w[2]].sum(axis=1) for w in part])
-            for (t, toks, _), states in zip(part, viterbi(scores, n, model)):
-                states = states[: len(toks)]
-                for b in np.flatnonzero(states % 2 == 1).tolist():
-                    kind, e = (states[b] - 1) // 2, b + 1
-                    while e < len(toks) and states[e] == states[b] + 1:
-                        e += 1
-                    s, e = toks[b][0], toks[e - 1][1]
-                    if _sound(kind, texts[t][s:e]) and all(e <= x or s >= y for x, _, y in base[t]):
-                        found[t].append((s, int(kind), e))
-            i = j
+        if not work:
+            return
+        work.sort(key=lambda w: -len(w[1]))
+        got = best_states(np.array(rows)[np.concatenate([w[2] for w in work])], np.array([len(w[1]) for w in work]), model)
+        for (t, toks, _), states in zip(work, np.split(got, np.cumsum([len(w[1]) for w in work])[:-1])):
+            for b in np.flatnonzero(states % 2 == 1).tolist():
+                kind, e = (states[b] - 1) // 2, b + 1
+                while e < len(toks) and states[e] == states[b] + 1:
+                    e += 1
+                s, e = toks[b][0], toks[e - 1][1]
+                if _sound(kind, texts[t][s:e]) and all(e <= x or s >= y for x, _, y in base[t]):
+                    found[t].append((s, int(kind), e))
         work.clear()
+        if len(rows) > AT_ONCE:
+            places.clear()
+            rows.clear()
 
     held = 0
     for t, text in enumerate(texts):
-        for begin, end in windows(text):
-            toks = tokens(text, begin, end)
-            if toks:
-                work.append((t, toks, features(text, toks)))
-                held += len(toks)
-        if held > 1 << 17:
+        toks = tokens(text, 0, len(text))
+        if toks:
+            of = np.empty(len(toks), np.int32)
+            for i, c in enumerate(contexts(text, toks)):
+                at = places.get(c)
+                if at is None:
+                    at = places[c] = len(rows)
+                    rows.append(model.emit[_numbers(c)].sum(axis=0))
+                of[i] = at
+            work.append((t, toks, of))
+            held += len(toks)
+        if held > AT_ONCE:
             decode()
             held = 0
     decode()
@@ -487,11 +533,11 @@ def find(docs: DataFrame, model: Field, keep: list[str] | None = None) -> DataFr
     shipped = docs.sparkSession.sparkContext.broadcast(Field(model.emit.astype(np.float32), model.step, model.first))
 
     def run(batches):
-        field = worker_state(key, lambda: shipped.value)
+        field, known = worker_state(key, lambda: (shipped.value, ({}, [])))
         for b in batches:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             base = [base_spans(t) for t in texts]
-            added = added_spans(texts, base, field)
+            added = added_spans(texts, base, field, known)
             counts = [pa.array([sum(k == kind for _, k, _ in x) for x in base], pa.int64()) for kind in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *counts, pa.array([sha256(spans_text(x).encode()).hexdigest() for x in base], pa.string()), pa.array([spans_text(sorted(x + y)) for x, y in zip(base, added)], pa.string()),
                                               pa.array([len(y) for y in added], pa.int64())], names=[*keep, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])

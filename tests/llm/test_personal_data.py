@@ -82,6 +82,22 @@ def test_evasive_forms_are_added_and_base_spans_stay(field):
     assert P.added_spans(clean, [[] for _ in clean], field) == [[] for _ in clean]
 
 
+def test_all_places_of_a_text_are_decoded(field):
+    """Spans without a digit, an @ or a word for a dot, and spans longer than any reach around those."""
+    fill = "nothing to see in this long part of the page, and " * 20
+    long = "-".join(["lorem"] * 30)
+    texts = [f"{fill}write to ann (at) mailbox.org about it, {fill}", f"{fill}write to ann.lee [at] {long}.org about it, {fill}"]
+    got = P.added_spans(texts, [[], []], field)
+    assert [[(t[s:e], k) for s, k, e in g] for t, g in zip(texts, got)] == [[("ann (at) mailbox.org", 0)], [(f"ann.lee [at] {long}.org", 0)]]
+
+
+def test_known_contexts_change_no_span(field):
+    texts, known = [t for t, _ in P.labelled_rows(60, seed=8)], ({}, [])
+    none = [[] for _ in texts]
+    want = [P.added_spans([t], [[]], field)[0] for t in texts]
+    assert P.added_spans(texts, none, field) == P.added_spans(texts, none, field, known) == P.added_spans(texts, none, field, known) == want
+
+
 def test_find_on_odd_rows(spark, odd, none, field):
     got = P.find(odd, field).collect()
     assert len(got) == odd.count()
