@@ -34,7 +34,7 @@ def test_pieces_are_bounded_and_lose_no_row():
     assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= TEXT_BYTES for b in got)
 
 
-@pytest.mark.parametrize("way", ["automaton", "pattern", "model", "tokens"])
+@pytest.mark.parametrize("way", ["automaton", "pattern", "model", "tagger", "tokens"])
 def test_a_batch_of_many_texts_is_worked_in_pieces(spark, way):
     names = SimpleNamespace(toArrow=lambda: pa.table({"key": ["kober", "lodan", "kober's boat"]}))
     tagger = T.Tagger.new(["name"])
