@@ -3,9 +3,11 @@
 The patterns give the base spans, in linear time whatever the text: they never run from every place of a long run. The
 model is a linear-chain conditional random field over the shapes of words and numbers, for the forms that the patterns
 don't know ("ann (at) mail (dot) org", numbers without a plus, broken up addresses). It is trained on the driver from
-a small labelled table, a rule's rows by default, and decoded by Viterbi over all tokens of every text, the texts of an
-Arrow batch together. What a token's features are made of is like that of many others, so its scores are worked out
-once in a worker for all of them. Spans that the model adds never touch base spans."""
+a small labelled table, a rule's rows by default, and its best path (Viterbi) is found over all tokens of every text. What
+a token's features are made of is like that of many others, so its scores are worked out once in a worker for all of
+them. Where the scores of a token and the next one show that a path through any other state gets better by being
+outside there, the best path is outside; the stretches between such tokens are decoded with what joins them, which
+gives the best path of the whole text. Spans that the model adds never touch base spans."""
 
 from __future__ import annotations
 
@@ -15,6 +17,7 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 STATES = 1 + 2 * len(KINDS)
 BUCKETS = 1 << 14
 REACH = 64  # characters of a labelled row that the model learns from before and after a mark
-AT_ONCE = 1 << 17  # tokens that are decoded together
+AT_ONCE = 1 << 19  # characters of texts that are decoded together
+CONTEXTS = 1 << 17  # contexts whose scores a worker knows
 #: Words that stand for signs in written-out addresses.
 AT_WORDS = {"at", "arroba", "arobase"}
 DOT_WORDS = {"dot", "punkt", "point", "punto"}
@@ -231,6 +235,138 @@ def _numbers(context: tuple[str, ...]) -> list[int]:
     return [crc32(x.encode()) % BUCKETS for x in names]
 
 
+#: What _coarse says, by number.
+_COARSE = ["^", "$", "AT", "DOT", "p", "E", "d1", "d2", "d3", "d4", "d5", "d6", "w", "W", "Ww", "o", *"()[]{}<>+-/:=\"',;_%#&"]
+_CUES = ["-", *sorted(CUES)]
+_char_tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+
+def _pack(word: str) -> int:
+    return sum((ord(c) - 96) << (5 * i) for i, c in enumerate(word))
+
+
+#: Words that mean something, of at most eight letters: as numbers of five bits a letter, ascending, and the words.
+_WORDS = sorted((_pack(w), w) for w in AT_WORDS | DOT_WORDS | CUES)
+_PACKED = np.array([n for n, _ in _WORDS])
+_WORD_COARSE = np.array([_COARSE.index(_coarse(w, False)) for _, w in _WORDS])
+_WORD_CUE = np.array([_CUES.index(w) if w in CUES else 0 for _, w in _WORDS])
+_SIGN = np.array([_COARSE.index(_coarse(chr(i), False)) for i in range(128)])
+
+
+def _chars() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: which tokens it makes (0 none, 1 numbers, 2 words, 3 one by itself); of those in words, bits for
+    lower, upper and title case and for being a letter, and the number of its lower-case form from a to z (31: none)."""
+    if not _char_tables:
+        every = "".join(map(chr, range(0x110000)))
+        kind, case, letter = np.full(0x110000, 3, np.int8), np.zeros(0x110000, np.int8), np.full(0x110000, 31, np.int8)
+        for k, pattern in ((0, r"\s+"), (1, "[0-9]+"), (2, r"[^\W\d_]+")):
+            for m in re.finditer(pattern, every):
+                kind[m.start(): m.end()] = k
+        for i in np.flatnonzero(kind == 2).tolist():
+            c = every[i]
+            case[i] = c.islower() + 2 * c.isupper() + 4 * (c.istitle() and not c.isupper()) + 8 * c.isalpha()
+            if "a" <= (low := c.lower()) <= "z" and len(low) == 1:
+                letter[i] = ord(low) - 96
+        _char_tables.append((kind, case, letter))
+    return _char_tables[0]
+
+
+def _near_numbers(places: np.ndarray, row: np.ndarray, before: bool, reach: int = 7) -> np.ndarray:
+    """What _near says of all tokens, as numbers: 0 for none, else the distance (after: and one)."""
+    out = np.zeros(len(row), np.int64)
+    for k in range(reach - 1, 0 if before else -1, -1):
+        at = places + k if before else places - k
+        in_ = (at >= 0) & (at < len(row))
+        at, of = at[in_], places[in_]
+        out[at[row[at] == row[of]]] = k if before else k + 1
+    return out
+
+
+def packed_contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
+    """All tokens of texts: each one's text, its beginning and end there, what `contexts` says of it but for its chain as
+    one number, and the chains of the tokens that have one. No token is touched one by one but those near digits."""
+    kinds, cases, letters = _chars()
+    joined = "".join(texts)
+    size = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(size)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(points):
+        return (np.zeros(0, np.int64),) * 4 + ({},)
+    kind = kinds[points]
+    cut = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 3)])
+    cut[(ends - size)[size > 0]] = True
+    at = np.flatnonzero(cut)
+    is_token = kind[at] > 0
+    case = np.bitwise_or.reduceat(cases[points], at)[is_token] & 7
+    s, e = at[is_token], np.append(at[1:], len(points))[is_token]
+    n, k, head, row = len(s), kind[s], points[s], np.searchsorted(ends, s, "right")
+
+    code = np.full(n, _COARSE.index("o"))
+    sign = np.flatnonzero((k == 3) & (head < 128))
+    code[sign] = _SIGN[head[sign]]
+    number, word = np.flatnonzero(k == 1), np.flatnonzero(k == 2)
+    code[number] = _COARSE.index("d1") - 1 + np.minimum(e - s, 6)[number]
+    looks = np.full(8, _COARSE.index("Ww"))
+    looks[[1, 2]] = _COARSE.index("w"), _COARSE.index("W")
+    code[word] = np.where(cases[head[word]] & 8, looks[case[word]], _COARSE.index("o"))
+    cue = np.zeros(n, np.int64)
+    short = word[(e - s)[word] <= 8]
+    length, low = (e - s)[short], np.concatenate([letters[points], np.zeros(8, np.int8)])
+    packed = np.zeros(len(short), np.int64)
+    for j in range(8):
+        packed |= np.where(j < length, low[s[short] + j], 0).astype(np.int64) << (5 * j)
+    hit = np.minimum(np.searchsorted(_PACKED, packed), len(_PACKED) - 1)
+    known = _PACKED[hit] == packed
+    short, hit = short[known], hit[known]
+    # A word for a sign is one however it is written; a cue is a word like others.
+    of_sign = _WORD_COARSE[hit] <= _COARSE.index("DOT")
+    code[short[of_sign]] = _WORD_COARSE[hit[of_sign]]
+    cues, of = short[_WORD_CUE[hit] > 0], _WORD_CUE[hit[_WORD_CUE[hit] > 0]]
+    for j in range(4, -1, -1):
+        in_ = cues + j < n
+        to = cues[in_] + j
+        same = row[to] == row[cues[in_]]
+        cue[to[same]] = of[in_][same]
+    glued = np.append((e[:-1] == s[1:]) & (row[:-1] == row[1:]), False)
+    code[(code == _COARSE.index("E")) & glued] = _COARSE.index("p")
+
+    new = np.append(True, row[1:] != row[:-1]) if n else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, n))
+    place = np.arange(n) - np.repeat(begin, count)
+    left = np.repeat(count, count) - 1 - place
+    key = np.zeros(n, np.int64)
+    for off in range(-3, 4):
+        moved = np.roll(code, -off)
+        key = key << 6 | (np.where(place >= -off, moved, 0) if off < 0 else np.where(left >= off, moved, 1))
+    dot = np.flatnonzero((code == _COARSE.index("DOT")) | (code == _COARSE.index("p")))
+    key = (key << 1 | np.append(False, glued[:-1])[:n]) << 1 | glued
+    for places in (np.flatnonzero(code == _COARSE.index("AT")), dot):
+        key = (key << 3 | _near_numbers(places, row, False)) << 3 | _near_numbers(places, row, True)
+    key = key << 5 | cue
+
+    # Chains go over at most three other tokens, so those of numbers further apart are found apart from each other.
+    chains: dict[int, str] = {}
+    if len(number):
+        apart = np.flatnonzero((np.diff(number) > 4) | (np.diff(row[number]) > 0)) + 1
+        first, last = number[np.append(0, apart)], number[np.append(apart, len(number)) - 1]
+        for a, b in zip(np.maximum(first - 2, np.maximum.accumulate(np.where(new, np.arange(n), 0))[first]).tolist(), (last + 1).tolist()):
+            got = _chains(joined, list(zip(s[a:b].tolist(), e[a:b].tolist())), [_COARSE[c] for c in code[a:b].tolist()])
+            chains.update((a + i, x) for i, x in enumerate(got) if x != "-")
+    key <<= 1
+    inside = [i for i, x in chains.items() if not new[i] and chains.get(i - 1) == x]
+    key[inside] |= 1
+    shift = (ends - size)[row]
+    return row, s - shift, e - shift, key, chains
+
+
+def unpacked(key: int, chain: str = "-") -> tuple[str, ...]:
+    """The context of a number that packed_contexts gives, and a chain."""
+    take = lambda bits, by: key >> by & (1 << bits) - 1
+    after, before = [str(k - 1) if k else "-" for k in (take(3, 15), take(3, 9))], [str(k) if k else "-" for k in (take(3, 12), take(3, 6))]
+    return (*(_COARSE[take(6, 20 + 6 * k)] for k in range(6, -1, -1)), "sg"[take(1, 19)], "sg"[take(1, 18)], after[0], before[0], after[1], before[1], _CUES[take(5, 1)], chain, "bi"[take(1, 0)])
+
+
 def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     """Feature numbers of each token: a row of a fixed length each."""
     return np.array([_numbers(c) for c in contexts(text, spans)], np.int32).reshape(len(spans), -1)
@@ -478,48 +614,89 @@ def _sound(kind: int, x: str) -> bool:
     return 9 <= total <= 15
 
 
+def may_leave(scores: np.ndarray, of: np.ndarray, starts: np.ndarray, model: Field, least: float = 1e-3) -> np.ndarray:
+    """At which tokens the best path may be in another state than outside. scores: a row of each context; of: each
+    token's row; starts: where texts begin. Where a path leaves outside for a stretch of tokens, staying there costs at
+    most the stretch's sum of what each token can bring, in any state and by any step to it, and what the step back can
+    bring. So a token can't lie in such a stretch if the sum of every stretch with it is less than that: the highest
+    sum up to a later place and the lowest one up to an earlier place say so of all of them. `least` only has to be
+    above the errors of sums."""
+    step, first = model.step + _STEPS, model.first + _FIRST
+    more = scores[:, 1:] - scores[:, :1]
+    brings = (more + (step[:, 1:].max(axis=0) - step[0, 0])).max(axis=1)[of]
+    brings[starts] = (more + (first[1:] - first[0])).max(axis=1)[of[starts]]
+    back = max(0.0, (step[1:, 0] - step[0, 0]).max())
+    upto = np.concatenate([[0.0], np.cumsum(brings)])
+    return np.maximum.accumulate(upto[::-1])[::-1][1:] - np.minimum.accumulate(upto)[:-1] + back > -least
+
+
+def best_path(scores: np.ndarray, of: np.ndarray, text: np.ndarray, model: Field) -> np.ndarray:
+    """The best states of all tokens of texts that stand one after the other: text has each token's text. Between two
+    tokens that can only be outside the best stretch is the best one from outside to outside."""
+    states = np.zeros(len(of), np.int8)
+    ends = np.append(text[1:] != text[:-1], True)[: len(of)]
+    starts = np.append(True, ends[:-1])[: len(of)]
+    open_ = np.flatnonzero(may_leave(scores, of, starts, model))
+    if not len(open_):
+        return states
+    got = scores[of[open_]].astype(np.float64)
+    # A stretch follows a token outside unless its text begins there, and so at its end.
+    begin = np.append(True, np.diff(open_) > 1) | starts[open_]
+    end = np.append(begin[1:], True)
+    got[begin & ~starts[open_]] += model.step[0] - model.first
+    got[end & ~ends[open_]] += model.step[:, 0]
+    at = np.flatnonzero(begin)
+    lengths = np.diff(np.append(at, len(open_)))
+    order = np.argsort(-lengths, kind="stable")
+    n = lengths[order]
+    take = np.repeat(at[order], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    states[open_[take]] = best_states(got[take], n, model)
+    return states
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], model: Field, known: tuple[dict, list] | None = None) -> list[list[tuple[int, int, int]]]:
-    """The spans that the model finds in each text besides the base spans: all tokens are decoded, those of many texts
-    together. known: the contexts whose scores are known and those scores, for calls with the same model."""
+    """The spans that the model finds in each text besides the base spans: the best path over all tokens, those of many
+    texts together. known: the contexts whose scores are known and those scores, for calls with the same model."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    work: list = []
     places, rows = known or ({}, [])  # of contexts the row of their scores, and the scores
 
-    def decode():
-        if not work:
+    def place(key: int, chain: str = "-") -> int:
+        at = places.get((key, chain))
+        if at is None:
+            at = places[key, chain] = len(rows)
+            rows.append(model.emit[_numbers(unpacked(key, chain))].sum(axis=0))
+        return at
+
+    def decode(begin: int, end: int) -> None:
+        row, s, e, key, chains = packed_contexts(texts[begin:end])
+        if not len(row):
             return
-        work.sort(key=lambda w: -len(w[1]))
-        got = best_states(np.array(rows)[np.concatenate([w[2] for w in work])], np.array([len(w[1]) for w in work]), model)
-        for (t, toks, _), states in zip(work, np.split(got, np.cumsum([len(w[1]) for w in work])[:-1])):
-            for b in np.flatnonzero(states % 2 == 1).tolist():
-                kind, e = (states[b] - 1) // 2, b + 1
-                while e < len(toks) and states[e] == states[b] + 1:
-                    e += 1
-                s, e = toks[b][0], toks[e - 1][1]
-                if _sound(kind, texts[t][s:e]) and all(e <= x or s >= y for x, _, y in base[t]):
-                    found[t].append((s, int(kind), e))
-        work.clear()
-        if len(rows) > AT_ONCE:
+        plain = np.ones(len(row), bool)
+        plain[list(chains)] = False
+        codes, new = pd.factorize(key[plain])
+        of = np.empty(len(row), np.int64)
+        of[plain] = np.array([place(k) for k in new.tolist()], np.int64)[codes]
+        for i, x in chains.items():
+            of[i] = place(int(key[i]), x)
+        states = best_path(np.array(rows), of, row, model)
+        for b in np.flatnonzero(states % 2 == 1).tolist():
+            kind, last, t = (states[b] - 1) // 2, b + 1, begin + int(row[b])
+            while last < len(row) and states[last] == states[b] + 1 and row[last] == row[b]:
+                last += 1
+            x, y = int(s[b]), int(e[last - 1])
+            if _sound(kind, texts[t][x:y]) and all(y <= p or x >= q for p, _, q in base[t]):
+                found[t].append((x, int(kind), y))
+        if len(rows) > CONTEXTS:
             places.clear()
             rows.clear()
 
-    held = 0
+    begin, held = 0, 0
     for t, text in enumerate(texts):
-        toks = tokens(text, 0, len(text))
-        if toks:
-            of = np.empty(len(toks), np.int32)
-            for i, c in enumerate(contexts(text, toks)):
-                at = places.get(c)
-                if at is None:
-                    at = places[c] = len(rows)
-                    rows.append(model.emit[_numbers(c)].sum(axis=0))
-                of[i] = at
-            work.append((t, toks, of))
-            held += len(toks)
-        if held > AT_ONCE:
-            decode()
-            held = 0
-    decode()
+        if held and held + len(text) > AT_ONCE:
+            decode(begin, t)
+            begin, held = t, 0
+        held += len(text)
+    decode(begin, len(texts))
     return [sorted(x) for x in found]
 
 
